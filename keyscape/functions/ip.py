@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keyscape.functions.columns import as_col, let
+from keyscape.functions.columns import as_col, let, reusable
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _V4 = rf"{_OCTET}(\.{_OCTET}){{3}}"
@@ -80,6 +80,7 @@ def _v6_groups_key(text: Column) -> Column:
     return let(F.struct(left.alias("l"), right.alias("r")), assemble)
 
 
+@reusable
 def ip_key(ip) -> Column:
     """Sortable key of an address, NULL when it does not parse."""
     ip = as_col(ip)
@@ -90,6 +91,7 @@ def ip_key(ip) -> Column:
     )
 
 
+@reusable
 def is_ip(ip) -> Column:
     return F.coalesce(ip_key(ip).isNotNull(), F.lit(False))
 
@@ -133,27 +135,37 @@ def range_hi(key: Column, bits: Column) -> Column:
     return F.concat(head, F.repeat(F.lit("f"), size - F.length(head)))
 
 
-def cidr_bits(cidr) -> Column:
-    """Prefix length of a well-formed CIDR, else NULL."""
-    cidr = as_col(cidr)
-    key = ip_key(F.substring_index(cidr, "/", 1))
-    text = F.regexp_extract(cidr, r"^[^/%]+/(0|[1-9][0-9]{0,2})$", 1)
-    bits = F.when(text != "", text.cast("int"))
-    return F.when(key.isNotNull() & (bits <= _width(key)), bits)
+@reusable
+def cidr_parts(cidr) -> Column:
+    """``struct(key, bits)`` of a CIDR as written; NULL fields when malformed."""
+
+    def parse(c: Column) -> Column:
+        return F.struct(
+            ip_key(F.substring_index(c, "/", 1)).alias("key"),
+            F.regexp_extract(c, r"^[^/%]+/(0|[1-9][0-9]{0,2})$", 1).try_cast("int").alias("bits"),
+        )
+
+    def check(p: Column) -> Column:
+        fits = p["bits"] <= _width(p["key"])
+        return F.struct(
+            F.when(fits, p["key"]).alias("key"),
+            F.when(p["key"].isNotNull() & fits, p["bits"]).alias("bits"),
+        )
 
+    return let(let(as_col(cidr), parse), check)
 
-def cidr_key(cidr) -> Column:
-    """Key of the address written in front of the slash (not masked)."""
-    cidr = as_col(cidr)
-    return F.when(cidr_bits(cidr).isNotNull(), ip_key(F.substring_index(cidr, "/", 1)))
 
+@reusable
+def cidr_bits(cidr) -> Column:
+    """Prefix length of a well-formed CIDR, else NULL."""
+    return cidr_parts(cidr)["bits"]
 
+
+@reusable
 def cidr_range(cidr) -> Column:
     """``struct(lo, hi, bits)`` of a CIDR; NULL fields when malformed."""
-    cidr = as_col(cidr)
-    parsed = F.struct(cidr_key(cidr).alias("key"), cidr_bits(cidr).alias("bits"))
     return let(
-        parsed,
+        cidr_parts(cidr),
         lambda p: F.struct(
             range_lo(p["key"], p["bits"]).alias("lo"),
             range_hi(p["key"], p["bits"]).alias("hi"),
@@ -162,9 +174,21 @@ def cidr_range(cidr) -> Column:
     )
 
 
+@reusable
+def network_cidr(cidr) -> Column:
+    """Canonical text of the network a CIDR lies in, NULL when malformed."""
+    return let(cidr_parts(cidr), lambda p: masked_cidr(p["key"], p["bits"]))
+
+
+@reusable
+def network_address(cidr) -> Column:
+    return let(cidr_parts(cidr), lambda p: key_to_text(range_lo(p["key"], p["bits"])))
+
+
 def contains(cidr, ip) -> Column:
-    r = cidr_range(cidr)
-    return F.coalesce(ip_key(ip).between(r["lo"], r["hi"]), F.lit(False))
+    both = F.struct(cidr_range(cidr).alias("r"), ip_key(ip).alias("k"))
+    inside = let(both, lambda x: x["k"].between(x["r"]["lo"], x["r"]["hi"]))
+    return F.coalesce(inside, F.lit(False))
 
 
 def _v6_in(key: Column, *ranges: tuple[str, str]) -> Column:
@@ -204,6 +228,7 @@ _PRIVATE_KEYS = [
 ]
 
 
+@reusable
 def terrain_addr(ip) -> Column:
     """Whether an address can be a host: no multicast, unspecified, loopback,
     link-local or all-ones broadcast."""
@@ -213,6 +238,7 @@ def terrain_addr(ip) -> Column:
     return F.coalesce(host, F.lit(False))
 
 
+@reusable
 def is_private(ip) -> Column:
     """RFC 1918 and fc00::/7."""
     ip = as_col(ip)
@@ -221,6 +247,7 @@ def is_private(ip) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
+@reusable
 def internal_cidr(cidr) -> Column:
     """Whether a grouping CIDR is private address space."""
     cidr = as_col(cidr)
@@ -268,6 +295,7 @@ def masked_cidr(key: Column, bits: Column) -> Column:
     return F.concat(low, F.lit("/"), bits.cast("string"))
 
 
+@reusable
 def subnet(ip) -> Column:
     """Grouping subnet: /24 for IPv4, /64 for IPv6, the raw text otherwise."""
     ip = as_col(ip)
@@ -292,11 +320,13 @@ def group_cidr(ip, prefix: int) -> Column:
     return F.when(is_ipv4(ip), subnet_of(ip, prefix)).otherwise(subnet(ip))
 
 
+@reusable
 def mask_to_bits(mask) -> Column:
     """Prefix length of a dotted netmask, NULL unless it is contiguous."""
     return _ones(_v4_bits(as_col(mask)))
 
 
+@reusable
 def wildcard_to_bits(wildcard) -> Column:
     """Prefix length of a dotted wildcard mask, NULL unless contiguous."""
     return _ones(F.translate(_v4_bits(as_col(wildcard)), "01", "10"))

@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keyscape.functions.columns import as_col
+from keyscape.functions.columns import as_col, map_literal, reusable
 
 # Results depend on these lists.
 CLASS_PORTS = {
@@ -79,10 +79,10 @@ SENSITIVE_PORTS = sorted(CRITICAL_PORTS + EXTRA_SENSITIVE_PORTS)
 
 
 def _lookup(mapping: dict, key: Column) -> Column:
-    literal = F.create_map(*[F.lit(x) for x in chain(*mapping.items())])
-    return F.element_at(literal, key)
+    return F.element_at(map_literal(mapping), key)
 
 
+@reusable
 def service_class(port) -> Column:
     port = as_col(port)
     expr = None
@@ -92,21 +92,25 @@ def service_class(port) -> Column:
     return expr.otherwise("other")
 
 
+@reusable
 def class_label(cls) -> Column:
     return F.coalesce(_lookup(CLASS_LABELS, as_col(cls)), F.lit("other"))
 
 
+@reusable
 def class_color(cls) -> Column:
     return F.coalesce(
         _lookup(CLASS_COLORS, as_col(cls)), F.lit(CLASS_COLORS["other"])
     )
 
 
+@reusable
 def known_service(port) -> Column:
     """Short name of a notable port, empty otherwise."""
     return F.coalesce(_lookup(PORT_NAMES, as_col(port).cast("int")), F.lit(""))
 
 
+@reusable
 def service_name(port) -> Column:
     port = as_col(port)
     return F.coalesce(
@@ -115,30 +119,37 @@ def service_name(port) -> Column:
     )
 
 
+@reusable
 def is_critical(port) -> Column:
     return as_col(port).isin(CRITICAL_PORTS)
 
 
+@reusable
 def is_auth_edge(port) -> Column:
     return as_col(port).isin(AUTH_EDGE_PORTS)
 
 
+@reusable
 def is_admin(port) -> Column:
     return as_col(port).isin(CLASS_PORTS["admin"])
 
 
+@reusable
 def is_database(port) -> Column:
     return as_col(port).isin(CLASS_PORTS["db"])
 
 
+@reusable
 def is_sensitive(port) -> Column:
     return as_col(port).isin(SENSITIVE_PORTS)
 
 
+@reusable
 def is_gear(port) -> Column:
     return as_col(port).isin(GEAR_PORTS)
 
 
+@reusable
 def is_mail(port) -> Column:
     return as_col(port).isin(MAIL_PORTS)
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from keyscape import config
-from keyscape.functions.columns import as_col
+from keyscape.functions.columns import as_col, map_literal, reusable
 
 # Vendor of the first three MAC octets.
 VENDOR_PREFIXES = {
@@ -39,13 +37,14 @@ ROLE_TOKENS = {
 }
 
 
+@reusable
 def vendor_for_mac(mac) -> Column:
     digits = F.substring(F.regexp_replace(F.lower(as_col(mac)), "[^0-9a-f]", ""), 1, 6)
-    pairs = [(p, v) for v, ps in VENDOR_PREFIXES.items() for p in ps]
-    table = F.create_map(*[F.lit(x) for x in chain(*pairs)])
+    table = map_literal({p: v for v, ps in VENDOR_PREFIXES.items() for p in ps})
     return F.coalesce(F.element_at(table, digits), F.lit(""))
 
 
+@reusable
 def normalize_role(text) -> Column:
     lowered = F.lower(F.coalesce(as_col(text), F.lit("")))
     words = F.split(lowered, r"[^\p{L}\p{Nd}]+")
@@ -78,6 +77,7 @@ def role_confidence(have, minimum: int) -> Column:
     )
 
 
+@reusable
 def subject_cn(subject) -> Column:
     """Lower-cased first CN of a certificate subject, empty when absent."""
     parts = F.transform(F.split(F.coalesce(as_col(subject), F.lit("")), ","), F.trim)
@@ -86,6 +86,7 @@ def subject_cn(subject) -> Column:
     return F.coalesce(F.lower(F.trim(F.substring(first, 4, 2**31 - 1))), F.lit(""))
 
 
+@reusable
 def certificate_names(sans, subject) -> Column:
     """Sorted distinct lower-cased SANs plus the subject CN."""
     sans = F.coalesce(as_col(sans), F.array().cast("array<string>"))
@@ -173,6 +174,7 @@ def _arr(c) -> Column:
     return F.coalesce(as_col(c), F.array().cast("array<string>"))
 
 
+@reusable
 def port_range(text) -> Column:
     """``80`` or ``1000-2000`` (either order) as ``struct(lo, hi)``; empty text
     means any port, ``(0, 0)``; NULL when it is not a number or a range."""

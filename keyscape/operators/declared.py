@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keyscape.functions import ip as ipf
 from keyscape.operators import ranges
+from keyscape.session import materialize
 
 ANY = "0.0.0.0/0"
 IMPLICIT = "implicit deny (default)"
@@ -23,10 +24,9 @@ def owned_prefixes(interfaces: DataFrame, prefixes: DataFrame, vlans: DataFrame)
     routed = vlans.filter(F.coalesce("subnet", F.lit("")) != "").select(
         "source", "device", F.col("subnet").alias("cidr"))
     return (
-        own.unionByName(routed).filter(ipf.cidr_bits("cidr").isNotNull())
-        .select("source", "device",
-                ipf.masked_cidr(ipf.cidr_key("cidr"), ipf.cidr_bits("cidr")).alias("cidr"))
-        .distinct()
+        own.unionByName(routed)
+        .select("source", "device", ipf.network_cidr("cidr").alias("cidr"))
+        .distinct().filter("cidr IS NOT NULL")
     )
 
 
@@ -146,7 +146,7 @@ def applications(devices, interfaces, prefixes, bindings, vlans, rulesets) -> Da
                 "device", "ruleset", "kind", "ord", "cidr")
     )
     unifi = devices.filter(F.col("vendor") == "unifi").select("source", "device")
-    sets = rulesets.join(unifi, "source").select("source", "device", "ruleset")
+    sets = rulesets.drop("device").join(unifi, "source").select("source", "device", "ruleset")
     kind = (
         F.when(F.col("ruleset").isin("LAN_IN", "GUEST_IN"), "lan")
         .when(F.col("ruleset") == "WAN_IN", "wan")
@@ -157,14 +157,14 @@ def applications(devices, interfaces, prefixes, bindings, vlans, rulesets) -> Da
     lans = vlans.filter(F.coalesce("subnet", F.lit("")) != "").select(
         "source", F.when(guest, "GUEST_IN").otherwise("LAN_IN").alias("ruleset"),
         F.col("subnet").alias("cidr"), F.col("ord"))
-    own = owned_prefixes(interfaces, prefixes, vlans).select(
+    own = materialize(owned_prefixes(interfaces, prefixes, vlans), "owned").select(
         "source", "cidr", F.lit(0).alias("ord"))
     scoped = sets.filter("kind = 'lan'").join(lans, ["source", "ruleset"]).unionByName(
         sets.filter("kind <> 'lan'").join(own, "source"))
     scoped = scoped.select(F.concat_ws("|", "source", "ruleset").alias("app"), "source", "device",
                            "ruleset", "kind", "ord", "cidr")
-    rows = bound.unionByName(scoped).filter(ipf.cidr_bits("cidr").isNotNull())
-    return rows.withColumn("cidr", ipf.masked_cidr(ipf.cidr_key("cidr"), ipf.cidr_bits("cidr")))
+    rows = bound.unionByName(scoped).withColumn("cidr", ipf.network_cidr("cidr"))
+    return rows.distinct().filter("cidr IS NOT NULL")
 
 
 def governed_flows(edges: DataFrame, apps: DataFrame) -> DataFrame:

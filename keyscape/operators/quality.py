@@ -127,7 +127,10 @@ def overlay_integrity(devices: DataFrame) -> DataFrame:
     return blank.unionByName(repeated).unionByName(bad).unionByName(shared)
 
 
-def zero_coverage(scope: DataFrame, nodes: DataFrame) -> DataFrame:
+def zero_coverage(
+    scope: DataFrame, nodes: DataFrame, lengths: list[int] | None = None
+) -> DataFrame:
     """In-scope CIDRs without any observed host."""
-    seen = ranges.match(nodes.select("ip").distinct(), "ip", scope, "cidr").select("cidr").distinct()
+    hosts = nodes.select("ip").distinct()
+    seen = ranges.match(hosts, "ip", scope, "cidr", lengths).select("cidr").distinct()
     return scope.select("cidr").distinct().join(seen, "cidr", "left_anti")

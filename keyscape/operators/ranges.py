@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyscape.functions import ip as ipf
-from keyscape.functions.columns import let
+from keyscape.functions.columns import let, reusable
 
 
 def prefix_lengths(cidrs: DataFrame, column: str) -> list[int]:
@@ -20,12 +20,13 @@ def prefix_lengths(cidrs: DataFrame, column: str) -> list[int]:
     return sorted(r["b"] for r in rows if r["b"] is not None)
 
 
+@reusable
 def network_token(cidr) -> Column:
     """Join token of a CIDR: length and masked network."""
-    parsed = F.struct(ipf.cidr_key(cidr).alias("key"), ipf.cidr_bits(cidr).alias("bits"))
     return let(
-        parsed,
-        lambda p: F.concat_ws("/", p["bits"].cast("string"), ipf.key_prefix(p["key"], p["bits"])),
+        ipf.cidr_parts(cidr),
+        lambda p: F.when(p["bits"].isNotNull(), F.concat_ws(
+            "/", p["bits"].cast("string"), ipf.key_prefix(p["key"], p["bits"]))),
     )
 
 
@@ -84,13 +85,10 @@ def overlapping(left: DataFrame, left_cidr: str, right: DataFrame, right_cidr: s
     a = left.select(left_cidr).distinct()
     b = right.select(F.col(right_cidr).alias("_r")).distinct()
 
-    def network(c):
-        return ipf.key_to_text(ipf.cidr_range(c)["lo"])
-
     inside = match(
-        a.withColumn("_ip", network(left_cidr)), "_ip", b, "_r"
+        a.withColumn("_ip", ipf.network_address(left_cidr)), "_ip", b, "_r"
     ).select(left_cidr)
     around = match(
-        b.withColumn("_ip", network("_r")), "_ip", a, left_cidr
+        b.withColumn("_ip", ipf.network_address("_r")), "_ip", a, left_cidr
     ).select(left_cidr)
     return inside.unionByName(around).distinct()

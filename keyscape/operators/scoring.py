@@ -20,12 +20,20 @@ _WEIGHTS = {
 
 
 def components(
-    nodes: DataFrame, edges: DataFrame, pagerank: DataFrame, betweenness: DataFrame
+    nodes: DataFrame,
+    edges: DataFrame,
+    pagerank: DataFrame | None = None,
+    betweenness: DataFrame | None = None,
 ) -> DataFrame:
-    """The four raw measures on every node, zero where unobserved."""
+    """The four raw measures on every node, zero where unobserved. A centrality
+    that was not computed counts as zero everywhere."""
     joined = nodes
     for part in (critical_in_degree(edges), subnet_spread(edges), pagerank, betweenness):
-        joined = joined.join(part, "ip", "left")
+        if part is not None:
+            joined = joined.join(part, "ip", "left")
+    for name in ("pagerank", "betweenness"):
+        if name not in joined.columns:
+            joined = joined.withColumn(name, F.lit(0.0))
     return joined.fillna(
         {"dependents": 0, "spread": 0, "pagerank": 0.0, "betweenness": 0.0}
     )

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from keyscape.functions import ip as ipf
 from keyscape.functions import text
+from keyscape.functions.columns import let
+from keyscape.session import materialize
 
 ANY = "0.0.0.0/0"
 SOURCE_PORT = "source-port match unavailable from flow data"
@@ -89,7 +91,7 @@ def _word(i: int) -> Column:
 
 
 def ios_tables(files: DataFrame) -> dict[str, DataFrame]:
-    lines = ios_lines(files)
+    lines = materialize(ios_lines(files), "lines")
     top = lines.filter("section IS NULL")
     inside = lambda s: lines.filter(F.col("section") == s)
     hostname = top.filter((_word(0) == "hostname") & (F.size("w") >= 2)).groupBy("source").agg(
@@ -170,21 +172,20 @@ def _numbered_rules(rules: DataFrame) -> DataFrame:
     return rules.withColumn("idx", F.row_number().over(order) - 1).drop("seq")
 
 
-_SPEC = r"^(any(?= |$)|host \S+|\S+ \S+)"
-_PORTS = r"^((?:eq|gt|lt|neq) \S+|range \S+ \S+|(?:eq|gt|lt|neq|range)(?: \S+)?$)"
-
-
-def _rest(rest: Column, taken: Column) -> Column:
-    return F.ltrim(F.substring(rest, F.length(taken) + 1, F.lit(2**31 - 1)))
+_SPEC = r"any(?= |$)|host \S+|\S+ \S+"
+_PORTS = r"(?:eq|gt|lt|neq) \S+|range \S+ \S+|range \S+$|(?:eq|gt|lt|neq|range)$"
+_PORTED = rf"^({_SPEC})(?: ({_PORTS}))?(?: ({_SPEC})(?: ({_PORTS}))?)?(?: (.*))?$"
+_PLAIN = rf"^({_SPEC})()(?: ({_SPEC})())?(?: (.*))?$"
 
 
 def _spec(spec: Column) -> Column:
     """CIDR of an address part; NULL when a wildcard is not contiguous."""
     first, second = F.split_part(spec, F.lit(" "), F.lit(1)), F.split_part(spec, F.lit(" "), F.lit(2))
-    bits = ipf.wildcard_to_bits(second)
+    network = let(ipf.wildcard_to_bits(second), lambda bits: F.when(
+        bits.isNotNull(), ipf.masked_cidr(ipf.ip_key(first), bits)))
     return (
         F.when(spec == "any", ANY).when(first == "host", F.concat(second, F.lit("/32")))
-        .when(ipf.is_ipv4(first) & bits.isNotNull(), ipf.masked_cidr(ipf.ip_key(first), bits)))
+        .when(ipf.is_ipv4(first), network))
 
 
 def _port_part(part: Column) -> Column:
@@ -209,45 +210,55 @@ def _port_part(part: Column) -> Column:
 def acl_rules(entries: DataFrame) -> DataFrame:
     """Normalise entries (source, line, t, ruleset, standard, w) where ``w`` are
     the words from the action on. The first caveat found stays."""
-    blank = F.lit("")
     proto = F.when(F.col("standard"), "ip").otherwise(F.coalesce(_word(1), F.lit("ip")))
     skip = F.when(F.col("standard"), 2).otherwise(3)
+    clause = F.array_join(F.slice("w", skip, 10**6), " ")
     rows = entries.filter(~F.lower("t").contains("secret")).select(
-        "source", "line", "ruleset", "standard", F.col("t").alias("raw"), _word(0).alias("action"),
-        proto.alias("r_proto"), F.array_contains("w", "object-group").alias("grouped"),
-        F.array_join(F.slice("w", skip, 10**6), " ").alias("rest"))
-    known = F.col("r_proto").isin("ip", "tcp", "udp", "icmp")
-    rows = rows.withColumn("rest", F.when(known & ~F.col("grouped"), F.col("rest")).otherwise(""))
-
-    def usable(spec: Column) -> Column:
-        bad_host = spec.startswith("host ") & ~ipf.is_ipv4(F.substring(spec, 6, 10**6))
-        return F.when(bad_host, blank).otherwise(spec)
-
-    ported = F.col("r_proto").isin("tcp", "udp")
-    clause = lambda c: F.when(ported, F.regexp_extract(c, _PORTS, 1)).otherwise(blank)
-    rows = rows.withColumn("s", F.regexp_extract("rest", _SPEC, 1))
-    rows = rows.withColumn("rest", F.when(usable(F.col("s")) == "", blank).otherwise(
-        _rest(F.col("rest"), F.col("s")))).withColumn("s", usable(F.col("s")))
-    rows = rows.withColumn("sp", clause("rest"))
-    rows = rows.withColumn("rest", F.when(F.col("standard"), blank).otherwise(_rest(F.col("rest"), F.col("sp"))))
-    rows = rows.withColumn("d", F.regexp_extract("rest", _SPEC, 1))
-    rows = rows.withColumn("rest", F.when(usable(F.col("d")) == "", blank).otherwise(
-        _rest(F.col("rest"), F.col("d")))).withColumn("d", usable(F.col("d")))
-    rows = rows.withColumn("dp", clause("rest"))
-    rows = rows.withColumn("rest", _rest(F.col("rest"), F.col("dp")))
-    rows = rows.withColumns({"sc": _spec(F.col("s")), "dc": _spec(F.col("d")),
-                             "spp": _port_part(F.col("sp")), "dpp": _port_part(F.col("dp"))})
-    loose = lambda s, c: F.when((F.col(s) != "") & F.col(c).isNull(), "discontiguous wildcard")
-    caveat = F.coalesce(
-        F.when(~known, "unsupported protocol"), F.when(F.col("grouped"), "object-group unresolved"),
-        loose("s", "sc"), F.nullif("spp.caveat", blank), F.when(F.col("spp.hi") > 0, SOURCE_PORT),
-        loose("d", "dc"), F.nullif("dpp.caveat", blank),
-        F.when(F.concat(F.lit(" "), "rest", F.lit(" ")).contains(" established "), "established unsupported"),
-        blank)
-    return rows.select(
-        "source", "ruleset", "action", "r_proto", F.coalesce("sc", F.lit(ANY)).alias("r_src"),
-        F.coalesce("dc", F.lit(ANY)).alias("r_dst"), F.col("dpp.lo").alias("port_lo"),
-        F.col("dpp.hi").alias("port_hi"), "line", "raw", caveat.alias("caveat"), F.lit(0).alias("seq"))
+        "source", "line", "ruleset", F.col("t").alias("raw"), _word(0).alias("action"),
+        let(F.struct(proto.alias("proto"), F.col("standard").alias("standard"),
+                     F.array_contains("w", "object-group").alias("grouped"), clause.alias("text")),
+            lambda e: let(_acl_parts(e), _acl_rule)).alias("r"))
+    return rows.select("source", "ruleset", "action", "r.*", "line", "raw", F.lit(0).alias("seq"))
+
+
+def _acl_parts(e: Column) -> Column:
+    """Split the text of an entry into its address and port parts."""
+    known = e["proto"].isin("ip", "tcp", "udp", "icmp")
+    body = F.when(known & ~e["grouped"], e["text"]).otherwise("")
+    ported = e["proto"].isin("tcp", "udp")
+    part = lambda i: F.when(ported, F.regexp_extract(body, _PORTED, i)).otherwise(
+        F.regexp_extract(body, _PLAIN, i))
+    return F.struct(
+        e["proto"].alias("proto"), e["standard"].alias("standard"), e["grouped"].alias("grouped"),
+        known.alias("known"),
+        *[part(i).alias(n) for i, n in enumerate(("src", "sport", "dst", "dport", "tail"), 1)])
+
+
+def _acl_rule(p: Column) -> Column:
+    bad = lambda spec: spec.startswith("host ") & ~ipf.is_ipv4(F.substring(spec, 6, 10**6))
+    stop = bad(p["src"])
+    src = F.when(stop, "").otherwise(p["src"])
+    deep = ~stop & ~p["standard"]
+    dst = F.when(deep & ~bad(p["dst"]), p["dst"]).otherwise("")
+    sport = F.when(stop, "").otherwise(p["sport"])
+    dport = F.when(deep & ~bad(p["dst"]), p["dport"]).otherwise("")
+    ends = F.struct(
+        _spec(src).alias("src"), _spec(dst).alias("dst"), _port_part(sport).alias("sp"),
+        _port_part(dport).alias("dp"), (src != "").alias("has_src"), (dst != "").alias("has_dst"))
+
+    def finish(x: Column) -> Column:
+        caveat = _first(
+            F.when(~p["known"], "unsupported protocol"), F.when(p["grouped"], "object-group unresolved"),
+            F.when(x["has_src"] & x["src"].isNull(), "discontiguous wildcard"), x["sp"]["caveat"],
+            F.when(x["sp"]["hi"] > 0, SOURCE_PORT),
+            F.when(x["has_dst"] & x["dst"].isNull(), "discontiguous wildcard"), x["dp"]["caveat"],
+            F.when(deep & F.array_contains(F.split(p["tail"], " "), "established"), "established unsupported"))
+        return F.struct(
+            p["proto"].alias("r_proto"), F.coalesce(x["src"], F.lit(ANY)).alias("r_src"),
+            F.coalesce(x["dst"], F.lit(ANY)).alias("r_dst"), x["dp"]["lo"].alias("port_lo"),
+            x["dp"]["hi"].alias("port_hi"), caveat.alias("caveat"))
+
+    return let(ends, finish)
 
 
 def _ios_warnings(lines: DataFrame, rules: DataFrame) -> DataFrame:
@@ -327,7 +338,8 @@ def _networks(items: DataFrame) -> DataFrame:
 
 
 def _first(*values: Column) -> Column:
-    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values], F.lit(""))
+    """First value that is neither NULL nor empty."""
+    return F.coalesce(F.get(F.filter(F.array(*values), lambda v: v != ""), F.lit(0)), F.lit(""))
 
 
 def _legacy_rules(items: DataFrame, nets: DataFrame) -> DataFrame:
@@ -335,10 +347,11 @@ def _legacy_rules(items: DataFrame, nets: DataFrame) -> DataFrame:
         "verb", F.lower("action")).filter(F.col("verb").isin("accept", "drop", "reject"))
     table = nets.filter("subnet <> ''").groupBy("source", "net").agg(F.max("subnet").alias("subnet"))
     for side in ("src", "dst"):
-        rows = rows.join(
-            table.select("source", F.col("net").alias(f"_{side}"), F.col("subnet").alias(f"{side}_net")),
-            (rows["source"] == table["source"]) & (F.col(f"i.{side}_networkconf_id") == F.col(f"_{side}")),
-            "left").drop(table["source"], f"_{side}")
+        known = table.select(F.col("source").alias("_source"), F.col("net").alias(f"_{side}"),
+                             F.col("subnet").alias(f"{side}_net"))
+        same = (F.col("source") == F.col("_source")) & (
+            F.col(f"i.{side}_networkconf_id") == F.col(f"_{side}"))
+        rows = rows.join(known, same, "left").drop("_source", f"_{side}")
 
     def end(side: str) -> tuple[Column, Column]:
         given = F.trim(F.coalesce(f"i.{side}_address", F.lit("")))
@@ -391,14 +404,21 @@ def _endpoint(rows: DataFrame, side: str, zones: DataFrame, nets: DataFrame) ->
     missing = F.size(got) != F.size("ids")
     ipfilter = tf["ipAddressFilter"]
     items = F.coalesce(ipfilter["items"], F.array().cast("array<struct<type:string,value:string>>"))
-    value = lambda x: F.when(F.upper(x["type"]) == "IP_ADDRESS", text.controller_address(x["value"])).when(
-        F.upper(x["type"]) == "SUBNET", x["value"])
-    valid = F.filter(F.transform(items, value), lambda c: ipf.cidr_bits(c).isNotNull())
-    problem = lambda x: (
-        F.when(F.upper(x["type"]) == "IP_ADDRESS", F.when(ipf.cidr_bits(value(x)).isNull(), "invalid IP filter"))
-        .when(F.upper(x["type"]) == "SUBNET", F.when(ipf.cidr_bits(value(x)).isNull(), "invalid subnet filter"))
-        .otherwise("IP range filter unsupported"))
-    item_caveat = F.get(F.array_compact(F.transform(items, problem)), F.lit(0))
+    def judge(x: Column) -> Column:
+        """Value and problem of one listed address."""
+        kind_of = F.upper(F.coalesce(x["type"], F.lit("")))
+        value = F.when(kind_of == "IP_ADDRESS", text.controller_address(x["value"])).when(
+            kind_of == "SUBNET", x["value"])
+        bits = let(value, lambda v: F.struct(v.alias("cidr"), ipf.cidr_bits(v).alias("bits")))
+        return F.struct(bits.alias("net"), F.when(
+            ~kind_of.isin("IP_ADDRESS", "SUBNET"), "IP range filter unsupported").when(
+            kind_of == "IP_ADDRESS", "invalid IP filter").otherwise("invalid subnet filter").alias("why"))
+
+    base = base.withColumn("judged", F.transform(items, judge))
+    good = F.filter("judged", lambda j: j["net"]["bits"].isNotNull())
+    valid = F.transform(good, lambda j: j["net"]["cidr"])
+    item_caveat = F.get(F.transform(F.filter(
+        "judged", lambda j: j["net"]["bits"].isNull()), lambda j: j["why"]), F.lit(0))
     opposite = lambda f: F.coalesce(f["matchOpposite"], F.lit(False))
     listed = F.upper(F.coalesce(ipfilter["type"], F.lit(""))) == "IP_ADDRESSES"
     plain_ip = (kind == "IP_ADDRESS") & listed & ~opposite(ipfilter)
@@ -493,7 +513,7 @@ def _policy_rules(items: DataFrame, nets: DataFrame) -> DataFrame:
 
 def controller_tables(files: DataFrame) -> dict[str, DataFrame]:
     """Normalised tables of controllers; ``files`` is (source, file, content)."""
-    items = controller_items(files)
+    items = materialize(controller_items(files), "items")
     nets = _networks(items)
     devices = items.filter("kind <> 'unknown'").select("source").distinct().select(
         "source", F.col("source").alias("device"), F.lit("unifi").alias("vendor"), F.lit(False).alias("routing"))
@@ -562,14 +582,17 @@ def _controller_warnings(items: DataFrame, nets: DataFrame, rules: DataFrame) ->
     return counted.unionByName(_caveat_warning(rules, "%d firewall rule(s) carry a caveat and are not evaluated"))
 
 
-def ingest(files: DataFrame, controller: str = "unifi-controller") -> dict[str, DataFrame]:
+def ingest(
+    files: DataFrame, controller: str = "unifi-controller", tables: tuple[str, ...] = (),
+) -> dict[str, DataFrame]:
     """Mixed batch of (source, content): router files one device each, controller
-    files one controller; both table sets united, odd files as warnings."""
-    routed = route(files)
+    files one controller; both table sets united, odd files as warnings. Tables
+    named in ``tables`` are written, so that later joins read small tables."""
+    routed = materialize(route(files), "files")
     ios = ios_tables(routed.filter("vendor = 'cisco-ios'").select("source", "content"))
     api = controller_tables(routed.filter("vendor = 'unifi'").select(
         F.lit(controller).alias("source"), F.col("source").alias("file"), "content"))
     out = {n: ios[n].unionByName(api[n], allowMissingColumns=True) for n in api}
     out["routes"] = ios["routes"]
     out["warnings"] = out["warnings"].unionByName(route_warnings(routed))
-    return out
+    return {n: materialize(df, n) if n in tables else df for n, df in out.items()}
