@@ -83,7 +83,7 @@ def subject_cn(subject) -> Column:
     parts = F.transform(F.split(F.coalesce(as_col(subject), F.lit("")), ","), F.trim)
     names = F.filter(parts, lambda p: p.startswith("CN="))
     first = F.get(names, F.lit(0))
-    return F.coalesce(F.lower(F.trim(F.substring(first, 4, 2**31 - 1))), F.lit(""))
+    return F.coalesce(F.lower(F.trim(F.regexp_replace(first, "^CN=", ""))), F.lit(""))
 
 
 @reusable
