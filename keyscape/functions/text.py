@@ -80,7 +80,7 @@ def role_confidence(have, minimum: int) -> Column:
 @reusable
 def subject_cn(subject) -> Column:
     """Lower-cased first CN of a certificate subject, empty when absent."""
-    parts = F.transform(F.split(F.coalesce(as_col(subject), F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(as_col(subject), F.lit("")), ","), lambda p: F.trim(p))
     names = F.filter(parts, lambda p: p.startswith("CN="))
     first = F.get(names, F.lit(0))
     return F.coalesce(F.lower(F.trim(F.regexp_replace(first, "^CN=", ""))), F.lit(""))

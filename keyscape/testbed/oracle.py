@@ -238,12 +238,12 @@ CTES["nets"] = "SELECT DISTINCT CAST(floor(s_suppkey / 25) AS BIGINT) % 250 AS n
 _NET_ORD = "row_number() OVER (PARTITION BY ruleset ORDER BY n, item, seq) - 1"
 CTES["acl"] = """
 SELECT 'edge-' || r || '-' || b AS device, r, b, v.* FROM routers, (VALUES
- (0, 0, 'deny', 'tcp', '0.0.0.0/0', 445, 445, '', 'deny tcp any any eq 445', 12),
- (1, 1, 'permit', 'tcp', '10.0.0.0/16', 80, 443, '', 'permit tcp any 10.0.0.0 0.0.255.255 range 443 80', 13),
- (2, 2, 'permit', 'udp', '8.8.8.8/32', 101, 65535, '', 'permit udp any host 8.8.8.8 gt 100', 14),
- (3, 3, 'permit', 'tcp', '0.0.0.0/0', 0, 0, 'established unsupported', 'permit tcp any any established', 15),
- (4, 4, 'permit', 'tcp', 'lan', 22, 22, '', 'lan', 15),
- (5, 5, 'permit', 'icmp', '0.0.0.0/0', 0, 0, '', 'permit icmp any any', 16)) v(slot, o, action, proto, dst, lo, hi, caveat, raw, line)
+ (0, 0, 'deny', 'tcp', '0.0.0.0/0', 445, 445, '', 'deny tcp any any eq 445', 13),
+ (1, 1, 'permit', 'tcp', '10.0.0.0/16', 80, 443, '', 'permit tcp any 10.0.0.0 0.0.255.255 range 443 80', 14),
+ (2, 2, 'permit', 'udp', '8.8.8.8/32', 101, 65535, '', 'permit udp any host 8.8.8.8 gt 100', 15),
+ (3, 3, 'permit', 'tcp', '0.0.0.0/0', 0, 0, 'established unsupported', 'permit tcp any any established', 16),
+ (4, 4, 'permit', 'tcp', 'lan', 22, 22, '', 'lan', 16),
+ (5, 5, 'permit', 'icmp', '0.0.0.0/0', 0, 0, '', 'permit icmp any any', 17)) v(slot, o, action, proto, dst, lo, hi, caveat, raw, line)
 WHERE slot <> 3 OR b % 2 = 0"""
 CTES["rules_ios"] = """
 SELECT device, 'EDGE' AS ruleset, row_number() OVER (PARTITION BY device ORDER BY o) - 1 AS idx, action, proto AS r_proto,
@@ -472,8 +472,7 @@ SELECT 'edge-' || m.r || '-' || m.b AS device, 'EDGE' AS ruleset, arg_min(coales
   arg_min(coalesce(x.raw, 'implicit deny (default)'), m.po) AS raw, m.src, m.dst, m.port, m.proto,
   CASE WHEN m.b % 2 = 0 THEN 'partial' ELSE 'full' END AS confidence
 FROM ios_match m LEFT JOIN rules_ios x ON x.r = m.r AND x.b = m.b AND x.idx = m.idx
-  LEFT JOIN (SELECT device, row_number() OVER (PARTITION BY device ORDER BY o) - 1 AS idx, line + CASE WHEN o > 3 AND b % 2 = 0 THEN 1 ELSE 0 END
-    - CASE WHEN o > 3 THEN 0 ELSE 0 END AS line FROM acl) a
+  LEFT JOIN (SELECT device, row_number() OVER (PARTITION BY device ORDER BY o) - 1 AS idx, line + CASE WHEN o > 3 AND b % 2 = 0 THEN 1 ELSE 0 END AS line FROM acl) a
   ON a.device = 'edge-' || m.r || '-' || m.b AND a.idx = m.idx
 WHERE coalesce(x.action, 'deny') = 'deny' GROUP BY m.r, m.b, m.src, m.dst, m.port, m.proto
 UNION ALL SELECT 'ctl', 'LAN_IN', l.n, 'unifi LAN_IN: drop 10.0.' || l.n || '.1/24->10.0.0.0/24', e.src, e.dst, e.port, e.proto, 'partial'
