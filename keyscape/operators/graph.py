@@ -43,6 +43,7 @@ def _salted(edges: DataFrame, key: str, other: str, rows: int) -> tuple[DataFram
     """Edges with a salt on ``key`` and the number of salts per key. Only keys
     with more than ``rows`` edges get more than one."""
     splits = edges.groupBy(key).agg(_splits(F.count("*"), rows).alias("splits"))
+    splits = materialize(splits, "splits")
     salted = edges.join(splits, key).withColumn(
         "salt", F.pmod(F.xxhash64(other), F.col("splits").cast("bigint")).cast("int")
     )
@@ -69,7 +70,8 @@ def pagerank(
     n = vertices.count()
     if n == 0:
         return vertices.withColumn("pagerank", F.lit(0.0))
-    salted, splits = _salted(materialize(wedges, "wedges"), "src", "dst", salt_rows)
+    wedges = materialize(wedges, "wedges")
+    salted, splits = _salted(wedges, "src", "dst", salt_rows)
     totals = wedges.groupBy("src").agg(F.sum("weight").alias("total"))
     out = (
         salted.join(totals, "src")
