@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from keyscape.testbed.catalogue import QUERIES
 
 HEADLINE = ["edges", "top_servers", "nodes", "responder_cardinality", "temporal_class",
-            "role_assertions", "alternate_providers", "pagerank", "betweenness", "rank"]
+            "role_assertions", "alternate_providers", "pagerank", "rank"]
 
 
 def main() -> None:
