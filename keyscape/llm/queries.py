@@ -13,6 +13,7 @@ from keyscape.llm import (
     digest_index,
     line_dedup,
     mixing,
+    ngram_join,
     sharding,
     token_counts,
     token_files,
@@ -49,6 +50,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing.mix_sources(docs, mixing.tempered_weights(docs)).drop("h")
@@ -94,11 +99,32 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op5_mix_sources, op6_shards, op7_token_files, op8_line_dedup,
+    for f in (op1_token_counts, op4_ngram_jaccard, op5_mix_sources, op6_shards, op7_token_files, op8_line_dedup,
               op9_exact_dedup, op10_decontamination)
 }
 
 SQL = {
+    "op4_ngram_jaccard": r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+    select distinct doc_id, array_to_string(w[p:p + 4], ' ') as g
+    from (select doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) as p
+          from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (
+    select a.doc_id as a, b.doc_id as b, count(*) as k
+    from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+    select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+    where 100 * k >= 80 * (x.n + y.n - k)),
+reach as (
+    select doc_id, doc_id as other from documents
+    union select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(other) as component_id
+from reach left join sizes using (doc_id) group by doc_id
+""",
     "op8_line_dedup": r"""
 with lines as (
     select doc_id, u.unit - 1 as unit, u.line from (
