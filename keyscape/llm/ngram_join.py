@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from keyscape.llm.components import components
 from keyscape.llm.joins import BROADCAST_KEYS, join_large
+from keyscape.llm.packing import differences, pack, unpack
 from keyscape.llm.words import mix, shingle_sets
 from keyscape.session import materialize
 
@@ -41,43 +42,6 @@ PART_TOKENS = 1 << 20
 SALT_PAIRS = 256
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Unsigned integers as byte planes, led by their number of bytes."""
-    top = int(values.max()) if len(values) else 0
-    width = max(1, (top.bit_length() + 7) // 8)
-    raw = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + np.ascontiguousarray(raw.T).tobytes()
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    import zstandard
-
-    body = [_planes(a) for a in arrays]
-    head = np.array([len(arrays), *[len(a) for a in arrays]], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(body))
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    count = int(np.frombuffer(raw, "<u4", 1)[0])
-    sizes = np.frombuffer(raw, "<u4", count, 4).tolist()
-    at, out = 4 + 4 * count, []
-    for n in sizes:
-        width = raw[at]
-        flat = np.zeros((n, 8), np.uint8)
-        flat[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n).T
-        out.append(flat.reshape(-1).view("<u8"))
-        at += 1 + n * width
-    return out
-
-
-def _steps(values: np.ndarray) -> np.ndarray:
-    """Ascending values as differences."""
-    return np.diff(values, prepend=np.uint64(0)) if len(values) else values
-
-
 _PACKED = "part int, block long, first long, payload binary"
 _PACKED_ARROW = pa.schema([
     ("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("payload", pa.binary())])
@@ -113,17 +77,17 @@ def _block(batch, number: int, bits: int, part_bits: int, size: int):
     keys = tokens >> np.uint64(64 - bits)
     distinct, places = np.unique(keys, return_inverse=True)
     rows = [places[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-    steps = [_steps(r.astype(np.uint64)) for r in rows]
+    steps = [differences(r.astype(np.uint64)) for r in rows]
     parts = 1 << part_bits
     held = np.bincount(places, minlength=len(distinct)).astype(np.uint64)
-    payload = _pack(
+    payload = pack(
         uids.astype(np.int64).view(np.uint64), np.diff(off).astype(np.uint64),
         np.concatenate(steps) if steps else np.zeros(0, np.uint64))
     out = [(number % parts, number, -1, payload)]
     of = (distinct >> np.uint64(bits - part_bits)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(of, prepend=-1))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True):
-        out.append((int(of[a]), number, a, _pack(_steps(distinct[a:b]), held[a:b])))
+        out.append((int(of[a]), number, a, pack(differences(distinct[a:b]), held[a:b])))
     yield pa.RecordBatch.from_arrays(
         [pa.array(x, t) for x, t in zip(zip(*out, strict=True), _PACKED_ARROW.types, strict=True)],
         schema=_PACKED_ARROW)
@@ -137,7 +101,7 @@ def _shared(table: pa.Table) -> pa.Table:
         if row["first"] < 0:
             out.append((row["part"], row["block"], -1, row["payload"]))
             continue
-        steps, counts = _unpack(row["payload"])
+        steps, counts = unpack(row["payload"])
         keys.append(np.cumsum(steps, dtype=np.uint64))
         held.append(counts)
         lengths.append(len(steps))
@@ -153,8 +117,8 @@ def _shared(table: pa.Table) -> pa.Table:
             kept = np.flatnonzero(mine)
             at += n
             if len(kept):
-                out.append((part, block, first, _pack(
-                    _steps(kept.astype(np.uint64)), _steps(own[kept]), mine[kept])))
+                out.append((part, block, first, pack(
+                    differences(kept.astype(np.uint64)), differences(own[kept]), mine[kept])))
     columns = list(zip(*out, strict=True)) or [[]] * 4
     return pa.Table.from_arrays(
         [pa.array(x, t) for x, t in zip(columns, _PACKED_ARROW.types, strict=True)],
@@ -215,9 +179,9 @@ def _index(threshold: int):
         texts, marks = None, []
         for row in table.to_pylist():
             if row["first"] < 0:
-                texts = _unpack(row["payload"])
+                texts = unpack(row["payload"])
             else:
-                marks.append((row["first"], _unpack(row["payload"])))
+                marks.append((row["first"], unpack(row["payload"])))
         uids, counts, steps = texts
         counts = counts.astype(np.int64)
         off = np.concatenate(([0], np.cumsum(counts)))

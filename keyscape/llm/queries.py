@@ -15,6 +15,7 @@ from keyscape.llm import (
     mixing,
     ngram_join,
     sharding,
+    suffix_tree,
     token_counts,
     token_files,
 )
@@ -50,6 +51,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trains = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    return suffix_tree.suffix_tree_scores(_table(spark, sf_dir, "documents"), trains)
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -99,7 +105,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op4_ngram_jaccard, op5_mix_sources, op6_shards, op7_token_files, op8_line_dedup,
+    for f in (op1_token_counts, op3_suffix_tree, op4_ngram_jaccard, op5_mix_sources, op6_shards, op7_token_files, op8_line_dedup,
               op9_exact_dedup, op10_decontamination)
 }
 
