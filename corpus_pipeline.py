@@ -8,7 +8,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyscape.llm import decontamination, mixing, queries, token_files
+from keyscape.llm import decontamination, mixing, ngram_join, quality_crf, queries, token_files
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line classifier, learnt from the labels, scores below a half
+    go."""
+    queries.importable(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_crf.good_documents(docs, queries.quality_model(docs, labels))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near-copies connect, the one of the smallest doc_id stays."""
+    queries.importable(spark)
+    return ngram_join.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +46,14 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     path = token_files.new_path(spark, "pipeline-tokens")
     placed = docs.select("doc_id", "text", "_metadata.file_path", "_metadata.row_index")
     token_files.write_token_files(
-        placed, path, queries._tokenizer("word_bpe_49k.json"), queries.END_ID,
+        placed, path, queries.tokenizer("word_bpe_49k.json"), queries.END_ID,
         order=["file_path", "row_index"], folds=True)
     return token_files.read_token_files(spark, path)
 
 
 STAGES = [
+    ("quality classifier", keep_good),
+    ("n-gram Jaccard join", keep_one_of_each),
     ("benchmark decontamination", decontaminate),
     ("mixing sources", mix),
     ("token output", token_output),
@@ -54,5 +70,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: Tokens and the schedule can't be stated in SQL; tests hold run() to a brute force.
+#: The classifier, the schedule and the tokens can't be stated in SQL; a test holds
+#: run() to a brute force.
 ORACLE_SQL = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyscape.llm.joins import without
 from keyscape.session import materialize
 
 WINDOW = 10
@@ -169,7 +170,7 @@ def drop_contaminated(
         "benchmark-hits")
     same = docs[id_col].eqNullSafe(F.col("__hit_i")) & (
         F.xxhash64(docs[text_col].cast("string")) == F.col("__hit_h"))
-    return docs.join(found, same, "left_anti")
+    return without(docs, found, same)
 
 
 def remove_spans(

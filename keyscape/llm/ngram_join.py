@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyscape.llm.components import components
-from keyscape.llm.joins import BROADCAST_KEYS, join_large
+from keyscape.llm.joins import BROADCAST_KEYS, join_large, without
 from keyscape.llm.packing import differences, pack, unpack
 from keyscape.llm.words import mix, shingle_sets
 from keyscape.session import materialize
@@ -375,3 +375,20 @@ def near_groups(
     return out.select(
         F.col("i").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("i")).otherwise(F.col("component")).alias("component_id"))
+
+
+def one_of_each(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = SHINGLE,
+    threshold: int = THRESHOLD,
+) -> DataFrame:
+    """Rows of ``docs``, all columns, of the smallest id of each group of ``near_groups``.
+    Texts without words are groups of their own. Rows that repeat the id and the text
+    of a row that stays are the same document, and stay."""
+    groups = near_groups(docs, id_col, text_col, size, threshold)
+    gone = materialize(
+        groups.where(~F.col(id_col).eqNullSafe(F.col("component_id")))
+        .select(F.col(id_col).alias("__near_gone")).distinct(), "jaccard-gone")
+    return without(docs, gone, docs[id_col].eqNullSafe(F.col("__near_gone")))

@@ -14,6 +14,7 @@ from keyscape.llm import (
     line_dedup,
     mixing,
     ngram_join,
+    quality_crf,
     sharding,
     suffix_tree,
     token_counts,
@@ -39,7 +40,7 @@ def importable(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -47,13 +48,31 @@ def _tokenizer(name: str) -> str:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(
-        _table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+        _table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality_crf.Crf:
+    """The line classifier learnt from the labels that are not held out."""
+    return quality_crf.train(docs, labels, ~_held_out(3, 1))
+
+
+def _held_out(parts: int, rest: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == rest, F.lit(False))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model(docs, _table(spark, sf_dir, "labels"))
+    return docs.select(
+        "doc_id", _held_out(3, 1).alias("held_out"),
+        quality_crf.score(F.col("text"), model).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trains = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
-    return suffix_tree.suffix_tree_scores(_table(spark, sf_dir, "documents"), trains)
+    return suffix_tree.suffix_tree_scores(
+        _table(spark, sf_dir, "documents"), ~_held_out(7, 2))
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +94,7 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_path(spark, "token-files")
     token_files.write_token_files(
-        _table(spark, sf_dir, "documents"), path, _tokenizer("word_bpe_49k.json"), END_ID,
+        _table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), END_ID,
         folds=True)
     return token_files.read_token_files(spark, path)
 
@@ -105,7 +124,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op3_suffix_tree, op4_ngram_jaccard, op5_mix_sources, op6_shards, op7_token_files, op8_line_dedup,
+    for f in (op1_token_counts, op2_quality, op3_suffix_tree, op4_ngram_jaccard, op5_mix_sources, op6_shards, op7_token_files, op8_line_dedup,
               op9_exact_dedup, op10_decontamination)
 }
 
