@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyscape.llm.joins import join_large
 from keyscape.session import materialize
 
 WHITE = r"[\x20\x09-\x0D]+"
-HOT_GROUPS = 1000
 
 
 def normalised(text_col: str = "text"):
@@ -63,44 +63,28 @@ class DigestIndex:
             F.unhex(F.sha2(normalised(text_col), 256)).alias("digest"),
             F.coalesce(F.char_length(F.col(text_col).cast("string")), F.lit(0)).alias("n"),
         ), "digest-entries")
-        groups = entries.groupBy("digest").agg(
+        groups = materialize(entries.groupBy("digest").agg(
             F.max(F.struct(F.col("n"), (-F.col("i")).alias("low"))).alias("best"),
-            F.count("*").alias("group_size"),
+            F.count("*").alias("rows"),
         ).select("digest", (-F.col("best.low")).alias("keep_id"),
-                 F.col("best.n").alias("keep_n"), "group_size")
-        known = self.rows() if self.exists() else None
-        if known is None:
-            fresh = materialize(groups, "digest-groups")
-            merged = fresh.withColumn("fresh", F.lit(True))
+                 F.col("best.n").alias("keep_n"), "rows"), "digest-groups")
+        labels = groups.withColumn("group_size", F.col("rows"))
+        if self.exists():
+            known = self.rows().hint("merge")
+            seen = known.join(groups.select("digest", "rows"), "digest").select(
+                "digest", "keep_id", F.lit(None).cast("int").alias("keep_n"), "rows",
+                (F.col("group_size") + F.col("rows")).alias("group_size"))
+            # stored before the index grows
+            seen = materialize(seen, "digest-seen")
+            fresh = materialize(labels.join(known, "digest", "left_anti"), "digest-fresh")
+            labels = fresh.unionByName(seen)
         else:
-            groups = materialize(groups, "digest-groups")
-            fresh = materialize(
-                groups.join(known.hint("merge"), "digest", "left_anti"), "digest-fresh")
-            seen = known.join(groups.select("digest", F.col("group_size").alias("more")), "digest")
-            merged = fresh.withColumn("fresh", F.lit(True)).unionByName(seen.select(
-                "digest", "keep_id", F.lit(None).cast("int").alias("keep_n"),
-                (F.col("group_size") + F.col("more")).alias("group_size"),
-                F.lit(False).alias("fresh")))
+            fresh = labels
         self._append(fresh)
-        # Groups of a thousandth of all rows or more are a thousand at most: they
-        # are broadcast, so that no task gets all rows of one of them.
-        total = entries.count()
-        large = materialize(
-            merged.where(F.col("group_size") * HOT_GROUPS >= F.lit(max(total, 1))), "digest-hot"
-        ) if known is None else None
-        out = self._label(entries, merged, large)
+        out = join_large(entries, labels, "digest", "rows", entries.count())
         return out.select(
             F.col("i").alias(id_col), "keep_id", "group_size",
-            (F.col("fresh") & F.col("i").eqNullSafe(F.col("keep_id"))
-             & (F.col("n") == F.col("keep_n"))).alias("kept"),
+            (F.col("i").eqNullSafe(F.col("keep_id"))
+             & F.coalesce(F.col("n") == F.col("keep_n"), F.lit(False))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
-
-    @staticmethod
-    def _label(entries: DataFrame, merged: DataFrame, large: DataFrame | None) -> DataFrame:
-        if large is None:
-            return entries.join(merged, "digest")
-        names = F.broadcast(large.select("digest"))
-        return entries.join(F.broadcast(large), "digest").unionByName(
-            entries.join(names, "digest", "left_anti").join(
-                merged.join(names, "digest", "left_anti"), "digest"))
