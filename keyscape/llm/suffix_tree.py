@@ -244,11 +244,11 @@ class SuffixTree:
             other = np.maximum(heads[level] - np.bincount(context, held[level], many), 0)
             other_low = np.maximum(1 - np.bincount(context, lower, many), 1e-12)
             rate = np.maximum(other, 1) / np.maximum(heads[level], 1)
-            gain = np.bincount(context, held[level] * np.log(held[level] / n / lower), many)
+            gain = np.bincount(context, held[level] * np.log(held[level] / n / lower), many) * 1.0
             gain += np.where(other > 0, other * np.log(rate / other_low), 0.0)
             self.kept.append(
                 (entries > 0) & (gain > 0.5 * entries * np.log(np.maximum(heads[level], 2))))
-            share = np.maximum(held[level] - DISCOUNT, 0) / n
+            share = np.maximum(held[level] - DISCOUNT, 0.0) / n
             below = share + (1 - np.bincount(context, share, many))[context] * lower
         for level in range(len(tables) - 1, 0, -1):
             runs = np.flatnonzero(self.kept[level])
