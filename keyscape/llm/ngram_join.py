@@ -23,21 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyscape.llm.components import components
 from keyscape.llm.joins import BROADCAST_KEYS, join_large, without
 from keyscape.llm.packing import differences, pack, unpack
-from keyscape.llm.words import mix, shingle_sets
+from keyscape.llm.words import mix, row_slices, shingle_sets
 from keyscape.session import materialize
 
 SHINGLE = 5
 THRESHOLD = 80
 GROUPS = 32
 RARE = 32
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 PART_TOKENS = 1 << 20
 SALT_PAIRS = 256
 
@@ -57,15 +56,9 @@ def _blocks(bits: int, part_bits: int, size: int):
 
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            sizes = pc.binary_length(batch.column(1)).fill_null(0).to_numpy(
-                zero_copy_only=False)
-            start = 0
-            while start < batch.num_rows:
-                upto = np.cumsum(sizes[start:])
-                end = start + max(1, int(np.searchsorted(upto, BLOCK_BYTES, "right")))
+            for start, end in row_slices(batch.column(1), BLOCK_BYTES):
                 yield from _block(batch.slice(start, end - start), number, bits, part_bits, size)
                 number += 1
-                start = end
 
     return run
 
@@ -126,9 +119,15 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _miss(n: int, threshold: int) -> int:
+    """Tokens that a text may lack in any partner."""
     return n - -(-threshold * n // 100)
 
 
+def _miss_as_shorter(n: int, threshold: int) -> int:
+    """Tokens that it may lack in a partner of its size or more."""
+    return n - -(-2 * threshold * n // (100 + threshold))
+
+
 def short_sizes(threshold: int, groups: int) -> tuple[int, int]:
     """(largest size whose combinations may not reach the weight, largest size of
     its partners)."""
@@ -139,19 +138,25 @@ def short_sizes(threshold: int, groups: int) -> tuple[int, int]:
     return short, short * 100 // threshold
 
 
-def signatures(keys: np.ndarray, level: np.ndarray, n: int, threshold: int) -> np.ndarray:
-    """What to index of a text of ``n`` tokens, of which ``keys`` are not its own alone."""
-    need = _miss(n, threshold) + 1 - (n - len(keys))
+def signatures(
+    keys: np.ndarray, level: np.ndarray, n: int, threshold: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """What to index of a text of ``n`` tokens, of which ``keys`` are not its own alone,
+    and which of it is for the text as the shorter of a pair, too."""
+    alone = n - len(keys)
+    need = _miss(n, threshold) + 1 - alone
     if need <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
+    few = max(0, _miss_as_shorter(n, threshold) + 1 - alone)
     order = np.lexsort((keys, level))
     keys, level = keys[order], level[order]
     short, partner = short_sizes(threshold, GROUPS)
-    out = []
+    out, brief = [], []
     if n <= partner:
         out.append(mix(keys[:need]))
+        brief.append(np.arange(len(out[0])) < few)
     if n > short:
-        frequent = level > 4 * np.log2(RARE)
+        frequent = level > 4 * np.log2(max(RARE, 1))
         group = (mix(keys ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(GROUPS)).astype(np.int64)
         group[~frequent] = -1
         seen = np.zeros(len(keys), bool)
@@ -159,21 +164,29 @@ def signatures(keys: np.ndarray, level: np.ndarray, n: int, threshold: int) -> n
         seen[firsts] = True
         weight = np.cumsum(~(seen & frequent))
         end = int(np.searchsorted(weight, need)) + 1
-        keys, group, frequent = keys[:end], group[:end], frequent[:end]
+        early = np.arange(len(keys)) < (int(np.searchsorted(weight, few)) + 1 if few else 0)
+        keys, group, frequent, early = keys[:end], group[:end], frequent[:end], early[:end]
         out.append(mix(keys[~frequent]))
+        brief.append(early[~frequent])
         by = np.lexsort((keys[frequent], group[frequent]))
-        k, g = keys[frequent][by], group[frequent][by]
+        k, g, e = keys[frequent][by], group[frequent][by], early[frequent][by]
         for lag in range(1, len(k)):
             same = g[lag:] == g[:-lag]
             if not same.any():
                 break
             a, b = k[:-lag][same], k[lag:][same]
             out.append(mix(mix(a) * np.uint64(0x9E3779B97F4A7C15) + b))
-    return np.unique(np.concatenate(out))
+            brief.append((e[:-lag] & e[lag:])[same])
+    found, where = np.unique(np.concatenate(out), return_inverse=True)
+    as_short = np.zeros(len(found), bool)
+    as_short[where[np.concatenate(brief)]] = True
+    return found, as_short
 
 
 def _index(threshold: int):
-    """Group of one block: (sig, uid, n); a row without sig for every text."""
+    """Group of one block: (sig, brief, uid, n, own): ``own`` tokens are in no other text,
+    ``brief`` says that the signature is for the text as the shorter one too. A row
+    without sig for every text."""
 
     def run(table: pa.Table) -> pa.Table:
         texts, marks = None, []
@@ -193,26 +206,30 @@ def _index(threshold: int):
         for first, (at, own, mine) in marks:
             at = np.cumsum(at).astype(np.int64) + first
             level[at], keys[at] = mine, np.cumsum(own, dtype=np.uint64)
-        sigs, whose = [], []
+        sigs, brief, whose, own = [], [], [], counts.copy()
         for k, p in enumerate(places):
             p = p[level[p] > 0]
-            found = signatures(keys[p], level[p], int(counts[k]), threshold)
+            own[k] -= len(p)
+            found, as_short = signatures(keys[p], level[p], int(counts[k]), threshold)
             sigs.append(found)
+            brief.append(as_short)
             whose.append(np.full(len(found), k))
         sigs = np.concatenate([*sigs, np.zeros(0, np.uint64)]).view(np.int64)
         whose = np.concatenate([*whose, np.zeros(0, np.int64)]).astype(np.int64)
         uids = uids.view(np.int64)
         return pa.table({
             "sig": pa.concat_arrays([pa.array(sigs), pa.nulls(len(uids), pa.int64())]),
+            "brief": np.concatenate([*brief, np.zeros(len(uids), bool)]),
             "uid": np.concatenate((uids[whose], uids)),
             "n": np.concatenate((counts[whose], counts)),
+            "own": np.concatenate((own[whose], own)),
         })
 
     return run
 
 
 def postings(texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """(sig, uid, n) of the index, stored; sig is null in one row of each text."""
+    """(sig, brief, uid, n, own) of the index, stored; sig is null in one row of each text."""
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 1
     tokens = max(1, total // 4)
     bits = min(62, max(24, tokens.bit_length() + 10))
@@ -220,7 +237,8 @@ def postings(texts: DataFrame, size: int, threshold: int) -> DataFrame:
     packed = texts.select("uid", "text").mapInArrow(_blocks(bits, part_bits, size), _PACKED)
     shared = packed.groupBy("part").applyInArrow(_shared, _PACKED)
     return materialize(
-        shared.groupBy("block").applyInArrow(_index(threshold), "sig long, uid long, n long"),
+        shared.groupBy("block").applyInArrow(
+            _index(threshold), "sig long, brief boolean, uid long, n long, own long"),
         "jaccard-index")
 
 
@@ -240,18 +258,19 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Dat
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in batches:
-            tokens, off = shingle_sets(batch.column(3), size)
             a, role, uid = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             links = []
-            for k in range(batch.num_rows):
-                own = tokens[off[k] : off[k + 1]]
-                if role[k] == 0:
-                    head = own
-                    continue
-                n = len(head) + len(own)
-                both = n - len(np.unique(np.concatenate((head, own))))
-                if both and 100 * both >= threshold * (n - both):
-                    links.append((a[k], uid[k]))
+            for start, end in row_slices(batch.column(3), BLOCK_BYTES):
+                tokens, off = shingle_sets(batch.column(3).slice(start, end - start), size)
+                for k in range(start, end):
+                    own = tokens[off[k - start] : off[k - start + 1]]
+                    if role[k] == 0:
+                        head = own
+                        continue
+                    n = len(head) + len(own)
+                    both = n - len(np.unique(np.concatenate((head, own))))
+                    if both and 100 * both >= threshold * (n - both):
+                        links.append((a[k], uid[k]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
@@ -274,20 +293,42 @@ def _merge(state: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(moved.join(sizes, "root").select("uid", "root", "size"), "jaccard-state")
 
 
+def _may_link(threshold: int):
+    """Whether a row of the live index and a chosen one (a, na, own_a, brief_a) of its group
+    can be a pair by this signature: the shorter has it as the shorter, the sizes are near
+    enough, and enough tokens are in other texts."""
+    need = (F.col("n") + F.col("na")) * threshold
+    return (
+        ((F.col("brief") & (F.col("n") <= F.col("na")))
+         | (F.col("brief_a") & (F.col("na") <= F.col("n"))))
+        & (F.least("n", "na") * 100 >= F.greatest("n", "na") * threshold)
+        & (F.least(F.col("n") - F.col("own"), F.col("na") - F.col("own_a"))
+           * (100 + threshold) >= need)
+    )
+
+
 def _linked(index: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """(uid, root) of all texts that share something in the index.
 
-    First every text is compared with the first text of the signature groups that it
-    shares most with. Then, while a group holds texts of several components, some of
-    its texts, of small components first, are compared with all others of the group
-    that are in other components, and leave the group. Texts in one component
+    First every text is compared with the head of the signature groups that it shares most
+    with: the text with the fewest tokens of its own, which a group of copies comes from.
+    Then, while a group holds texts of several components, some of its texts are
+    compared with all others of the group that are in other components, and leave
+    the group: first more heads, then texts of small components. Texts in one component
     are never compared again, so copies cost one comparison each; all others of a
-    group are, whatever its size.
+    group that may link are, whatever its size.
     """
-    heads = index.where("sig is not null").groupBy("sig").agg(
-        F.min("uid").alias("head"), F.max("uid").alias("last")).where("head <> last")
+    names = "sig brief uid n own".split()
+    head = F.struct("own", "uid", "n", "brief")
+    groups = index.where("sig is not null").groupBy("sig").agg(
+        F.min(head).alias("head"), F.min("uid").alias("low"), F.max("uid").alias("high"),
+        F.max("brief").alias("any")).where("low <> high and any")
     live = materialize(
-        index.join(heads.drop("last"), "sig").select("sig", "uid", "n", "head").distinct(),
+        index.join(groups.select("sig", F.col("head.uid").alias("a"), F.col("head.n").alias("na"),
+                                 F.col("head.own").alias("own_a"),
+                                 F.col("head.brief").alias("brief_a")), "sig")
+        .groupBy("sig", "uid").agg(*[
+            F.max(c).alias(c) for c in ("brief", "n", "own", "a", "na", "own_a", "brief_a")]),
         "jaccard-live")
     wanted = materialize(live.select("uid").distinct(), "jaccard-wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
@@ -296,30 +337,32 @@ def _linked(index: DataFrame, docs: DataFrame, size: int, threshold: int) -> Dat
         "jaccard-texts")
     state = materialize(wanted.select(
         "uid", F.col("uid").alias("root"), F.lit(1).cast("long").alias("size")), "jaccard-state")
-    best = live.where("uid <> head").groupBy("uid", "head").agg(F.count("*").alias("k")).groupBy(
-        "uid").agg(F.max(F.struct("k", "head")).alias("best"))
-    pairs = best.select(F.col("best.head").alias("a"), F.col("uid").alias("b"))
+    best = live.where((F.col("uid") != F.col("a")) & _may_link(threshold)).groupBy(
+        "uid", "a").agg(F.count("*").alias("k")).groupBy(
+        "uid").agg(F.max(F.struct("k", "a")).alias("best"))
+    pairs = best.select(F.col("best.a").alias("a"), F.col("uid").alias("b"))
     done = None
-    live, picks = live.drop("head"), 2
-    while True:
+    live = live.select(*names)
+    for picks, by in _turns():
         links = verify(pairs, texts, size, threshold)
         state = _merge(state, links)
         known = live.join(state, "uid")
         open_groups = known.groupBy("sig").agg(
-            F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+            F.min("root").alias("low"), F.max("root").alias("high"), F.max("brief").alias("any")
+        ).where("low <> high and any")
         live = materialize(known.join(open_groups.select("sig"), "sig"), "jaccard-live")
         if live.isEmpty():
-            return state.select("uid", "root")
-        by = F.struct("size", "uid", "root", "n")
+            break
         chosen = materialize(
             live.groupBy("sig", F.pmod(F.xxhash64("uid"), F.lit(picks)).alias("k"))
-            .agg(F.min(by).alias("p")).select("sig", "p.*").select(
-                "sig", F.col("uid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na")),
+            .agg(F.min(F.struct(F.col(by).alias("by"), "uid", "root", "n", "own", "brief")).alias("p"))
+            .select("sig", F.col("p.uid").alias("a"), F.col("p.root").alias("ra"),
+                    F.col("p.n").alias("na"), F.col("p.own").alias("own_a"),
+                    F.col("p.brief").alias("brief_a")),
             "jaccard-chosen")
-        near = (
-            F.least("n", "na") * 100 >= F.greatest("n", "na") * threshold)
-        pairs = live.join(chosen, "sig").where((F.col("root") != F.col("ra")) & near).select(
-            F.col("a"), F.col("uid").alias("b"))
+        pairs = live.join(chosen, "sig").where(
+            (F.col("root") != F.col("ra")) & _may_link(threshold)
+        ).select("a", F.col("uid").alias("b"))
         pairs = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
             F.first("a").alias("a"), F.first("b").alias("b"))
         if done is not None:
@@ -330,8 +373,17 @@ def _linked(index: DataFrame, docs: DataFrame, size: int, threshold: int) -> Dat
         pairs = pairs.select("a", "b")
         live = live.join(
             chosen.select("sig", F.col("a").alias("uid")), ["sig", "uid"], "left_anti"
-        ).select("sig", "uid", "n")
-        picks *= 4
+        ).select(*names)
+    return state.select("uid", "root")
+
+
+def _turns() -> Iterator[tuple[int, str]]:
+    """How many texts of a group to compare in each turn, and which first."""
+    yield 1, "own"
+    picks = 8
+    while True:
+        yield picks, "size"
+        picks *= 8
 
 
 def near_groups(

@@ -11,12 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyscape.llm.line_features import NAMES, line_features, with_neighbours
-from keyscape.llm.words import STEP
+from keyscape.llm.words import STEP, row_slices
 from keyscape.session import materialize
 
 TRAIN_DOCS = 3000
@@ -105,12 +104,8 @@ def fit(features: np.ndarray, off: np.ndarray, labels: np.ndarray) -> Crf:
 def _sliced(column: pa.Array) -> Iterator[pa.Array]:
     """Runs of texts of ``STEP`` bytes at most, or one longer text: what is read in one
     piece does not depend on the neighbours of a text."""
-    sizes = pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
-    start = 0
-    while start < len(column):
-        end = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), STEP, "right")))
-        yield column.slice(start, end - start)
-        start = end
+    for a, b in row_slices(column, STEP):
+        yield column.slice(a, b - a)
 
 
 def train(

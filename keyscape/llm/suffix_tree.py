@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyscape.llm.packing import differences, pack, unpack
-from keyscape.llm.words import mix, word_hashes
+from keyscape.llm.words import mix, row_slices, word_hashes
 from keyscape.session import materialize
 
 DEPTH = 2
@@ -60,14 +59,10 @@ def _encode(part_bits: int):
 
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            sizes = pc.binary_length(batch.column(2)).fill_null(0).to_numpy(zero_copy_only=False)
-            start = 0
-            while start < batch.num_rows:
-                upto = np.cumsum(sizes[start:])
-                end = start + max(1, int(np.searchsorted(upto, BLOCK_BYTES, "right")))
+            for start, end in row_slices(batch.column(2), BLOCK_BYTES):
                 rows = block(batch.slice(start, end - start), number)
                 yield pa.RecordBatch.from_arrays(_arrow(rows, _BLOCK_ARROW), schema=_BLOCK_ARROW)
-                number, start = number + 1, end
+                number += 1
 
     def block(batch: pa.RecordBatch, number: int) -> list[tuple]:
         ids = batch.column(0)

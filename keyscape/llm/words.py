@@ -10,8 +10,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-STEP = 2 << 20
+STEP = 1 << 20
 _M64 = (1 << 64) - 1
 
 SPACE = np.zeros(256, bool)
@@ -158,6 +159,17 @@ def shingle_sets(
     return joined, np.concatenate(([0], np.cumsum(counts)))
 
 
+def row_slices(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring rows of at most ``limit`` bytes of text, or of one longer row."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(column):
+        upto = limit + (int(ends[start - 1]) if start else 0)
+        end = max(start + 1, int(np.searchsorted(ends, upto, "right")))
+        yield start, end
+        start = end
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices of the ranges [start, start + length), concatenated."""
     ends = np.cumsum(lengths)
