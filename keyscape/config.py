@@ -1,16 +1,8 @@
 """Thresholds, weights and limits. Results depend on them."""
 
-# --- discovery -------------------------------------------------------------
-DATASET_TERMS = 200
-SENSOR_TERMS = 100
-
 # --- scan ------------------------------------------------------------------
-DEFAULT_WINDOW_SECONDS = 14 * 24 * 3600
-DISCOVER_WINDOW_SECONDS = 7 * 24 * 3600
 SAMPLE_HOSTS = 3
-TOP_N_TEMPORAL = 50
 TERRAIN_EVIDENCE_TOP_N = 20
-EXACT_BETWEENNESS_MAX = 2000
 BETWEENNESS_PIVOTS = 256
 
 # --- evidence levels, weakest first ---------------------------------------
@@ -74,7 +66,6 @@ SPARSE_GROUP_MIN_HOSTS = 2
 MAP_MIN_CONNS = 5
 CLIENT_AGG_MAX_COMPOSITE = 0.15
 MAP_TARGET_ELEMENTS = 60
-MAP_MAX_ELEMENTS = 120
 MAP_ALL_PRIVATE_CAP = 1500
 MAP_SEGMENT_TOP_HOSTS = 5
 MAP_SEGMENT_MAX_GROUPS = 64

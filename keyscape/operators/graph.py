@@ -20,7 +20,6 @@ from keyscape.operators.positions import with_position
 from keyscape.session import materialize
 
 SALT_ROWS = 200_000
-ROUNDS_PER_WRITE = 4
 
 
 def weighted_edges(edges: DataFrame) -> DataFrame:
@@ -89,26 +88,27 @@ def pagerank(
     state = base.withColumn("x", F.lit(1.0 / n)).withColumn("prev", F.lit(1.0 / n))
     done = 0
     while True:
-        step = min(ROUNDS_PER_WRITE, rounds - done) if rounds else ROUNDS_PER_WRITE
-        for _ in range(step):
-            sent = state.filter("splits > 0").select(
-                F.col("ip").alias("src"),
-                F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt"),
-                "x",
-            )
-            gained = (
-                out.join(sent, ["src", "salt"])
-                .groupBy(F.col("dst").alias("ip"))
-                .agg(F.sum(F.col("share") * F.col("x")).alias("g"))
-            )
-            state = state.join(gained, "ip", "left").select(
+        sent = state.filter("splits > 0").select(
+            F.col("ip").alias("src"),
+            F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt"),
+            "x",
+        )
+        gained = (
+            out.join(sent, ["src", "salt"])
+            .groupBy(F.col("dst").alias("ip"))
+            .agg(F.sum(F.col("share") * F.col("x")).alias("g"))
+        )
+        # a written table each round: the plan of a round never holds the one before
+        state = materialize(
+            state.join(gained, "ip", "left").select(
                 "ip",
                 "splits",
                 (F.lit(teleport) + F.lit(damping) * F.coalesce("g", F.lit(0.0))).alias("x"),
                 F.col("x").alias("prev"),
-            )
-        state = materialize(state, "pagerank")
-        done += step
+            ),
+            "pagerank",
+        )
+        done += 1
         x, p = F.col("x"), F.col("prev")
         m = state.agg(
             F.sum(x).alias("s"), F.sum(p).alias("sp"), F.sum(x * x).alias("xx"),
@@ -136,26 +136,24 @@ def pivots(vertices: DataFrame, count: int) -> tuple[DataFrame, int, int]:
 def betweenness(
     vertices: DataFrame,
     wedges: DataFrame,
-    exact_limit: int = config.EXACT_BETWEENNESS_MAX,
+    mode: str,
     pivot_count: int = config.BETWEENNESS_PIVOTS,
     salt_rows: int = SALT_ROWS,
-) -> tuple[DataFrame, bool]:
-    """Directed unweighted betweenness and whether it was sampled: exact up to
-    ``exact_limit`` vertices, else from pivots scaled by n / pivots."""
+) -> DataFrame:
+    """Directed unweighted betweenness. ``mode`` is the caller's choice at any size:
+    "exact" searches from every vertex, "pivots" from ``pivot_count`` of them and scales
+    by n / pivots."""
+    if mode not in ("exact", "pivots"):
+        raise ValueError(f"betweenness mode {mode!r}: exact or pivots")
     vertices = materialize(vertices.select("ip").distinct(), "vertices")
-    sampled = vertices.count() > exact_limit
-    if sampled:
+    sources, scale = vertices, 1.0
+    if mode == "pivots":
         sources, used, n = pivots(vertices, pivot_count)
-        scale = n / used
-    else:
-        sources, scale = vertices, 1.0
+        scale = n / used if used else 1.0
     raw = path_dependencies(sources, wedges, salt_rows)
-    return (
-        vertices.join(raw, "ip", "left").select(
-            "ip",
-            (F.coalesce("dependency", F.lit(0.0)) * F.lit(scale)).alias("betweenness"),
-        ),
-        sampled,
+    return vertices.join(raw, "ip", "left").select(
+        "ip",
+        (F.coalesce("dependency", F.lit(0.0)) * F.lit(scale)).alias("betweenness"),
     )
 
 

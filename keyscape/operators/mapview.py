@@ -17,6 +17,7 @@ from keyscape.functions import ip as ipf
 from keyscape.functions import ports, text
 from keyscape.operators import ranges
 from keyscape.operators.roles import top_role
+from keyscape.session import materialize
 from keyscape.sources.telemetry import in_cidr
 
 PRIVATE_WORDS, PUBLIC_WORDS = ("private", "internal"), ("public", "external")
@@ -26,12 +27,21 @@ PRIVATE_WORDS, PUBLIC_WORDS = ("private", "internal"), ("public", "external")
 class MapOptions:
     """Overlays are small tables: segments (cidr, name), labels (cidr, label),
     pinned (ip), devices (ip, name, model), gateways (ip, device), node_flags
-    (ip, flag), edge_flags (src, dst, port, flag)."""
+    (ip, flag), edge_flags (src, dst, port, flag).
+
+    An overview keeps everything unless a limit is given: boxes of segments, hosts
+    shown of each, hosts shown of all if ``retain_all_private``, and groups, nodes
+    and edges together. What a limit leaves out is counted in the overview's
+    ``omitted`` table."""
 
     prefix: int = config.GROUP_PREFIX
     min_conns: int = config.MAP_MIN_CONNS
     focus: str | None = None
     retain_all_private: bool = False
+    max_segments: int | None = None
+    hosts_per_segment: int | None = None
+    max_private_hosts: int | None = None
+    max_elements: int | None = None
     segments: DataFrame | None = None
     labels: DataFrame | None = None
     pinned: DataFrame | None = None
@@ -41,6 +51,17 @@ class MapOptions:
     edge_flags: DataFrame | None = None
 
 
+def condensed(**options) -> MapOptions:
+    """Options with the limits of a one-page overview."""
+    limits = {
+        "max_segments": config.MAP_SEGMENT_MAX_GROUPS,
+        "hosts_per_segment": config.MAP_SEGMENT_TOP_HOSTS,
+        "max_private_hosts": config.MAP_ALL_PRIVATE_CAP,
+        "max_elements": config.MAP_TARGET_ELEMENTS,
+    }
+    return MapOptions(**limits | options)
+
+
 def focus_nodes(nodes: DataFrame, focus: str | None) -> DataFrame:
     if not focus:
         return nodes
@@ -347,43 +368,48 @@ def detailed(nodes, edges, gateways, zero_coverage, options: MapOptions) -> dict
 
 # --- condensed overview ----------------------------------------------------
 
-def overview_segments(grouped: DataFrame) -> tuple[DataFrame, bool]:
-    """The internal segments that keep a box (at most the map's limit), flagged
-    ones first, then by host count; and whether others overflow."""
+def overview_segments(grouped: DataFrame, limit: int | None = None) -> tuple[DataFrame, int]:
+    """The internal segments that keep a box (``limit`` at most), flagged ones first,
+    then by host count; and how many do not."""
     internal = grouped.filter(ipf.internal_cidr("cidr")).groupBy("cidr").agg(
         F.count("*").alias("hosts"),
         F.max((F.col("flag") != "") | (F.col("device") != "")).alias("marked"))
-    limit = config.MAP_SEGMENT_MAX_GROUPS
-    overflow = internal.count() > limit
+    if limit is None:
+        return internal, 0
+    internal = materialize(internal, "segments")
+    total = internal.count()
     order = [F.desc("marked"), F.desc("hosts"), F.asc("cidr")]
-    return internal.orderBy(*order).limit(limit - 1 if overflow else limit), overflow
+    if total <= limit:
+        return internal, 0
+    return internal.orderBy(*order).limit(limit - 1), total - limit + 1
 
 
-def overview_hosts(grouped: DataFrame, segments: DataFrame, retain_all: bool = False) -> DataFrame:
+def overview_hosts(grouped: DataFrame, segments: DataFrame, options: MapOptions) -> DataFrame:
     """Resolve groups and decide which hosts stay individual."""
     order = [
         F.desc((F.col("flag") != "") | (F.col("device") != "")), F.desc(F.col("rank") > 0),
         F.when(F.col("rank") > 0, F.col("rank")).otherwise(0).asc(), F.asc("ip")]
     kept = segments.select("cidr", F.lit(True).alias("kept"), "hosts", "marked")
-    placed = grouped.join(F.broadcast(kept), "cidr", "left")
+    placed = grouped.join(kept, "cidr", "left")
     gid = (
         F.when(F.col("kept"), F.concat(F.lit("g:"), F.col("cidr")))
         .when(ipf.internal_cidr("cidr"), "g:other").otherwise("g:external"))
     placed = placed.withColumn("gid", gid).withColumn("terrain", ipf.terrain_addr("ip"))
     forced = placed.filter((F.col("pinned") | (F.col("device") != "")) & F.col("terrain"))
     pool = placed.filter(F.col("kept") & F.col("terrain") & ~F.col("pinned") & (F.col("device") == ""))
-    if retain_all:
+    chosen = pool
+    if options.retain_all_private and options.max_private_hosts is not None:
         chosen = pool.orderBy(F.desc("marked"), F.desc("hosts"), F.asc("cidr"), *order).limit(
-            config.MAP_ALL_PRIVATE_CAP)
-    else:
+            options.max_private_hosts)
+    elif not options.retain_all_private and options.hosts_per_segment is not None:
         seat = F.row_number().over(Window.partitionBy("cidr").orderBy(*order))
-        chosen = pool.withColumn("_seat", seat).filter(F.col("_seat") <= config.MAP_SEGMENT_TOP_HOSTS)
+        chosen = pool.withColumn("_seat", seat).filter(F.col("_seat") <= options.hosts_per_segment)
     retained = forced.select("ip").unionByName(chosen.select("ip")).select(
         "ip", F.lit(True).alias("visible"))
     return placed.join(retained, "ip", "left").fillna({"visible": False}).drop("kept", "hosts", "marked")
 
 
-def overview_groups(segments: DataFrame, overflow: bool, hosts: DataFrame, options: MapOptions) -> DataFrame:
+def overview_groups(segments: DataFrame, hosts: DataFrame, options: MapOptions) -> DataFrame:
     boxes = _with_names(segments.select("cidr", "hosts"), options).select(
         F.concat(F.lit("g:"), F.col("cidr")).alias("id"), "cidr", _named(None, options).alias("label"))
     lumps = hosts.filter(F.col("gid").isin("g:other", "g:external")).select("gid").distinct().select(
@@ -410,32 +436,53 @@ def trim_edges(bundles: DataFrame, nodes: DataFrame, budget: int) -> DataFrame:
 
 
 def overview(nodes, edges, gateways, zero_coverage, options: MapOptions) -> dict[str, DataFrame]:
+    """Map of segments and chosen hosts. ``omitted`` has one row: segments without a
+    box, hosts shown only in a number, and the flagged ones of them, bundles and
+    gateways left out by the limits of ``options``."""
     focused = focus_nodes(nodes, options.focus)
-    grouped = _flagged(host_rows(grouping(focused, options)), options)
-    segments, overflow = overview_segments(grouped)
-    hosts = overview_hosts(grouped, segments, options.retain_all_private)
-    boxes = overview_groups(segments, overflow, hosts, options)
+    grouped = materialize(_flagged(host_rows(grouping(focused, options)), options), "map-hosts")
+    segments, lost_segments = overview_segments(grouped, options.max_segments)
+    hosts = materialize(overview_hosts(grouped, segments, options), "map-placed")
+    boxes = materialize(overview_groups(segments, hosts, options), "map-groups")
     ends = endpoints(hosts)
     rows = _shown(hosts.filter("visible")).unionByName(client_nodes(hosts, "more hosts"))
     n_groups = boxes.count()
-    seen = gateways.orderBy(F.desc("ip_count"), F.asc("mac"), F.asc("sensor")).limit(n_groups)
-    has_observed = not gateways.isEmpty()
-    if has_observed:
-        rows = rows.unionByName(observed_gateways(seen))
+    ordered = gateways.orderBy(F.desc("ip_count"), F.asc("mac"), F.asc("sensor"))
+    n_gateways = gateways.count()
+    lost_gateways = 0
+    if n_gateways:
+        if options.max_elements is not None:
+            ordered = ordered.limit(n_groups)
+            lost_gateways = max(0, n_gateways - n_groups)
+        rows = rows.unionByName(observed_gateways(ordered))
     covered = None
     if options.gateways is not None:
         rows, covered = declare_gateways(rows, boxes, hosts, options)
-    bundles = bundle_edges(edges, ends, options.min_conns, options.edge_flags)
-    if not options.retain_all_private:
-        bundles = trim_edges(bundles, rows, config.MAP_TARGET_ELEMENTS - n_groups - rows.count())
-    if not has_observed:
-        left = config.MAP_TARGET_ELEMENTS - n_groups - rows.count() - bundles.count()
+    rows = materialize(rows, "map-nodes")
+    every = materialize(
+        bundle_edges(edges, ends, options.min_conns, options.edge_flags), "map-bundles")
+    bundles, n_rows = every, rows.count()
+    limited = options.max_elements is not None
+    if limited and not options.retain_all_private:
+        bundles = materialize(
+            trim_edges(every, rows, options.max_elements - n_groups - n_rows), "map-edges")
+    if not n_gateways:
         bare = boxes.join(hosts.filter("visible").select(F.col("gid").alias("id")), "id", "left_anti")
         if covered is not None:
             bare = bare.join(covered.withColumnRenamed("gid", "id"), "id", "left_anti")
-        routed = bare.filter("cidr <> ''").join(
-            crossing_groups(edges, ends).withColumnRenamed("gid", "id"), "id", "left_semi")
-        rows = rows.unionByName(inferred_gateways(
-            routed.orderBy("id").limit(max(left, 0)), routed.select(F.col("id").alias("gid"))))
+        routed = materialize(bare.filter("cidr <> ''").join(
+            crossing_groups(edges, ends).withColumnRenamed("gid", "id"), "id", "left_semi"), "map-routed")
+        some = routed
+        if limited:
+            left = max(0, options.max_elements - n_groups - n_rows - bundles.count())
+            some = routed.orderBy("id").limit(left)
+            lost_gateways = max(0, routed.count() - left)
+        rows = rows.unionByName(inferred_gateways(some, routed.select(F.col("id").alias("gid"))))
+    hidden = hosts.filter(~F.col("visible")).agg(
+        F.count("*").alias("hosts"), F.count_if(F.col("flag") != "").alias("flagged_hosts"))
+    omitted = hidden.select(
+        F.lit(lost_segments).cast("bigint").alias("segments"), "hosts", "flagged_hosts",
+        F.lit(every.count() - bundles.count()).cast("bigint").alias("edges"),
+        F.lit(lost_gateways).cast("bigint").alias("gateways"))
     return {"groups": boxes, "nodes": rows, "edges": bundles, "members": members(hosts),
-            "findings": blind_spots(zero_coverage)}
+            "findings": blind_spots(zero_coverage), "omitted": omitted}

@@ -18,16 +18,19 @@ def with_position(df: DataFrame, order: list[str | Column], name: str) -> DataFr
     spread = df.repartitionByRange(*order).sortWithinPartitions(*order)
     stored = materialize(spread.withColumn("_tag", tag), "position")
     part = F.shiftright("_tag", 33)
-    counts = {
-        r["p"]: r["n"]
+    counts = sorted(
+        (r["p"], r["n"])
         for r in stored.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()
-    }
-    base, offsets = 0, []
-    for p in range(max(counts, default=0) + 1):
-        offsets.append(base)
-        base += counts.get(p, 0)
-    offset = F.element_at(
-        F.array(*[F.lit(o).cast("bigint") for o in offsets]), (part + 1).cast("int")
     )
+    base, offsets = 0, []
+    for p, n in counts:
+        offsets.append((p, base))
+        base += n
+    # one row per partition of the sort, whatever the number of rows
+    table = df.sparkSession.createDataFrame(offsets, "_p bigint, _base bigint")
     within = F.col("_tag").bitwiseAND(F.lit((1 << 33) - 1))
-    return stored.withColumn(name, (offset + within + 1).cast("bigint")).drop("_tag")
+    return (
+        stored.join(F.broadcast(table), part == F.col("_p"))
+        .withColumn(name, F.col("_base") + within + 1)
+        .drop("_tag", "_p", "_base")
+    )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyscape import config
 from keyscape.functions import ip as ipf
 from keyscape.operators import ranges
 from keyscape.sources.telemetry import FieldMap, physical_column
@@ -29,23 +28,22 @@ class WrongFieldMap(ValueError):
     """Rows are in the window, yet no group could be formed from them."""
 
 
-def value_counts(df: DataFrame, column: str, limit: int) -> DataFrame:
-    """Most frequent values, ties by value."""
-    return (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(column)
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), F.asc(column))
-        .limit(limit)
-    )
+class EmptyScan(ValueError):
+    """No edge is left within the window and the scope."""
+
+
+def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
+    """Rows of every value, or of the ``top`` most frequent ones, ties by value."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), F.asc(column)).limit(top) if top else counts
 
 
-def dataset_counts(df: DataFrame) -> DataFrame:
-    return value_counts(df, "dataset", config.DATASET_TERMS)
+def dataset_counts(df: DataFrame, top: int | None = None) -> DataFrame:
+    return value_counts(df, "dataset", top)
 
 
-def sensor_counts(df: DataFrame) -> DataFrame:
-    return value_counts(df, "sensor", config.SENSOR_TERMS)
+def sensor_counts(df: DataFrame, top: int | None = None) -> DataFrame:
+    return value_counts(df, "sensor", top)
 
 
 def mac_coverage(df: DataFrame) -> DataFrame:

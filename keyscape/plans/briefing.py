@@ -1,4 +1,4 @@
-"""Briefing map: detailed while it stays readable, else the overview."""
+"""Briefing map: detailed, or the overview when asked for."""
 
 from __future__ import annotations
 
@@ -12,17 +12,15 @@ from keyscape.operators.edges import services
 from keyscape.operators.mapview import PRIVATE_WORDS, PUBLIC_WORDS, MapOptions
 
 
-def elements(model: dict[str, DataFrame]) -> int:
-    return sum(model[k].count() for k in ("groups", "nodes", "edges"))
-
-
-def build(nodes, edges, gateways, zero_coverage, options: MapOptions | None = None) -> dict[str, DataFrame]:
-    """Map tables. Focus on a CIDR always keeps full detail."""
+def build(
+    nodes, edges, gateways, zero_coverage, options: MapOptions | None = None, overview: bool = False
+) -> dict[str, DataFrame]:
+    """Map tables with the services of every node. ``overview`` is the caller's choice at
+    any size; focus on a CIDR always keeps full detail."""
     options = options or MapOptions()
-    model = mapview.detailed(nodes, edges, gateways, zero_coverage, options)
     keyword = options.focus in (None, "", *PRIVATE_WORDS, *PUBLIC_WORDS)
-    if keyword and elements(model) > config.MAP_MAX_ELEMENTS:
-        model = mapview.overview(nodes, edges, gateways, zero_coverage, options)
+    draw = mapview.overview if overview and keyword else mapview.detailed
+    model = draw(nodes, edges, gateways, zero_coverage, options)
     served = services(edges).withColumnRenamed("ip", "id")
     model["nodes"] = model["nodes"].join(served, "id", "left").withColumn(
         "services", F.coalesce("services", F.array().cast("array<string>")))

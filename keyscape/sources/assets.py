@@ -44,16 +44,17 @@ def header_columns(header: list[str]) -> dict[str, int]:
     return found
 
 
-def read_rows(spark: SparkSession, path: str, width: int = 32) -> DataFrame:
-    """Cells of every line as ``c0..`` plus the 1-based ``row``. Short lines are
-    padded with NULL."""
-    schema = ", ".join(f"c{i} STRING" for i in range(width))
-    raw = (
-        spark.read.schema(schema)
-        .option("header", False).option("mode", "PERMISSIVE")
-        .option("ignoreLeadingWhiteSpace", True).option("multiLine", False)
-        .csv(path)
+def read_rows(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
+    """Cells of every record as ``c0..`` plus the 1-based ``row``. There are as many
+    columns as the first record has cells, or ``width``; short records are padded
+    with NULL. Quoted cells may hold line breaks."""
+    source = (
+        spark.read.option("header", False).option("mode", "PERMISSIVE")
+        .option("ignoreLeadingWhiteSpace", True).option("multiLine", True)
     )
+    if width is None:
+        width = len(source.csv(path).columns)
+    raw = source.schema(", ".join(f"c{i} STRING" for i in range(width))).csv(path)
     tagged = raw.select("*", F.col("_metadata.file_block_start").alias("_block"),
                         F.monotonically_increasing_id().alias("_line"))
     return with_position(tagged, ["_block", "_line"], "row").drop("_block", "_line")

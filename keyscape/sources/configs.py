@@ -378,9 +378,10 @@ def _legacy_rules(items: DataFrame, nets: DataFrame) -> DataFrame:
     return rows.select(
         "source", F.col("i.ruleset").alias("ruleset"),
         F.when(F.col("verb") == "accept", "permit").otherwise("deny").alias("action"),
-        F.posexplode(protos).alias("seq", "r_proto"), src.alias("r_src"), dst.alias("r_dst"),
+        F.posexplode(protos).alias("q", "r_proto"), src.alias("r_src"), dst.alias("r_dst"),
         F.coalesce(dp["lo"], F.lit(0)).alias("port_lo"), F.coalesce(dp["hi"], F.lit(0)).alias("port_hi"),
-        F.coalesce("i.rule_index", F.lit(0)).alias("line"), raw.alias("raw"), caveat.alias("caveat"), "file", "n")
+        F.coalesce("i.rule_index", F.lit(0)).alias("line"), raw.alias("raw"), caveat.alias("caveat"), "file", "n",
+    ).withColumn("seq", F.array("q")).drop("q")
 
 
 def _endpoint(rows: DataFrame, side: str, zones: DataFrame, nets: DataFrame) -> DataFrame:
@@ -503,7 +504,7 @@ def _policy_rules(items: DataFrame, nets: DataFrame) -> DataFrame:
     word = F.col("p.action.type")
     raw = F.concat(F.lit('unifi policy "'), F.coalesce("i.name", F.lit("")), F.lit('": '), F.lower(word), F.lit(" "),
                    "r_src", F.lit("->"), "r_dst")
-    seq = (((F.col("q1") * 64 + F.col("q2")) * 64 + F.col("q3")) * 64 + F.col("q4")) * 4 + F.col("q5")
+    seq = F.array("q1", "q2", "q3", "q4", "q5")
     return out.select(
         "source", F.concat(F.lit("ZONE:"), "source_zone", F.lit(" -> "), "destination_zone").alias("ruleset"),
         F.when(F.upper(word) == "ALLOW", "permit").otherwise("deny").alias("action"), seq.alias("seq"), "r_proto",

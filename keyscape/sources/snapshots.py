@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = ["meta", "nodes", "edges", "gateways"]
 
@@ -18,10 +19,14 @@ def snapshot_id(created: datetime | None = None) -> str:
 
 def save(tables: dict[str, DataFrame], root: str, sid: str) -> str:
     """Append one snapshot; an id that exists is refused. ``meta`` goes last, so
-    a snapshot is listed only when all its tables are there."""
+    a snapshot is listed only when all its tables are there, and holds the number
+    of nodes and edges."""
     spark = tables["meta"].sparkSession
     if sid in {r[0] for r in _ids(spark, root)}:
         raise ValueError(f"snapshot {sid} exists")
+    counts = {f"{t}_count": F.lit(tables[t].count() if t in tables else 0).cast("bigint")
+              for t in ("nodes", "edges")}
+    tables = {**tables, "meta": tables["meta"].withColumns(counts)}
     for name in [t for t in TABLES if t != "meta" and t in tables] + ["meta"]:
         tables[name].withColumn("snapshot_id", F.lit(sid)).write.partitionBy(
             "snapshot_id").mode("append").parquet(f"{root}/{name}")
@@ -39,21 +44,21 @@ def _ids(spark: SparkSession, root: str):
 
 def read(spark: SparkSession, root: str, table: str, sid: str | None = None) -> DataFrame:
     """A table of every snapshot, or of one (partition pruning)."""
-    df = spark.read.option("basePath", f"{root}/{table}").parquet(f"{root}/{table}")
-    df = df.withColumn("snapshot_id", F.col("snapshot_id").cast("string"))
+    path = f"{root}/{table}"
+    found = spark.read.parquet(path).schema
+    # ids are text: left to inference, 0012 and 12 would be one number
+    schema = T.StructType([
+        T.StructField(f.name, T.StringType()) if f.name == "snapshot_id" else f for f in found])
+    df = spark.read.schema(schema).parquet(path)
     return df.filter(F.col("snapshot_id") == sid) if sid else df
 
 
 def catalogue(spark: SparkSession, root: str) -> DataFrame:
-    """Newest first, with node and edge counts."""
-    counts = [
-        read(spark, root, t).groupBy("snapshot_id").agg(F.count("*").alias(t))
-        for t in ("nodes", "edges")
-    ]
-    out = read(spark, root, "meta").select("snapshot_id", "created_at", "window", "cluster_name")
-    for c in counts:
-        out = out.join(c, "snapshot_id", "left")
-    return out.fillna({"nodes": 0, "edges": 0}).orderBy(F.desc("created_at"), F.desc("snapshot_id"))
+    """Newest first, with node and edge counts. Reads the metadata only."""
+    return read(spark, root, "meta").select(
+        "snapshot_id", "created_at", "window", "cluster_name", F.col("nodes_count").alias("nodes"),
+        F.col("edges_count").alias("edges"),
+    ).orderBy(F.desc("created_at"), F.desc("snapshot_id"))
 
 
 def merge_artifacts(*listings: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from keyscape import config
@@ -14,9 +16,10 @@ from keyscape.operators import (
 )
 from keyscape.operators.mapview import MapOptions
 from keyscape.plans import briefing, hunt, policy
-from keyscape.session import materialize
+from keyscape.plans.scan import ScanOptions, scan_to_store
+from keyscape.session import durable_dir, materialize
 from keyscape.sources import assets as asset_source
-from keyscape.sources import configs, telemetry
+from keyscape.sources import configs, snapshots, telemetry
 from keyscape.testbed import inputs as I
 from keyscape.testbed import projection as P
 
@@ -376,14 +379,14 @@ def pagerank(spark, sf):
 @query
 def betweenness(spark, sf):
     e = I.stored_edges(spark, sf)
-    out, sampled = graph.betweenness(E.endpoints(e), graph.weighted_edges(e))
+    out = graph.betweenness(E.endpoints(e), graph.weighted_edges(e), "exact")
     return out.select("ip", r6("betweenness").alias("betweenness"))
 
 
 @query
 def betweenness_pivots(spark, sf):
     e = I.stored_edges(spark, sf)
-    out, sampled = graph.betweenness(E.endpoints(e), graph.weighted_edges(e), exact_limit=0, pivot_count=64)
+    out = graph.betweenness(E.endpoints(e), graph.weighted_edges(e), "pivots", 64)
     return out.select("ip", r6("betweenness").alias("betweenness"))
 
 
@@ -446,14 +449,14 @@ def top_role(spark, sf):
 @query
 def snapshot_scan(spark, sf):
     """The whole scan with both centralities."""
-    n = I.snapshot(spark, sf, centrality=True, temporal_top=50)["nodes"]
+    n = I.snapshot(spark, sf, centrality=True, temporal_top=None)["nodes"]
     return n.select("ip", "rank", "dependents", r6("pagerank").alias("pagerank"), r6("betweenness").alias("betweenness"),
                     r6("composite").alias("composite"), roles.top_role().alias("role"))
 
 
 @query
 def snapshot_meta(spark, sf):
-    m = I.snapshot(spark, sf, metadata=True)["meta"]
+    m = I.snapshot(spark, sf, metadata=True, scope=P.SCOPE)["meta"]
     return m.select(stamp("created_at").alias("created_at"), "window", F.array_join("scope", ",").alias("scope"),
                     F.array_join("sensors", ",").alias("sensors"), "cluster_name",
                     F.array_join("zero_coverage_cidrs", ",").alias("zero_coverage"))
@@ -461,13 +464,27 @@ def snapshot_meta(spark, sf):
 
 @query
 def snapshot_catalogue(spark, sf):
-    """Node and edge counts per snapshot of the log, newest first."""
-    log = I.conn(spark, sf)
-    keyed = log.filter("src IS NOT NULL AND dst IS NOT NULL AND port IS NOT NULL")
-    ends = keyed.select("snapshot", F.explode(F.array("src", "dst")).alias("ip")).distinct()
-    n = ends.groupBy("snapshot").agg(F.count("*").alias("nodes"))
-    pairs = keyed.select("snapshot", "src", "dst", "port", F.coalesce("proto", F.lit("")).alias("proto")).distinct()
-    return pairs.groupBy("snapshot").agg(F.count("*").alias("edges")).join(n, "snapshot").orderBy(F.desc("snapshot"))
+    """Three snapshots of the log, saved and listed."""
+    root = f"{durable_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    for k in (1, 2, 3):
+        snapshots.save(I.snapshot(spark, sf, k, metadata=True), root, f"000{k}")
+    return snapshots.catalogue(spark, root).select(
+        "snapshot_id", stamp("created_at").alias("created_at"), "window", "nodes", "edges")
+
+
+@query
+def stored_scan(spark, sf):
+    """Raw events by their physical names to a stored snapshot of a window and a scope."""
+    raw = I.conn(spark, sf).select(
+        F.col("ts").alias("@timestamp"), F.struct("dataset").alias("event"), F.struct(F.col("sensor").alias("name")).alias("observer"),
+        F.struct(F.col("src").alias("ip"), F.col("bytes_out").alias("bytes")).alias("source"),
+        F.struct(F.col("dst").alias("ip"), "port", F.col("bytes_in").alias("bytes"), F.col("dst_mac").alias("mac")).alias("destination"),
+        F.struct(F.col("proto").alias("transport"), F.col("service").alias("protocol")).alias("network"),
+        F.col("state").alias("connection.state"))
+    options = ScanOptions(scope=["10.1.0.0/16", "10.0.3.0/24"], as_of="2000-01-01 00:00:00", window_seconds=1000 * 86400,
+                          centrality=False, temporal_top=0, created_at="2009-01-01 00:00:00")
+    tables = scan_to_store(raw, f"{durable_dir(spark)}/snapshots-{uuid.uuid4().hex}", "0012", options)
+    return tables["nodes"].select("snapshot_id", "ip", "rank", r6("composite").alias("composite"), "mac")
 
 
 # --- drift -----------------------------------------------------------------
@@ -673,7 +690,7 @@ def config_warnings(spark, sf):
 def config_vendor(spark, sf):
     files = I.router_files(spark, sf).unionByName(I.controller_files(spark, sf)).unionByName(
         P.table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"),
-                                               F.lit("plain words only").alias("content")))
+                                               F.col("text").alias("content")))
     return configs.route(files).groupBy("vendor").agg(F.count("*").alias("files"))
 
 
@@ -829,7 +846,7 @@ def map_declared(spark, sf):
 def map_overview(spark, sf):
     s = I.snapshot(spark, sf)
     gaps = quality.zero_coverage(I.scope(spark), s["nodes"])
-    m = mapview.overview(s["nodes"], s["edges"], s["gateways"], gaps, MapOptions())
+    m = mapview.overview(s["nodes"], s["edges"], s["gateways"], gaps, mapview.condensed())
     return m["nodes"].select("id", "group", "label", "role", "agg_count")
 
 
@@ -837,7 +854,7 @@ def map_overview(spark, sf):
 def map_overview_groups(spark, sf):
     e = I.stored_edges(spark, sf)
     n = mapview._flagged(mapview.grouping(E.endpoints(e), MapOptions()), MapOptions())
-    kept, overflow = mapview.overview_segments(n)
+    kept, omitted = mapview.overview_segments(n, config.MAP_SEGMENT_MAX_GROUPS)
     return kept.select("cidr", "hosts", "marked")
 
 
@@ -845,10 +862,27 @@ def map_overview_groups(spark, sf):
 def map_edge_budget(spark, sf):
     s = I.snapshot(spark, sf)
     gaps = quality.zero_coverage(I.scope(spark), s["nodes"])
-    m = mapview.overview(s["nodes"], s["edges"], s["gateways"], gaps, MapOptions())
+    m = mapview.overview(s["nodes"], s["edges"], s["gateways"], gaps, mapview.condensed())
     return m["edges"].select("src", "dst", "class", "hosts", "conns")
 
 
+@query
+def map_omitted(spark, sf):
+    """What the limits of a condensed overview leave out."""
+    s = I.snapshot(spark, sf)
+    m = mapview.overview(s["nodes"], s["edges"], s["gateways"], I.scope(spark), mapview.condensed())
+    return m["omitted"].select("segments", "hosts")
+
+
+@query
+def map_services(spark, sf):
+    """The composed map: everything in full detail, with the services of each node."""
+    s = I.snapshot(spark, sf)
+    m = briefing.build(s["nodes"], s["edges"], s["gateways"], I.scope(spark))
+    return m["nodes"].filter(F.size("services") > 0).select(
+        "id", F.array_join(F.array_sort("services"), ",").alias("services"))
+
+
 @query
 def map_drift(spark, sf):
     a, b = _pair(spark, sf, metadata=True)

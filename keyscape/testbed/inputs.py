@@ -35,7 +35,7 @@ def telemetry(spark: SparkSession, sf_dir: str, snapshot: int | None = None) ->
 
 def snapshot(spark: SparkSession, sf_dir: str, number: int | None = None, **options) -> dict[str, DataFrame]:
     """Snapshot without centrality, so that plain SQL can state its ranks."""
-    chosen = {"centrality": False, "temporal_top": 0, "scope": P.SCOPE, "metadata": False,
+    chosen = {"centrality": False, "temporal_top": 0, "metadata": False,
               "created_at": f"200{number or 9}-01-01 00:00:00", "cluster": "grid",
               "window": f"{(number or 0) + 1}h0m0s", **options}
     tables = scan(telemetry(spark, sf_dir, number), ScanOptions(**chosen))

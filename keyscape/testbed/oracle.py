@@ -73,7 +73,9 @@ SELECT (CASE WHEN dk % 5 = 0 AND isodow(d) >= 6 THEN d - INTERVAL 2 DAY ELSE d E
       ELSE k % 12 END AS INTEGER)) AS ts, 'conn' AS dataset, src,
   CASE dk % 100 WHEN 97 THEN '224.0.0.251' WHEN 98 THEN '255.255.255.255' WHEN 99 THEN '8.8.8.8'
     ELSE {_server('dk')} END AS dst,
-  CAST(list_extract({list(P.PORTS)}, CAST(dk % 16 + 1 AS INTEGER)) AS INTEGER) AS port,
+  CAST(CASE WHEN dk BETWEEN 41 AND 46 THEN list_extract([1521, 3306, 6379, 9200, 9092, 2049], CAST(dk - 40 AS INTEGER))
+    WHEN dk BETWEEN 51 AND 56 AND d >= TIMESTAMP '1997-07-01' THEN 636
+    ELSE list_extract({list(P.PORTS)}, CAST(dk % 16 + 1 AS INTEGER)) END AS INTEGER) AS port,
   CASE WHEN dk % 7 = 6 THEN NULL WHEN dk % 16 IN (2, 11, 12) THEN 'udp' ELSE 'tcp' END AS proto,
   CASE flag WHEN 'A' THEN 'SF' WHEN 'N' THEN 'S0' ELSE 'REJ' END AS state,
   CASE WHEN flag = 'A' AND ls = 'F' THEN 'app' WHEN flag = 'R' THEN '-' ELSE '' END AS service,
@@ -89,7 +91,10 @@ WHERE (kind = 'kerberos' AND port = 88) OR (kind = 'ldap' AND port IN (88, 389))
   OR (kind = 'smb' AND port = 445) OR (kind = 'ssl' AND port = 443) OR (kind = 'http' AND port = 443 AND k % 2 = 0)
   OR (kind = 'dhcp' AND port = 67)"""
 
-for sfx, where in (("", "TRUE"), ("_1", "snapshot = 1"), ("_2", "snapshot = 2"), ("_3", "snapshot = 3")):
+_WINDOW_SCOPE = ("ts >= TIMESTAMP '1997-04-06' AND (src LIKE '10.1.%' OR dst LIKE '10.1.%' OR src LIKE '10.0.3.%' "
+                 "OR dst LIKE '10.0.3.%')")
+for sfx, where in (("", "TRUE"), ("_1", "snapshot = 1"), ("_2", "snapshot = 2"), ("_3", "snapshot = 3"),
+                   ("_w", _WINDOW_SCOPE)):
     CTES[f"edges{sfx}"] = f"""
 SELECT src, dst, port, coalesce(proto, '') AS proto, {_name('port')} AS service,
   list_extract(['port-only', 'responder-confirmed', 'protocol-confirmed'], CAST(1 + max(CASE WHEN service NOT IN
@@ -381,9 +386,15 @@ B["top_role"] = f"SELECT r.ip, r.top AS role, r.roles, {_TIER} AS tier FROM role
 B["snapshot_meta"] = """SELECT '2009-01-01 00:00:00' AS created_at, '1h0m0s' AS "window", '10.0.0.0/16,10.1.0.0/16,10.9.0.0/24' AS scope,
   (SELECT string_agg(DISTINCT sensor, ',' ORDER BY sensor) FROM conn) AS sensors, 'grid' AS cluster_name,
   (SELECT coalesce(string_agg(cidr, ',' ORDER BY cidr), '') FROM gaps) AS zero_coverage"""
-B["snapshot_catalogue"] = """SELECT CAST(e.snapshot AS INTEGER) AS snapshot, e.edges, n.nodes FROM (SELECT snapshot, count(*) AS edges FROM (SELECT DISTINCT snapshot, src, dst, port,
+B["snapshot_catalogue"] = """SELECT '000' || e.snapshot AS snapshot_id, '200' || e.snapshot || '-01-01 00:00:00' AS created_at,
+  (e.snapshot + 1) || 'h0m0s' AS "window", n.nodes, e.edges FROM (SELECT snapshot, count(*) AS edges FROM (SELECT DISTINCT snapshot, src, dst, port,
   coalesce(proto, '') FROM conn) GROUP BY snapshot) e JOIN (SELECT snapshot, count(DISTINCT ip) AS nodes FROM (SELECT snapshot, src AS ip FROM conn
   UNION ALL SELECT snapshot, dst FROM conn) GROUP BY snapshot) n USING (snapshot)"""
+B["stored_scan"] = """WITH best AS (SELECT dst AS ip, dst_mac AS mac, row_number() OVER (PARTITION BY dst ORDER BY count(*) DESC, dst_mac) AS r
+  FROM conn WHERE ts >= TIMESTAMP '1997-04-06' GROUP BY dst, dst_mac),
+shared AS (SELECT dst_mac FROM conn WHERE ts >= TIMESTAMP '1997-04-06' GROUP BY dst_mac HAVING count(DISTINCT dst) >= 10)
+SELECT '0012' AS snapshot_id, s.ip, s.rank, round(s.composite, 6) AS composite, coalesce(b.mac, '') AS mac FROM scored_w s
+LEFT JOIN best b ON b.ip = s.ip AND b.r = 1 AND b.mac NOT IN (SELECT dst_mac FROM shared)"""
 B["drift_nodes"] = """SELECT ip, 'appeared' AS change FROM hosts_2 WHERE ip NOT IN (SELECT ip FROM hosts_1)
 UNION ALL SELECT ip, 'disappeared' FROM hosts_1 WHERE ip NOT IN (SELECT ip FROM hosts_2)"""
 B["drift_ranks"] = """SELECT a.ip, a.rank AS from_rank, b.rank AS to_rank, a.rank - b.rank AS delta FROM scored_1 a JOIN scored_2 b USING (ip)
@@ -510,6 +521,10 @@ B["map_edge_budget"] = """SELECT src, dst, class, hosts, conns FROM (SELECT b.*,
     (s.a = 0 OR d.a = 0) DESC, b.conns DESC, b.src, b.dst, b.class) AS r FROM overbundles b
   JOIN (SELECT DISTINCT id, "group" AS g, agg_count AS a FROM overnodes) s ON s.id = b.src JOIN (SELECT DISTINCT id, "group" AS g, agg_count AS a FROM overnodes) d ON d.id = b.dst)
 WHERE crosses OR r <= 60 - (SELECT count(DISTINCT ogid) FROM over) - (SELECT count(*) FROM overnodes)"""
+B["map_omitted"] = """SELECT CAST(CASE WHEN max(total) > 64 THEN max(total) - 63 ELSE 0 END AS BIGINT) AS segments,
+  (SELECT count(*) FROM over WHERE NOT shown) AS hosts FROM segs"""
+B["map_services"] = f"""SELECT ip AS id, string_agg(name, ',' ORDER BY name) AS services FROM (SELECT DISTINCT dst AS ip,
+  {_map('port', ports.PORT_NAMES, "''")} AS name FROM edges) WHERE name <> '' AND ip IN (SELECT ip FROM placed WHERE visible) GROUP BY ip"""
 B["operator_facts"] = f"""SELECT {_server('s_suppkey')} AS ip, CASE WHEN s_suppkey % 10 < 4 THEN 'dev-' || CAST(floor(s_suppkey / 2) AS BIGINT) ELSE '' END AS device,
   CASE WHEN s_suppkey % 10 < 4 THEN 'server' ELSE '' END AS device_type,
   CASE WHEN s_suppkey % 20 = 5 THEN 'Printer' WHEN s_suppkey % 10 = 5 THEN 'box-' || (s_suppkey % 3) ELSE '' END AS role_override, 'nation-' || s_nationkey AS labels FROM supplier"""

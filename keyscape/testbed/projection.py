@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 
 PORTS = [88, 389, 53, 445, 5432, 443, 22, 9100, 554, 25, 5246, 67, 123, 3389, 1433,
          51515]
+#: Servers 41, 42, ... alone provide these.
+SOLE_PORTS = [1521, 3306, 6379, 9200, 9092, 2049]
+#: Servers 51 to 56 provide this from the second snapshot on.
+LATE_PORT = 636
 GATEWAY_MAC = "00:00:0c:00:00:01"
 SNAPSHOT_STARTS = ["1997-07-01", "2000-01-01"]
 SCOPE = ["10.0.0.0/16", "10.1.0.0/16", "10.9.0.0/24"]
@@ -79,7 +83,13 @@ def conn(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(dk % 5 == 3, k % 24)
         .otherwise(k % 12)
     )
-    port = F.element_at(F.array(*[F.lit(x) for x in PORTS]), (dk % 16 + 1).cast("int"))
+    listed = lambda values, at: F.element_at(
+        F.array(*[F.lit(x) for x in values]), at.cast("int"))
+    late = dk.between(51, 56) & (d >= F.lit(SNAPSHOT_STARTS[0]).cast("timestamp"))
+    port = (
+        F.when(dk.between(41, 46), listed(SOLE_PORTS, F.least(F.greatest(dk - 40, F.lit(1)), F.lit(6))))
+        .when(late, F.lit(LATE_PORT)).otherwise(listed(PORTS, dk % 16 + 1))
+    )
     flag = F.col("l_returnflag")
     return rows.select(
         (base + F.make_dt_interval(hours=hour.cast("int"))).alias("ts"),

@@ -101,12 +101,11 @@ def test_betweenness_matches_brute_force(spark, salt):
     want = brandes(PAIRS, "abcdefg")
     v = spark.createDataFrame([(x,) for x in "abcdefg"], "ip string")
     w = spark.createDataFrame([(a, b, 1.0) for a, b in PAIRS], "src string, dst string, weight double")
-    exact, sampled = graph.betweenness(v, w, salt_rows=salt)
-    assert not sampled
+    exact = graph.betweenness(v, w, "exact", salt_rows=salt)
     assert {r[0]: pytest.approx(r[1]) for r in exact.collect()} == {x: want[x] for x in "abcdefg"}
     if salt > 1:
-        every, sampled = graph.betweenness(v, w, exact_limit=0, pivot_count=100)
-        assert sampled and {r[0]: pytest.approx(r[1]) for r in every.collect()} == {x: want[x] for x in "abcdefg"}
+        every = graph.betweenness(v, w, "pivots", 100)
+        assert {r[0]: pytest.approx(r[1]) for r in every.collect()} == {x: want[x] for x in "abcdefg"}
 
 
 @pytest.mark.parametrize("salt", [200_000, 1])
