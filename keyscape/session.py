@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+_written: list[str] = []
 
 
 def durable_dir(spark: SparkSession) -> str:
@@ -36,4 +39,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{durable_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, what ``materialize`` has written inside. DataFrames made
+    inside must be written or collected before."""
+    mark = len(_written)
+    try:
+        yield
+    finally:
+        paths, _written[mark:] = _written[mark:], []
+        conf = spark._jsc.hadoopConfiguration()
+        for path in paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)

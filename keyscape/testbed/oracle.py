@@ -571,6 +571,58 @@ B["dataset_resolution"] = """SELECT kind, coalesce(string_agg(name, ','), '') AS
   UNION ALL SELECT 'smb', NULL, 0, 'file server inference blind' UNION ALL SELECT 'x509', NULL, 0, 'TLS certificate continuity blind'
   UNION ALL SELECT 'ssh', NULL, 0, 'SSH host-key continuity blind') GROUP BY kind"""
 
+# --- graph searches, unrolled -------------------------------------------------
+_DEPTH = 8
+
+
+def _levels(tag: str, sources: str) -> None:
+    """Level-synchronous search and backward sums as one expression for each level."""
+    CTES[f"{tag}f0"] = f"SELECT ip AS s, ip AS v, CAST(1 AS DOUBLE) AS sigma FROM {sources}"
+    for k in range(1, _DEPTH + 1):
+        before = " UNION ALL ".join(f"SELECT s, v FROM {tag}f{j}" for j in range(k))
+        CTES[f"{tag}f{k}"] = f"""
+SELECT f.s, p.dst AS v, sum(f.sigma) AS sigma FROM {tag}f{k - 1} f JOIN bwpairs p ON p.src = f.v
+WHERE NOT EXISTS (SELECT 1 FROM ({before}) b WHERE b.s = f.s AND b.v = p.dst) GROUP BY f.s, p.dst"""
+    CTES[f"{tag}d{_DEPTH}"] = f"SELECT s, v, sigma, CAST(0 AS DOUBLE) AS delta FROM {tag}f{_DEPTH}"
+    for k in range(_DEPTH - 1, 0, -1):
+        CTES[f"{tag}d{k}"] = f"""
+SELECT f.s, f.v, f.sigma, f.sigma * coalesce(x.pull, 0) AS delta FROM {tag}f{k} f LEFT JOIN (
+  SELECT d.s, p.src AS v, sum((1 + d.delta) / d.sigma) AS pull FROM {tag}d{k + 1} d JOIN bwpairs p ON p.dst = d.v
+  GROUP BY d.s, p.src) x ON x.s = f.s AND x.v = f.v"""
+    CTES[f"{tag}sum"] = "SELECT v AS ip, sum(delta) AS b FROM (" + " UNION ALL ".join(
+        f"SELECT v, delta FROM {tag}d{k}" for k in range(1, _DEPTH + 1)) + ") GROUP BY v"
+
+
+CTES["bwpairs"] = "SELECT DISTINCT src, dst FROM conf WHERE src <> dst"
+CTES["bwplaces"] = "SELECT ip, row_number() OVER (ORDER BY ip) - 1 AS at, count(*) OVER () AS n FROM hosts"
+CTES["bwpivots"] = """
+SELECT ip FROM bwplaces WHERE at % (n // least(64, n)) = 0 AND at // (n // least(64, n)) < least(64, n)"""
+_levels("bwx", "hosts")
+_levels("bwp", "bwpivots")
+BODIES["betweenness"] = """SELECT h.ip, round(coalesce(b, 0), 6) AS betweenness FROM hosts h LEFT JOIN bwxsum USING (ip)"""
+BODIES["betweenness_pivots"] = """SELECT h.ip, round(coalesce(b, 0) * n / least(64, n), 6) AS betweenness FROM bwplaces h LEFT JOIN bwpsum USING (ip)"""
+
+# --- map overlays ---------------------------------------------------------------
+CTES["looked"] = BODIES["segment_lookup"]
+CTES["lookgroups"] = """
+SELECT cidr, count(*) AS hosts, list_sort(list_distinct(flatten(list(sensors)))) AS sensors FROM looked JOIN hosts USING (ip) GROUP BY cidr"""
+BODIES["map_groups"] = f"""SELECT 'g:' || cidr AS id, cidr, CASE WHEN seg <> '' THEN cidr || ' — ' || seg WHEN lab <> '' THEN cidr || ' — ' || lab ELSE cidr END AS label,
+  hosts, array_to_string(sensors, ',') AS sensors, FALSE AS sparse FROM (SELECT g.*, coalesce(CASE WHEN cidr = '10.1.0.0/16' THEN 'clients'
+    WHEN cidr LIKE '%.0/27' THEN 'low-' || split_part(cidr, '.', 3) END, '') AS seg, coalesce(a.segment, '') AS lab
+  FROM lookgroups g LEFT JOIN (SELECT {_subnet('ip')} AS net, arg_min(segment, CAST(regexp_extract(hostname, '[0-9]+') AS BIGINT)) AS segment FROM assets WHERE segment <> '' GROUP BY net) a
+  ON a.net = g.cidr) WHERE hosts >= 2
+UNION ALL SELECT 'g:sparse', '', 'sparse hosts (' || sum(hosts) || ')', CAST(sum(hosts) AS BIGINT), '', TRUE FROM lookgroups WHERE hosts < 2 HAVING count(*) > 0"""
+BODIES["map_drift"] = """WITH u AS (SELECT ip, subnet FROM hosts_2 UNION ALL SELECT ip, subnet FROM hosts_1 WHERE ip NOT IN (SELECT ip FROM hosts_2)),
+g AS (SELECT ip, CASE WHEN count(*) OVER (PARTITION BY subnet) < 2 THEN 'g:sparse' ELSE 'g:' || subnet END AS gid FROM u),
+f AS (SELECT ip, 'new' AS drift FROM hosts_2 WHERE ip NOT IN (SELECT ip FROM hosts_1)
+  UNION ALL SELECT ip, 'vanished' FROM hosts_1 WHERE ip NOT IN (SELECT ip FROM hosts_2)
+  UNION ALL SELECT a.ip, CASE WHEN a.rank > b.rank THEN 'rank-up' ELSE 'rank-down' END FROM scored_1 a JOIN scored_2 b USING (ip) WHERE abs(a.rank - b.rank) >= 5)
+SELECT ip AS id, gid AS "group", drift FROM g JOIN f USING (ip)"""
+BODIES["map_reconcile"] = f"""SELECT drift, count(*) AS n FROM (SELECT ip, CASE WHEN ip IN (SELECT ip FROM contra WHERE observed <> 'Unknown') THEN 'contradicted'
+    WHEN ip NOT IN (SELECT ip FROM assets) THEN 'undocumented' ELSE '' END AS drift FROM hosts) WHERE drift <> '' GROUP BY drift
+UNION ALL SELECT 'silent', count(*) FROM assets WHERE ip NOT IN (SELECT ip FROM hosts) AND 'g:' || {_subnet('ip')} IN (SELECT gid FROM cells)"""
+
+
 _ORDER = list(CTES)
 
 

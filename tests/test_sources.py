@@ -43,3 +43,16 @@ def test_asset_file(spark, tmp_path):
     good, bad = assets.parse(assets.read_rows(spark, str(path), width=5))
     assert [(r.ip, r.hostname, r.segment, r.row) for r in good.collect()] == [("10.0.0.1", "one", "v1", 2)]
     assert sorted(r.row for r in bad.select(F.col("row")).collect()) == [3, 4]
+
+
+def test_run_scope_deletes_intermediates(spark):
+    from pathlib import Path
+
+    from keyscape.session import durable_dir, materialize, run_scope
+
+    folder = Path(durable_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    with run_scope(spark):
+        assert materialize(spark.range(3), "scratch").count() == 3
+        assert set(folder.iterdir()) != before
+    assert set(folder.iterdir()) == before
