@@ -14,20 +14,20 @@ from keyscape.llm import decontamination, mixing, ngram_join, quality_crf, queri
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line classifier, learnt from the labels, scores below a half
     go."""
-    queries.importable(spark)
+    queries.prepare(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_crf.good_documents(docs, queries.quality_model(docs, labels))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that near-copies connect, the one of the smallest doc_id stays."""
-    queries.importable(spark)
+    queries.prepare(spark)
     return ngram_join.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of ten benchmark words go."""
-    queries.importable(spark)
+    queries.prepare(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.drop_contaminated(docs, benchmark)
 
@@ -35,14 +35,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files whose order interleaves the sources at weights of the
     square root of their rows."""
-    queries.importable(spark)
+    queries.prepare(spark)
     return mixing.mixed(docs, mixing.tempered_weights(docs))
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the mix, which is that of the input's files and
     rows, and what reading them gives: doc_id, start, n_tokens, ids_crc32."""
-    queries.importable(spark)
+    queries.prepare(spark)
     path = token_files.new_path(spark, "pipeline-tokens")
     placed = docs.select("doc_id", "text", "_metadata.file_path", "_metadata.row_index")
     token_files.write_token_files(

@@ -27,13 +27,21 @@ END_ID = 1
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    importable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def importable(spark: SparkSession) -> None:
+ARROW_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, for
-    sessions whose driver found it on a path of its own."""
+    sessions whose driver found it on a path of its own; and, unless the session has
+    its own limit, send them batches of ``ARROW_BYTES``, so that JVM and worker hold
+    little of long texts at a time."""
+    if spark.conf.get(ARROW_BATCH, None) in (None, "64MB", "64m", "67108864b", "67108864"):
+        spark.conf.set(ARROW_BATCH, f"{ARROW_BYTES}b")
     root = str(Path(__file__).resolve().parents[2])
     paths = [p for p in spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:

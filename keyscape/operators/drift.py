@@ -202,33 +202,42 @@ def compatibility_warnings(old_meta: DataFrame, new_meta: DataFrame) -> DataFram
 
 
 def findings(
-    appeared_nodes, disappeared_nodes, ranks, gained, vanished, roles, identity, providers, moves
+    warnings, baseline, appeared_nodes, disappeared_nodes, ranks, gained, vanished, identity,
+    providers, moves,
 ) -> DataFrame:
-    """Count line plus one line per identity change, provider and migration."""
-    parts = {
-        "hosts appeared": appeared_nodes, "hosts disappeared": disappeared_nodes,
-        "rank changes": ranks, "new edges to top hosts": gained,
-        "vanished edges": vanished, "role changes": roles,
-    }
-    counted = None
-    for order, (label, df) in enumerate(parts.items()):
-        row = df.agg(F.count("*").alias("n")).select(
-            F.lit(order).alias("o"), F.concat_ws(" ", F.col("n").cast("string"), F.lit(label)).alias("t")
-        )
-        counted = row if counted is None else counted.unionByName(row)
-    summary = counted.agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("s")).select(
-        F.lit("summary").alias("kind"),
-        F.array_join(F.transform("s", lambda e: e["t"]), ", ").alias("finding"),
-    )
-    changed = identity.select(F.lit("identity").alias("kind"), F.concat(
-        F.col("ip"), F.lit(": "), F.col("protocol"), F.lit(" identity changed (+"),
-        F.size("added").cast("string"), F.lit(" / -"), F.size("removed").cast("string"),
-        F.lit(")")).alias("finding"))
-    started = providers.select(F.lit("provider").alias("kind"), F.concat(
-        F.col("ip"), F.lit(" began providing "), F.col("service"), F.lit(" to "),
-        F.col("clients").cast("string"), F.lit(" client(s)")).alias("finding"))
-    migrated = moves.select("ip", "port", "service", F.explode("migrated_from").alias("m")).select(
-        F.lit("migration").alias("kind"), F.concat(
-            F.col("m.clients").cast("string"), F.lit(" client(s) moved "), F.col("service"),
-            F.lit(" from "), F.col("m.ip"), F.lit(" to "), F.col("ip")).alias("finding"))
-    return summary.unionByName(changed).unionByName(started).unionByName(migrated)
+    """(pos, kind, finding) lines of a comparison: its warnings, the counts against the
+    ``baseline`` metadata, then a line for each identity change, provider and migration."""
+    # The wording of the lines.
+    counts = [
+        (appeared_nodes, " appeared, "), (disappeared_nodes, " vanished, "), (ranks, " rank changes, "),
+        (gained, " new edges to top terrain, "), (vanished, " vanished critical edges, "),
+        (identity, " identity changes, "), (providers, " new sensitive-service providers, "),
+        (moves, " provider displacements"),
+    ]
+    text_of = lambda c: F.col(c).cast("string")
+    rows = baseline.select(F.lit(-1).alias("o"), F.concat(
+        F.lit("drift vs "), F.date_format("created_at", "yyyyMMdd'T'HHmmss'Z'"), F.lit(": ")).alias("t"))
+    for order, (df, label) in enumerate(counts):
+        rows = rows.unionByName(df.agg(F.count("*").alias("n")).select(
+            F.lit(order).alias("o"), F.concat(text_of("n"), F.lit(label)).alias("t")))
+    line = lambda pos, kind, text: (
+        F.lit(pos).alias("pos"), F.lit(kind).alias("kind"), text.alias("finding"))
+    summary = rows.agg(F.array_sort(F.collect_list(F.struct("o", "t"))).alias("s")).select(*line(
+        1, "summary", F.array_join(F.transform("s", lambda e: e["t"]), "")))
+    warned = warnings.select(*line(0, "warning", F.concat(F.lit("comparison warning: "), "warning")))
+    changed = identity.select(*line(2, "identity", F.concat(
+        F.upper("protocol"), F.lit(" identity changed on "), "ip", F.lit(": added ["),
+        F.array_join("added", " "), F.lit("] removed ["), F.array_join("removed", " "), F.lit("]"))))
+    started = providers.select(*line(3, "provider", F.concat(
+        F.lit("new provider: "), "ip", F.lit(" began serving "), "service", F.lit(" (port "),
+        text_of("port"), F.lit(") to "), text_of("clients"), F.lit(" client(s)"),
+        F.when(F.col("new_host"), ", host first seen this window").otherwise(""),
+        F.lit(" — investigate if unexpected"))))
+    moved = moves.select("ip", "port", "service", F.explode("migrated_from").alias("m"))
+    migrated = moved.select(*line(4, "migration", F.concat(
+        text_of("m.clients"), F.lit(" client(s) moved from "), F.col("m.ip"), F.lit(":"),
+        text_of("m.port"), F.lit(" to "), "ip", F.lit(":"), text_of("port"), F.lit(" for "), "service")))
+    out = warned
+    for part in (summary, changed, started, migrated):
+        out = out.unionByName(part)
+    return out

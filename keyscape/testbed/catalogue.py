@@ -553,11 +553,11 @@ def compat_warnings(spark, sf):
 
 @query
 def drift_findings(spark, sf):
-    a, b = _pair(spark, sf)
+    a, b = _pair(spark, sf, metadata=True)
     an, bn, ae, be = a["nodes"], b["nodes"], a["edges"], b["edges"]
     return drift.findings(
-        drift.appeared(an, bn), drift.disappeared(an, bn), drift.rank_changes(an, bn),
-        drift.new_edges_to_top(ae, be, bn), drift.vanished_critical_edges(ae, be, an), drift.role_changes(an, bn),
+        drift.compatibility_warnings(a["meta"], b["meta"]), a["meta"], drift.appeared(an, bn), drift.disappeared(an, bn),
+        drift.rank_changes(an, bn), drift.new_edges_to_top(ae, be, bn), drift.vanished_critical_edges(ae, be, an),
         drift.identity_changes(an, bn), drift.new_providers(ae, be, an, bn), drift.displacement(ae, be, bn))
 
 

@@ -594,14 +594,28 @@ SELECT f.s, f.v, f.sigma, f.sigma * coalesce(x.pull, 0) AS delta FROM {tag}f{k}
 
 
 CTES["bwpairs"] = "SELECT DISTINCT src, dst FROM conf WHERE src <> dst"
-CTES["bwplaces"] = "SELECT ip, row_number() OVER (ORDER BY ip) - 1 AS at, count(*) OVER () AS n FROM hosts"
+CTES["bwplaces"] = "SELECT ip, row_number() OVER (ORDER BY ip) - 1 AS pos, count(*) OVER () AS n FROM hosts"
 CTES["bwpivots"] = """
-SELECT ip FROM bwplaces WHERE at % (n // least(64, n)) = 0 AND at // (n // least(64, n)) < least(64, n)"""
+SELECT ip FROM bwplaces WHERE pos % (n // least(64, n)) = 0 AND pos // (n // least(64, n)) < least(64, n)"""
 _levels("bwx", "hosts")
 _levels("bwp", "bwpivots")
 BODIES["betweenness"] = """SELECT h.ip, round(coalesce(b, 0), 6) AS betweenness FROM hosts h LEFT JOIN bwxsum USING (ip)"""
 BODIES["betweenness_pivots"] = """SELECT h.ip, round(coalesce(b, 0) * n / least(64, n), 6) AS betweenness FROM bwplaces h LEFT JOIN bwpsum USING (ip)"""
 
+# --- drift lines ------------------------------------------------------------------
+for _n in ("drift_nodes", "drift_ranks", "drift_edges", "drift_identity", "compat_warnings"):
+    CTES[f"all_{_n}"] = BODIES[_n]
+BODIES["drift_findings"] = """SELECT CAST(0 AS INTEGER) AS pos, 'warning' AS kind, 'comparison warning: ' || warning AS finding FROM all_compat_warnings
+UNION ALL SELECT 1, 'summary', 'drift vs 20010101T000000Z: ' || (SELECT count(*) FILTER (WHERE change = 'appeared') || ' appeared, ' ||
+    count(*) FILTER (WHERE change = 'disappeared') || ' vanished, ' FROM all_drift_nodes) || (SELECT count(*) FROM all_drift_ranks) || ' rank changes, ' ||
+  (SELECT count(*) FILTER (WHERE change = 'new') || ' new edges to top terrain, ' || count(*) FILTER (WHERE change = 'vanished') || ' vanished critical edges, ' FROM all_drift_edges) ||
+  (SELECT count(*) FROM all_drift_identity) || ' identity changes, ' || (SELECT count(*) FROM newprov) || ' new sensitive-service providers, ' ||
+  (SELECT count(DISTINCT (dst, port)) FROM moves) || ' provider displacements'
+UNION ALL SELECT 2, 'identity', upper(protocol) || ' identity changed on ' || ip || ': added [' || replace(added, ',', ' ') || '] removed [' || replace(removed, ',', ' ') || ']' FROM all_drift_identity
+UNION ALL SELECT 3, 'provider', 'new provider: ' || ip || ' began serving ' || service || ' (port ' || port || ') to ' || clients || ' client(s)' ||
+  CASE WHEN new_host THEN ', host first seen this window' ELSE '' END || ' — investigate if unexpected' FROM newprov
+UNION ALL SELECT 4, 'migration', clients || ' client(s) moved from ' || from_ip || ':' || from_port || ' to ' || dst || ':' || port || ' for ' || service FROM moves WHERE from_ip IS NOT NULL"""
+
 # --- map overlays ---------------------------------------------------------------
 CTES["looked"] = BODIES["segment_lookup"]
 CTES["lookgroups"] = """

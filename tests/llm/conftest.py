@@ -1,14 +1,14 @@
 import pytest
 from pyspark.sql import functions as F
 
-from keyscape.llm.queries import importable
+from keyscape.llm.queries import prepare
 
 CLASHES = ["i", "h", "t", "w", "n", "a", "b", "slot", "score", "uid", "unit", "n_tokens", "text_h", "anchor"]
 
 
 @pytest.fixture(autouse=True)
 def workers(spark):
-    importable(spark)
+    prepare(spark)
 
 
 @pytest.fixture
