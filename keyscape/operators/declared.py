@@ -294,19 +294,41 @@ def unused_permits(decided: DataFrame, rules: DataFrame, apps: DataFrame) -> Dat
     )
 
 
-def findings(matches, gateways, silent, undeclared, denied, unused, skipped) -> DataFrame:
-    """One summary line per aspect that has something to report."""
-    parts = [
-        ("devices matched", matches), ("declared gateways", gateways),
-        ("silent declared subnets", silent), ("undeclared observed subnets", undeclared),
-        ("flows denied by declared policy", denied), ("unused permit rules", unused),
-    ]
-    out = None
-    for order, (label, df) in enumerate(parts):
-        row = df.agg(F.count("*").alias("n")).select(
-            F.lit(order).alias("pos"), F.lit(label).alias("aspect"), "n")
-        out = row if out is None else out.unionByName(row)
-    extra = skipped.select(F.lit(len(parts)).alias("pos"), F.lit("rules not evaluated").alias("aspect"),
-                           F.col("skipped_rules").alias("n"))
-    return out.unionByName(extra).filter("n > 0").select(
-        "pos", "aspect", "n", F.concat_ws(" ", F.col("n").cast("string"), "aspect").alias("finding"))
+def findings(
+    devices, warnings, matches, adopted, gateways, silent, undeclared, denied, unused, skipped
+) -> DataFrame:
+    """(pos, finding) lines: parser warnings (source, warning) with the device they are
+    of, what was declared, what was matched, and the policy's counts."""
+    # The wording of the lines.
+    named = devices.select("source", F.col("device").alias("host"))
+    text_of = lambda c: F.col(c).cast("string")
+    out = warnings.join(named, "source", "left").select(
+        F.when(F.col("host").isNull(), 0).otherwise(1).alias("pos"),
+        F.concat(F.lit("device configs"), F.when(F.col("host").isNull(), "").otherwise(
+            F.concat(F.lit(" ("), "host", F.lit(")"))), F.lit(": "), "warning").alias("finding"))
+    sizes = {
+        "devices": devices, "cisco": devices.filter("vendor = 'cisco-ios'"),
+        "matched": matches.filter("device_type <> ''"), "adopted": adopted,
+        "seen": adopted.filter("observed_ip <> ''"), "gateways": gateways, "silent": silent,
+        "undeclared": undeclared, "denied": denied, "unused": unused}
+    rows = skipped.select(F.lit("skipped").alias("what"), F.col("skipped_rules").cast("bigint").alias("n"))
+    for name, df in sizes.items():
+        rows = rows.unionByName(df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n"))
+    counted = rows.agg(*[
+        F.max(F.when(F.col("what") == name, F.col("n"))).alias(name) for name in ("skipped", *sizes)])
+    lines = F.array(
+        F.struct(F.lit(2).alias("pos"), F.concat(
+            F.lit("device configs: "), text_of("devices"), F.lit(" device(s) declared, "), text_of("gateways"),
+            F.lit(" gateway(s) identified, "), text_of("silent"), F.lit(" silent subnet(s), "),
+            text_of("undeclared"), F.lit(" undeclared CIDR(s)")).alias("finding")),
+        F.struct(F.lit(3).alias("pos"), F.when(F.col("cisco") > 0, F.concat(
+            F.lit("device configs: "), text_of("matched"), F.lit(" of "), text_of("cisco"),
+            F.lit(" Cisco IOS device(s) matched observed map nodes"))).alias("finding")),
+        F.struct(F.lit(4).alias("pos"), F.when(F.col("adopted") > 0, F.concat(
+            F.lit("device configs: "), text_of("seen"), F.lit(" of "), text_of("adopted"),
+            F.lit(" adopted UniFi device(s) matched observed map nodes"))).alias("finding")),
+        F.struct(F.lit(5).alias("pos"), F.concat(
+            F.lit("declared policy: "), text_of("denied"), F.lit(" denied-but-observed violation(s), "),
+            text_of("unused"), F.lit(" unused permit(s), "), text_of("skipped"),
+            F.lit(" rule(s) skipped (caveated)")).alias("finding")))
+    return out.unionByName(counted.select(F.inline(lines)).filter("finding IS NOT NULL"))

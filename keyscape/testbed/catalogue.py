@@ -758,11 +758,12 @@ def skipped_rules(spark, sf):
 @query
 def declared_findings(spark, sf):
     s = I.snapshot(spark, sf)
-    t = I.declared(spark, sf, I.POLICY)
+    t = I.declared(spark, sf)
     gaps = quality.zero_coverage(I.scope(spark), s["nodes"])
     inv, pol = policy.inventory(t, s["nodes"], gaps), policy.policy(t, s["edges"])
-    return declared.findings(inv["matches"], inv["gateways"], inv["silent_subnets"], inv["undeclared_cidrs"],
-                             pol["violations"], pol["unused_permits"], pol["skipped_rules"])
+    return declared.findings(
+        t["devices"], t["warnings"], inv["matches"], inv["adopted"], inv["gateways"], inv["silent_subnets"],
+        inv["undeclared_cidrs"], pol["violations"], pol["unused_permits"], pol["skipped_rules"])
 
 
 # --- briefing map ----------------------------------------------------------

@@ -616,6 +616,22 @@ UNION ALL SELECT 3, 'provider', 'new provider: ' || ip || ' began serving ' || s
   CASE WHEN new_host THEN ', host first seen this window' ELSE '' END || ' — investigate if unexpected' FROM newprov
 UNION ALL SELECT 4, 'migration', clients || ' client(s) moved from ' || from_ip || ':' || from_port || ' to ' || dst || ':' || port || ' for ' || service FROM moves WHERE from_ip IS NOT NULL"""
 
+# --- declared lines ---------------------------------------------------------------
+for _n in ("config_warnings", "declared_gateways", "undeclared_cidrs", "adopted_devices", "policy_violations",
+           "unused_permits", "skipped_rules"):
+    CTES[f"all_{_n}"] = BODIES[_n]
+CTES["all_silent"] = """
+SELECT p AS cidr FROM owned WHERE NOT EXISTS (SELECT 1 FROM hosts WHERE ip LIKE p || '%')
+UNION ALL SELECT '10.0.' || n || '.10' FROM nets WHERE '10.0.' || n || '.10' NOT IN (SELECT ip FROM hosts)"""
+BODIES["declared_findings"] = """SELECT CAST(1 AS INTEGER) AS pos, 'device configs (' || replace(source, '.cfg', '') || '): ' || warning AS finding FROM all_config_warnings
+UNION ALL SELECT 2, 'device configs: ' || (SELECT count(*) + 1 FROM routers) || ' device(s) declared, ' || (SELECT count(*) FROM all_declared_gateways) ||
+  ' gateway(s) identified, ' || (SELECT count(*) FROM all_silent) || ' silent subnet(s), ' || (SELECT count(*) FROM all_undeclared_cidrs) || ' undeclared CIDR(s)'
+UNION ALL SELECT 3, 'device configs: ' || (SELECT count(*) FROM routers WHERE '10.' || r || '.' || b || '.1' IN (SELECT ip FROM hosts)) || ' of ' ||
+  (SELECT count(*) FROM routers) || ' Cisco IOS device(s) matched observed map nodes'
+UNION ALL SELECT 4, 'device configs: ' || (SELECT count(*) FILTER (WHERE observed_ip <> '') || ' of ' || count(*) FROM all_adopted_devices) || ' adopted UniFi device(s) matched observed map nodes'
+UNION ALL SELECT 5, 'declared policy: ' || (SELECT count(*) FROM all_policy_violations) || ' denied-but-observed violation(s), ' || (SELECT count(*) FROM all_unused_permits) ||
+  ' unused permit(s), ' || (SELECT skipped_rules FROM all_skipped_rules) || ' rule(s) skipped (caveated)'"""
+
 # --- map overlays ---------------------------------------------------------------
 CTES["looked"] = BODIES["segment_lookup"]
 CTES["lookgroups"] = """
