@@ -11,6 +11,14 @@ LARGE = 1000
 BROADCAST_KEYS = 1_000_000
 
 
+PART_ROWS = 500_000
+
+
+def compact(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has at most about ``rows`` narrow rows, in as many parts as they need."""
+    return df.coalesce(max(1, -(-rows // PART_ROWS)))
+
+
 def join_large(rows: DataFrame, table: DataFrame, key: str, count: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row for each ``key`` and
     the number of its rows in ``count``.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyscape.llm.components import components
-from keyscape.llm.joins import BROADCAST_KEYS, join_large, without
+from keyscape.llm.joins import BROADCAST_KEYS, compact, join_large, without
 from keyscape.llm.packing import differences, pack, unpack
 from keyscape.llm.words import mix, row_slices, shingle_sets
 from keyscape.session import materialize
@@ -36,9 +36,10 @@ SHINGLE = 5
 THRESHOLD = 80
 GROUPS = 32
 RARE = 32
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 12 << 20
 PART_TOKENS = 1 << 20
 SALT_PAIRS = 256
+PARITIES = 32
 
 
 _PACKED = "part int, block long, first long, payload binary"
@@ -243,9 +244,8 @@ def postings(texts: DataFrame, size: int, threshold: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) that link, stored. The texts of ``b`` are compared in turn with
+    """Of stored pairs (a, b) those that link, stored. The texts of ``b`` are compared in turn with
     that of ``a``, which is sent once for each ``SALT_PAIRS`` of its pairs."""
-    pairs = materialize(pairs, "jaccard-pairs")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_PAIRS).cast("int").alias("salts"))
     members = pairs.join(salts, "a").select(
         "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"),
@@ -280,8 +280,8 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Dat
         "jaccard-links")
 
 
-def _merge(state: DataFrame, links: DataFrame) -> DataFrame:
-    """(uid, root, size) after ``links`` between texts. Components become nodes first."""
+def _merge(state: DataFrame, links: DataFrame, rows: int) -> DataFrame:
+    """(uid, root, size) of ``rows`` texts after ``links`` between texts. Components become nodes first."""
     left = state.select(F.col("uid").alias("a"), F.col("root").alias("ra"))
     right = state.select(F.col("uid").alias("b"), F.col("root").alias("rb"))
     roots = components(links.join(left, "a").join(right, "b").select(
@@ -290,7 +290,32 @@ def _merge(state: DataFrame, links: DataFrame) -> DataFrame:
         F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(
         "uid", F.coalesce("top", "root").alias("root"))
     sizes = moved.groupBy("root").agg(F.count("*").alias("size"))
-    return materialize(moved.join(sizes, "root").select("uid", "root", "size"), "jaccard-state")
+    return materialize(
+        compact(moved.join(sizes, "root").select("uid", "root", "size"), rows), "jaccard-state")
+
+
+def _parities(texts: DataFrame, size: int) -> DataFrame:
+    """(uid, p0, p1, ...): for each of 64 ``PARITIES`` slots whether an odd number of the
+    text's tokens is dealt to it. Slots that differ between two texts are no more than the
+    tokens that only one of them has."""
+    names = [f"p{k}" for k in range(PARITIES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in row_slices(batch.column(1), BLOCK_BYTES):
+                part = batch.slice(start, end - start)
+                tokens, off = shingle_sets(part.column(1), size)
+                slot = (mix(tokens) >> np.uint64(20)).astype(np.int64) % (64 * PARITIES)
+                odd = np.zeros((len(part), 64 * PARITIES), np.uint8)
+                row = np.repeat(np.arange(len(part)), np.diff(off))
+                np.bitwise_xor.at(odd, (row, slot), 1)
+                words = np.packbits(odd, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *[pa.array(words[:, k].copy()) for k in range(PARITIES)]],
+                    names=["uid", *names])
+
+    return texts.select("uid", "text").mapInArrow(
+        run, "uid long, " + ", ".join(f"{c} long" for c in names))
 
 
 def _may_link(threshold: int):
@@ -307,6 +332,13 @@ def _may_link(threshold: int):
     )
 
 
+def _near_parities(threshold: int):
+    """Whether slots differ in no more places than tokens may between texts that link."""
+    apart = sum(
+        (F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(PARITIES)), F.lit(0))
+    return apart * (100 + threshold) <= (F.col("n") + F.col("na")) * (100 - threshold)
+
+
 def _linked(index: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """(uid, root) of all texts that share something in the index.
 
@@ -316,7 +348,8 @@ def _linked(index: DataFrame, docs: DataFrame, size: int, threshold: int) -> Dat
     compared with all others of the group that are in other components, and leave
     the group: first more heads, then texts of small components. Texts in one component
     are never compared again, so copies cost one comparison each; all others of a
-    group that may link are, whatever its size.
+    group that may link, by their sizes, tokens of their own and parities, are, whatever
+    its size.
     """
     names = "sig brief uid n own".split()
     head = F.struct("own", "uid", "n", "brief")
@@ -331,7 +364,8 @@ def _linked(index: DataFrame, docs: DataFrame, size: int, threshold: int) -> Dat
             F.max(c).alias(c) for c in ("brief", "n", "own", "a", "na", "own_a", "brief_a")]),
         "jaccard-live")
     wanted = materialize(live.select("uid").distinct(), "jaccard-wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    n_texts, n_live = wanted.count(), live.count()
+    few = F.broadcast(wanted) if n_texts <= BROADCAST_KEYS else wanted
     texts = materialize(
         docs.join(few, "uid", "left_semi").groupBy("uid").agg(F.first("text").alias("text")),
         "jaccard-texts")
@@ -340,28 +374,38 @@ def _linked(index: DataFrame, docs: DataFrame, size: int, threshold: int) -> Dat
     best = live.where((F.col("uid") != F.col("a")) & _may_link(threshold)).groupBy(
         "uid", "a").agg(F.count("*").alias("k")).groupBy(
         "uid").agg(F.max(F.struct("k", "a")).alias("best"))
-    pairs = best.select(F.col("best.a").alias("a"), F.col("uid").alias("b"))
-    done = None
+    pairs = materialize(
+        best.select(F.col("best.a").alias("a"), F.col("uid").alias("b")), "jaccard-candidates")
+    done = parities = None
     live = live.select(*names)
     for picks, by in _turns():
-        links = verify(pairs, texts, size, threshold)
-        state = _merge(state, links)
+        if not pairs.isEmpty():
+            links = verify(pairs, texts, size, threshold)
+            state = _merge(state, links, n_texts)
         known = live.join(state, "uid")
         open_groups = known.groupBy("sig").agg(
             F.min("root").alias("low"), F.max("root").alias("high"), F.max("brief").alias("any")
         ).where("low <> high and any")
-        live = materialize(known.join(open_groups.select("sig"), "sig"), "jaccard-live")
-        if live.isEmpty():
+        live = materialize(
+            compact(known.join(open_groups.select("sig"), "sig"), n_live), "jaccard-live")
+        n_live = live.count()
+        if not n_live:
             break
+        if parities is None:
+            open_texts = materialize(live.select("uid").distinct(), "jaccard-open")
+            parities = materialize(
+                _parities(texts.join(open_texts, "uid", "left_semi"), size), "jaccard-parities")
         chosen = materialize(
-            live.groupBy("sig", F.pmod(F.xxhash64("uid"), F.lit(picks)).alias("k"))
+            compact(live.groupBy("sig", F.pmod(F.xxhash64("uid"), F.lit(picks)).alias("k"))
             .agg(F.min(F.struct(F.col(by).alias("by"), "uid", "root", "n", "own", "brief")).alias("p"))
             .select("sig", F.col("p.uid").alias("a"), F.col("p.root").alias("ra"),
                     F.col("p.n").alias("na"), F.col("p.own").alias("own_a"),
-                    F.col("p.brief").alias("brief_a")),
+                    F.col("p.brief").alias("brief_a")), n_live),
             "jaccard-chosen")
-        pairs = live.join(chosen, "sig").where(
-            (F.col("root") != F.col("ra")) & _may_link(threshold)
+        other = parities.select(
+            F.col("uid").alias("a"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(PARITIES)])
+        pairs = live.join(parities, "uid").join(chosen.join(other, "a"), "sig").where(
+            (F.col("root") != F.col("ra")) & _may_link(threshold) & _near_parities(threshold)
         ).select("a", F.col("uid").alias("b"))
         pairs = pairs.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(
             F.first("a").alias("a"), F.first("b").alias("b"))
@@ -380,10 +424,10 @@ def _linked(index: DataFrame, docs: DataFrame, size: int, threshold: int) -> Dat
 def _turns() -> Iterator[tuple[int, str]]:
     """How many texts of a group to compare in each turn, and which first."""
     yield 1, "own"
-    picks = 8
+    picks = 16
     while True:
         yield picks, "size"
-        picks *= 8
+        picks *= 32
 
 
 def near_groups(
