@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -49,13 +50,16 @@ def safe_cut(data: np.ndarray, i: int, j: int) -> np.ndarray:
 
 
 def safe_pieces(
-    data: np.ndarray, off: np.ndarray, folds: bool = False
+    data: np.ndarray, off: np.ndarray, folds: bool = False, added: tuple[bytes, ...] = (b"<|",)
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(base, starts, ends, hash) of the pieces between all safe cuts.
 
     ``folds`` is for a tokenizer that lower-cases and drops white space: pieces
-    then leave out white space in front and are hashed with A-Z lower-cased.
+    then leave out white space in front and are hashed with A-Z lower-cased. Added
+    tokens are matched before that, by their case: a piece that holds one of the strings
+    ``added``, compared without case, is hashed by its own bytes.
     """
+    marked = re.compile(b"|".join(re.escape(x.lower()) for x in added)) if folds and added else None
     for s, e in pieces(data, off, safe_cut):
         cut = safe_cut(data, s, e)
         cut[0] = True
@@ -65,18 +69,26 @@ def safe_pieces(
         if folds:
             solid = np.append(np.flatnonzero(~SPACE[data[s:e]]), e - s)
             starts = np.minimum(solid[np.searchsorted(solid, starts)], ends)
-        yield s, starts, ends, hash_spans(data[s:e], starts, ends, LOWER if folds else IDENTITY)
+        keys = hash_spans(data[s:e], starts, ends, LOWER if folds else IDENTITY)
+        if marked:
+            at = [m.start() for m in marked.finditer(LOWER[data[s:e]].tobytes())]
+            if at:
+                own = np.unique(np.searchsorted(starts, at, "right") - 1)
+                keys[own] = hash_spans(data[s:e], starts[own], ends[own], IDENTITY)
+        yield s, starts, ends, keys
 
 
 class Memo:
     """Token ids of pieces by 64-bit hash, for one tokenizer and worker.
 
     At most ``limit`` pieces and those of one batch are held; beyond that it
-    starts anew. That only costs time. ``ids`` False keeps lengths only.
+    starts anew. That only costs time. ``ids`` False keeps lengths only. ``added``
+    are the tokenizer's added tokens.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], ids: bool, limit: int = MEMO_PIECES):
-        self.encode, self.ids, self.limit = encode, ids, limit
+    def __init__(self, encode: Callable[[list[str]], list], ids: bool, limit: int = MEMO_PIECES,
+                 added: tuple[bytes, ...] = ()):
+        self.encode, self.ids, self.limit, self.added = encode, ids, limit, added
         self._clear()
 
     def _clear(self) -> None:
@@ -145,5 +157,6 @@ def tokenizer_memo(path: str, ids: bool) -> Memo:
         def encode(texts: list[str]) -> list:
             return tok.encode_batch_fast(texts, add_special_tokens=False)
 
-        _memos[path, ids] = Memo(encode, ids)
+        added = tuple(t.content.encode() for t in tok.get_added_tokens_decoder().values())
+        _memos[path, ids] = Memo(encode, ids, added=added)
     return _memos[path, ids]

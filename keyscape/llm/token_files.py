@@ -42,7 +42,7 @@ def _tokens(tokenizer: str, column: pa.Array, end_id: int, folds: bool) -> Itera
     memo = tokenizer_memo(tokenizer, ids=True)
     data, off = flat(column)
     row, part = 0, []
-    for base, starts, ends, keys in safe_pieces(data, off, folds):
+    for base, starts, ends, keys in safe_pieces(data, off, folds, memo.added):
         slots = memo.resolve(data, starts + base, ends - starts, keys)
         lengths = memo.lengths[slots]
         ids = memo.flat[ragged(memo.starts[slots], lengths)]
