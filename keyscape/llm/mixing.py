@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +17,12 @@ from keyscape.session import materialize
 
 BLOCK_ROWS = 64
 HORIZON = 1000
+LAST_SLOT = 1 << 62
 
 
 def quotas(weights: dict, horizon: int = HORIZON) -> dict:
-    """Blocks of each source in a period of ``horizon`` slots: its share by largest
-    remainder, one at least. Weights of zero or less have no quota. With more
+    """Whole blocks of each source in one period of ``horizon`` slots, for a caller that
+    repeats a period (``mix_sources`` does not): its share by largest remainder, one at least. Weights of zero or less have no quota. With more
     sources than slots the period is as long as there are sources."""
     weights = {s: w for s, w in weights.items() if w > 0}
     horizon = max(horizon, len(weights))
@@ -33,28 +38,42 @@ def quotas(weights: dict, horizon: int = HORIZON) -> dict:
     return held
 
 
-def pattern(held: dict) -> list[tuple]:
-    """(source, block in period, slot) of one period.
+def schedule(weights: dict, blocks: dict) -> Iterator[tuple]:
+    """(source, block, slot) of ``blocks[source]`` blocks of each source, in order.
+
+    Block j of a source with a share w of all weights is released at floor(j / w) and due
+    at ceil((j + 1) / w), worked out from the exact weight. In each slot the released
+    block due first runs. Shares sum to one, so every block runs within its window: at
+    each slot a source that has blocks left is less than one block from its exact
+    share, however long the schedule is. A source that has ended leaves its slots
+    empty, or to blocks that are released then. Weights of zero or less have no slots.
 
-    Block j of a source with c of H slots is released at floor(jH/c) and due at
-    ceil((j+1)H/c). In each slot the released block due first runs. All quotas
-    together fill the period, so every block runs within its window and each
-    source is always less than one block from its share.
+    It holds two numbers of each source, whatever the number of blocks.
     """
-    horizon = sum(held.values())
-    names = sorted(held, key=str)
-    waiting = [(0, k, 0) for k in range(len(names))]
-    ready, out = [], []
-    heapq.heapify(waiting)
-    for slot in range(horizon):
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    share = {s: int(w * scale) for s, w in exact.items()}
+    total = sum(share.values())
+    names = sorted((s for s in share if blocks.get(s, 0) > 0), key=lambda s: (str(s), s is None))
+    own, ends = [share[s] for s in names], [blocks[s] for s in names]
+    waiting, ready, slot = [(0, k, 0) for k in range(len(names))], [], 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, k, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * horizon // held[names[k]]), k, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // own[k]), k, j))
         _, k, j = heapq.heappop(ready)
-        out.append((names[k], j, slot))
-        if j + 1 < held[names[k]]:
-            heapq.heappush(waiting, ((j + 1) * horizon // held[names[k]], k, j + 1))
-    return out
+        yield names[k], j, slot
+        slot += 1
+        if j + 1 < ends[k]:
+            heapq.heappush(waiting, ((j + 1) * total // own[k], k, j + 1))
+
+
+def pattern(held: dict) -> list[tuple]:
+    """(source, block in period, slot) of one period in which each source has ``held``
+    blocks, its weight."""
+    return list(schedule(held, held))
 
 
 def tempered_weights(docs: DataFrame, source_col: str = "source", power: float = 0.5) -> dict:
@@ -64,6 +83,33 @@ def tempered_weights(docs: DataFrame, source_col: str = "source", power: float =
     return {r.s: r.n**power for r in rows}
 
 
+def _schedule_table(blocks: DataFrame, weights: dict, horizon: int) -> DataFrame:
+    """(ps, turn, at): the slot of every block of a source with a weight."""
+    spark = blocks.sparkSession
+    counts = {r.s: r.n for r in blocks.groupBy("s").agg((F.max("block") + 1).alias("n")).collect()}
+    names = list(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {s: k for k, s in enumerate(names)}
+        for batch in batches:
+            for _ in range(batch.num_rows):
+                turns = schedule(weights, counts)
+                while part := list(itertools.islice(turns, horizon)):
+                    source, block, slot = zip(*part, strict=True)
+                    if slot[-1] >= LAST_SLOT >> 1:
+                        raise ValueError("a weight is too small for the blocks of its source")
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([place[s] for s in source], pa.int32()),
+                        pa.array(block, pa.int64()), pa.array(slot, pa.int64()),
+                    ], names=["k", "turn", "at"])
+
+    slots = materialize(
+        spark.range(0, 1, 1, 1).mapInArrow(run, "k int, turn long, at long"), "mix-schedule")
+    kind = blocks.schema["s"].dataType.simpleString()
+    named = spark.createDataFrame(list(enumerate(names)), f"nk int, ps {kind}")
+    return slots.join(F.broadcast(named), F.col("k") == F.col("nk")).select("ps", "turn", "at")
+
+
 def mix_sources(
     docs: DataFrame,
     weights: dict,
@@ -76,11 +122,14 @@ def mix_sources(
     the mix. ``slot`` orders the blocks of all sources, ``place`` (from 0) the rows
     of a block of ``block_rows``; ``h`` is a hash of the id.
 
-    The schedule of one period of ``horizon`` slots repeats: all sources are level
-    at its end. Up to the slot where the first source ends, each source is less
-    than one block from its weight; from there its slots stay empty and the others
-    keep their proportions. Every row is placed once. Sources with no weight follow
-    after all others, block by block.
+    Up to the slot where the first source ends, each source is less than one block from
+    its exact weight, on any length and for any number of sources; from there its
+    slots stay empty and the others keep their proportions. Every row is placed once.
+    Sources with no weight follow after all others, block by block.
+
+    One task works out the schedule from a number of blocks for each source, ``horizon``
+    slots at a time, and writes a row for each block, not for each row of ``docs``. A
+    schedule of 2**61 slots or more, from a weight that is nearly nothing, is an error.
 
     A source's rows are in a fixed pseudo-random order by hash of the id, then the
     id; repeated rows take neighbouring places. A null source is a source of its
@@ -92,24 +141,11 @@ def mix_sources(
     blocks = ranked.select(
         "i", "s", "h", F.expr(f"rank div {block_rows}").alias("block"),
         (F.col("rank") % block_rows).cast("int").alias("place"))
-    held = quotas(weights, horizon)
-    period = sum(held.values())
-    spark = docs.sparkSession
-    kind = rows.schema["s"].dataType.simpleString()
-    # as many rows as the period has slots, whatever the size of the data
-    table = F.broadcast(spark.createDataFrame(
-        [(s, held[s], j, slot) for s, j, slot in pattern(held)],
-        f"ps {kind}, quota int, turn int, first int"))
-    quota = F.broadcast(spark.createDataFrame(
-        [(s, c) for s, c in held.items()], f"qs {kind}, c int"))
-    blocks = blocks.join(quota, F.col("s").eqNullSafe(F.col("qs")), "left").withColumn(
-        "k", (F.col("block") % F.col("c")).cast("int"))
+    table = _schedule_table(blocks, weights, horizon)
     joined = blocks.join(
-        table, F.col("s").eqNullSafe(F.col("ps")) & (F.col("k") == F.col("turn")), "left")
-    last = F.lit(1 << 62)
-    slot = F.when(
-        F.col("c").isNotNull(), F.expr("block div c") * F.lit(period) + F.col("first")
-    ).otherwise(last + F.col("block"))
+        table, F.col("s").eqNullSafe(F.col("ps")) & (F.col("block") == F.col("turn")), "left")
+    last = F.lit(LAST_SLOT)
+    slot = F.when(F.col("at").isNotNull(), F.col("at")).otherwise(last + F.col("block"))
     return joined.select(
         F.col("i").alias(id_col), F.col("s").alias(source_col), "h", "block", "place",
         slot.cast("bigint").alias("slot"))
