@@ -1,9 +1,8 @@
 """Operator 3: language-model scores from a probabilistic suffix tree.
 
 Symbols are words and the end of a text. The tree's contexts are runs of up to
-``DEPTH`` symbols. A run of symbols enters the tree if its probability in the training
-texts is ``MIN_PROB`` or more, so there are at most 1 / MIN_PROB runs of each length,
-whatever the corpus: that is the bound of what the driver holds and tasks are sent.
+``DEPTH`` symbols. A run of symbols enters the tree if it occurs ``LEAST`` times or more
+in the training texts, whatever the size of the corpus, so the tree grows with it.
 A context stays if its next-symbol counts diverge from what its suffix predicts: if the
 log-likelihood that it gains is over half its number of entries times the logarithm of
 its count. Suffixes of contexts that stay do so too.
@@ -14,8 +13,10 @@ is (count + 1) / (N + V + 1), with exact counts of all words of the corpus. It s
 one over the words seen and one unseen. A text's score adds up the probabilities in the
 longest states that its words reach.
 
-Word counts of the corpus are never in one place: blocks of texts ask for the counts of
-their own distinct words, in packed arrays dealt by hash range.
+Neither the driver nor any task holds the tree. Blocks of texts ask for the counts of
+their own distinct runs, then for their contexts' sums over all entries, in packed
+arrays dealt by hash range; each block's part of a context's sums comes from the places
+where the context stands in it, so that a context with many entries is in no one task.
 """
 
 from __future__ import annotations
@@ -32,318 +33,319 @@ from keyscape.llm.words import mix, row_slices, word_hashes
 from keyscape.session import materialize
 
 DEPTH = 2
-MIN_PROB = 1e-6
+LEAST = 2
 DISCOUNT = 0.75
-BLOCK_BYTES = 12 << 20
-PART_TOKENS = 4 << 20
+BLOCK_BYTES = 6 << 20
+PART_TOKENS = 2 << 20
 END = np.uint64(0x0E0D_0E0D_0E0D_0E0D)
-
-_BLOCK = "kind int, part int, block long, first long, train_tokens long, payload binary"
-_BLOCK_ARROW = pa.schema([
-    ("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()),
-    ("train_tokens", pa.int64()), ("payload", pa.binary())])
-
-
-def _arrow(rows: list[tuple], schema: pa.Schema) -> list[pa.Array]:
-    columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
-    return [pa.array(x, t) for x, t in zip(columns, schema.types, strict=True)]
-
-
-def _encode(part_bits: int):
-    """Task: texts to blocks. Kind 0 has a block's documents (id, is null, trains, words),
-    its distinct symbols and the places of its symbols in them; kind 1 the training
-    counts of the distinct symbols of one hash range, from place ``first``."""
+#: Steps of rows: texts, counts of runs of L + 1 symbols at _COUNTS + L, sums of contexts of
+#: L symbols at L, marks of suffixes at _MARKS + L.
+_TEXTS, _COUNTS, _MARKS = -1, 2000, 1000
+_FACTORS = mix(np.arange(1, 33, dtype=np.uint64)) | np.uint64(1)
+
+_ROW = "block long, step int, part int, v long, payload binary"
+_ROW_ARROW = pa.schema([
+    ("block", pa.int64()), ("step", pa.int32()), ("part", pa.int32()), ("v", pa.int64()),
+    ("payload", pa.binary())])
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(_ROW_ARROW)
+    return pa.Table.from_arrays(
+        [pa.array(x, t) for x, t in zip(columns, _ROW_ARROW.types, strict=True)],
+        schema=_ROW_ARROW)
+
+
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: texts (id, trains, text) to blocks: their documents (id, is null, trains,
+    words), distinct symbols and the places of their symbols in them; ``v`` counts the
+    symbols of training texts."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 24
+    for batch in batches:
+        for start, end in row_slices(batch.column(2), BLOCK_BYTES):
+            part = batch.slice(start, end - start)
+            ids, trains = part.column(0), part.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            words, off = word_hashes(part.column(2))
+            counts = np.diff(off)
+            distinct, places = np.unique(np.insert(words, off[1:], END), return_inverse=True)
+            payload = pack(
+                ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64),
+                ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64),
+                trains.astype(np.uint64), counts.astype(np.uint64), differences(distinct),
+                places.astype(np.uint64))
+            yield from _rows(
+                [(number, _TEXTS, -1, int((counts + 1)[trains].sum()), payload)]).to_batches()
+            number += 1
+
+
+def _pick(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at], zero where ``at`` is -1."""
+    return np.append(values, np.zeros(1, values.dtype))[at]
+
+
+class _Block:
+    """The runs of one block. ``keys[L]``: sorted hashes of its distinct runs of L + 1
+    symbols, ``at[L]``: for every symbol the place there of the run that it ends, -1 if
+    that would go across the start of its text. A text starts with the end before it."""
+
+    def __init__(self, payload: bytes, depth: int):
+        ids, nulls, trains, counts, steps, places = unpack(payload)
+        self.ids, self.nulls, self.trains = ids.view(np.int64), nulls.astype(bool), trains.astype(bool)
+        self.lengths = counts.astype(np.int64) + 1
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.of_train = np.repeat(self.trains, self.lengths)
+        self.offset = np.arange(len(places)) - np.repeat(self.starts, self.lengths)
+        self.keys, self.at = [np.cumsum(steps, dtype=np.uint64)], [places.astype(np.int64)]
+        stream = np.concatenate(([END], self.keys[0][self.at[0]]))
+        for level in range(1, depth + 1):
+            n = max(len(places) - level + 1, 0)
+            h = np.full(n, level, np.uint64)
+            for m in range(level + 1):
+                h += stream[m : m + n] * _FACTORS[m]
+            inside = np.flatnonzero(self.offset >= level - 1)
+            found, back = np.unique(mix(h)[inside - (level - 1)], return_inverse=True)
+            at = np.full(len(places), -1, np.int64)
+            at[inside] = back
+            self.keys.append(found)
+            self.at.append(at)
+
+    def held(self, level: int) -> np.ndarray:
+        """Training counts of the runs in this block."""
+        at = self.at[level][self.of_train]
+        return np.bincount(at[at >= 0], minlength=len(self.keys[level])).astype(np.uint64)
+
+    def context(self, level: int) -> np.ndarray:
+        """For every symbol the place in ``keys[level - 1]`` of the ``level`` symbols before
+        it, or -1."""
+        first = np.searchsorted(self.keys[0], END) if level == 1 else -1
+        before = np.concatenate(([first], self.at[level - 1][:-1])).astype(np.int64)
+        return np.where(self.offset >= level - 1, before, -1)
+
+
+class _Answered(_Block):
+    """A block with its answers: ``counts[L]`` of all runs, and of contexts of ``level``
+    symbols ``rest``, the mass they leave to their suffix, and ``kept``."""
+
+    def __init__(self, table: pa.Table, depth: int, total: int, kinds: int):
+        payload, answers = None, {}
+        for row in table.select(["step", "part", "payload"]).to_pylist():
+            if row["step"] == _TEXTS:
+                payload = row["payload"]
+            else:
+                answers.setdefault(row["step"], []).append((row["part"], unpack(row["payload"])))
+        joined = {
+            step: [np.concatenate(x) for x in zip(*(
+                a for _, a in sorted(own, key=lambda y: y[0])), strict=True)]
+            for step, own in answers.items()}
+        super().__init__(payload, depth)
+        self.counts = [
+            joined[_COUNTS + level][0].astype(np.int64) if _COUNTS + level in joined
+            else np.zeros(len(self.keys[level]), np.int64) for level in range(depth + 1)]
+        self.base = (self.counts[0] + 1.0)[self.at[0]] / (total + kinds + 1.0)
+        self.rest, self.kept = {}, {}
+        for level in range(1, depth + 1):
+            many, often = len(self.keys[level - 1]), self.asked(level)
+            if level in joined:
+                entries, inside, kept = joined[level]
+                self.rest[level], self.kept[level] = np.ones(many), np.zeros(many, bool)
+                self.rest[level][often] -= (
+                    inside - DISCOUNT * entries) / self.counts[level - 1][often]
+                self.kept[level][often] = kept > 0
+            elif not often.any():
+                self.rest[level], self.kept[level] = np.ones(many), np.zeros(many, bool)
+            if _MARKS + level in joined:
+                self.kept[level][often] |= joined[_MARKS + level][0] > 0
+
+    def asked(self, level: int) -> np.ndarray:
+        """Contexts of ``level`` symbols that are in the training texts often enough."""
+        return self.counts[level - 1] >= LEAST
+
+    def share(self, level: int, context: np.ndarray) -> np.ndarray:
+        """Every symbol's own part in its probability after ``level`` symbols."""
+        c = _pick(self.counts[level], self.at[level])
+        n = np.maximum(_pick(self.counts[level - 1], context), 1)
+        return np.where(c >= LEAST, (c - DISCOUNT) / n, 0.0)
+
+    def probability(self, levels: int, all_contexts: bool) -> np.ndarray:
+        """Of every symbol after contexts of up to ``levels``, those kept or all."""
+        p = self.base
+        for level in range(1, levels + 1):
+            context = self.context(level)
+            inside = context >= 0
+            if not all_contexts:
+                inside &= _pick(self.kept[level], context)
+            own = self.share(level, context) + _pick(self.rest[level], context) * p
+            p = np.where(inside, own, p)
+        return p
+
+
+def _deal(block: int, step: int, bits: int, keys: np.ndarray, *values: np.ndarray) -> pa.Table:
+    """Rows of (differences of keys, values) for each hash range."""
+    of = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
+    return _rows([
+        (block, step, int(of[a]), 0, pack(differences(keys[a:b]), *[v[a:b] for v in values]))
+        for a, b in zip(cuts, [*cuts[1:], len(of)], strict=False)])
+
+
+def _ask_counts(level: int, bits: int):
+    """Task: the blocks' distinct runs of ``level`` + 1 symbols and their training counts,
+    by hash range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 24
         for batch in batches:
-            for start, end in row_slices(batch.column(2), BLOCK_BYTES):
-                rows = block(batch.slice(start, end - start), number)
-                yield pa.RecordBatch.from_arrays(_arrow(rows, _BLOCK_ARROW), schema=_BLOCK_ARROW)
-                number += 1
-
-    def block(batch: pa.RecordBatch, number: int) -> list[tuple]:
-        ids = batch.column(0)
-        trains = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        words, off = word_hashes(batch.column(2))
-        counts = np.diff(off)
-        symbols = np.insert(words, off[1:], END)
-        distinct, places = np.unique(symbols, return_inverse=True)
-        of_train = np.repeat(trains, counts + 1)
-        held = np.bincount(places[of_train], minlength=len(distinct)).astype(np.uint64)
-        payload = pack(
-            ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64),
-            ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64),
-            trains.astype(np.uint64), counts.astype(np.uint64), differences(distinct),
-            places.astype(np.uint64))
-        rows = [(0, number % (1 << part_bits), number, -1, int(of_train.sum()), payload)]
-        of = (distinct >> np.uint64(64 - part_bits)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(of, prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True):
-            rows.append((1, int(of[a]), number, a, 0, pack(differences(distinct[a:b]), held[a:b])))
-        return rows
+            for number, payload in zip(
+                    batch.column(0).to_pylist(), batch.column(4), strict=True):
+                b = _Block(payload.as_py(), level)
+                yield from _deal(
+                    number, _COUNTS + level, bits, b.keys[level], b.held(level)).to_batches()
 
     return run
 
 
-_COUNT = "block long, first long, v long, payload binary"
-_COUNT_ARROW = pa.schema([
-    ("block", pa.int64()), ("first", pa.int64()), ("v", pa.int64()), ("payload", pa.binary())])
+def _asked(table: pa.Table) -> tuple[list, list]:
+    """(block, part) and arrays of the rows of one hash range, in the order of blocks."""
+    rows = sorted(table.select(["block", "part", "payload"]).to_pylist(), key=lambda r: r["block"])
+    return [(r["block"], r["part"]) for r in rows], [unpack(r["payload"]) for r in rows]
 
 
-def _sum_up(least: int):
-    """Group of one hash range: for each block the corpus counts of its symbols, and in a
-    row without block the number of symbols seen and those with ``least`` or more."""
+def _back(names: list, step: int, sizes: list, answers: list[np.ndarray]) -> list[tuple]:
+    """Rows of each block's own stretch of the answers."""
+    ends = np.cumsum(sizes).tolist()
+    return [
+        (block, step, part, 0, pack(*[a[e - n : e] for a in answers]))
+        for (block, part), n, e in zip(names, sizes, ends, strict=True)]
+
+
+def _sum_counts(level: int):
+    """Group of one hash range: for each block the corpus counts of its runs, and in a
+    row without block the number of runs seen in training."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, held, names = [], [], []
-        for row in table.select(["block", "first", "payload"]).to_pylist():
-            steps, counts = unpack(row["payload"])
-            keys.append(np.cumsum(steps, dtype=np.uint64))
-            held.append(counts)
-            names.append((row["block"], row["first"]))
+        names, asked = _asked(table)
+        keys = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
         distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.zeros(len(distinct), np.uint64)
-        np.add.at(total, back, np.concatenate(held))
-        mine, at, rows = total[back], 0, []
-        for (block, first), own in zip(names, keys, strict=True):
-            rows.append((block, first, 0, pack(mine[at : at + len(own)])))
-            at += len(own)
-        often = total >= least
-        rows.append((None, -1, int((total > 0).sum()), pack(
-            differences(distinct[often]), total[often])))
-        return pa.Table.from_arrays(_arrow(rows, _COUNT_ARROW), schema=_COUNT_ARROW)
+        np.add.at(total, back, np.concatenate([a[1] for a in asked]))
+        rows = _back(names, _COUNTS + level, [len(k) for k in keys], [total[back]])
+        return _rows([*rows, (None, _COUNTS + level, names[0][1], int((total > 0).sum()), b"")])
 
     return run
 
 
-def _find(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Place of every code in the sorted ``known``, or -1."""
-    if not len(known):
-        return np.full(len(codes), -1, np.int64)
-    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-    return np.where(known[at] == codes, at, -1)
+def _ask_contexts(level: int, bits: int, depth: int, total: int, kinds: int):
+    """Group of one block: for each of its contexts of ``level`` symbols, its count and
+    this block's part of the sums over its entries: of 1, of the places, of the
+    probability in the suffix and of the log-likelihood gained. An entry with a count of
+    c adds 1 / c in each place of a training text, so the blocks' parts add up."""
 
+    def run(table: pa.Table) -> pa.Table:
+        b = _Answered(table, depth, total, kinds)
+        context, often = b.context(level), b.asked(level)
+        run, many = b.at[level], len(b.keys[level - 1])
+        use = np.flatnonzero(b.of_train & (_pick(b.counts[level], run) >= LEAST))
+        own, c = context[use], b.counts[level][run[use]].astype(float)
+        lower = b.probability(level - 1, True)[use]
+        n = b.counts[level - 1]
+        sums = [1 / c, None, lower / c, np.log(c / n[own] / lower)]
+        sums = [np.bincount(own, x, many).astype(float)[often].view(np.uint64) for x in sums]
+        number = table.column("block")[0].as_py()
+        return _deal(
+            number, level, bits, b.keys[level - 1][often], n[often].astype(np.uint64), *sums)
 
-class _Stream:
-    """The symbols of one block, each text after a boundary, and their runs."""
+    return run
 
-    def __init__(self, payload: bytes, frequent: np.ndarray):
-        ids, nulls, trains, counts, steps, places = unpack(payload)
-        self.ids, self.nulls = ids.view(np.int64), nulls.astype(bool)
-        self.trains, self.counts = trains.astype(bool), counts.astype(np.int64)
-        self.places = places.astype(np.int64)
-        distinct = np.cumsum(steps, dtype=np.uint64)
-        own = _find(distinct, frequent)
-        self.symbols = own[self.places]
-        self.end = int(_find(np.array([END]), frequent)[0])
-        self.size = len(frequent)
-        self.is_end = (distinct == END)[self.places]
-
-    def runs(self, tables: list[np.ndarray]) -> Iterator[np.ndarray]:
-        """For lengths 1, 2, ...: number of the frequent run that stands before every
-        symbol, -1 if there is none. No run goes across a boundary."""
-        before = np.concatenate(([self.end], self.symbols[:-1]))
-        inner = np.concatenate(([True], self.is_end[:-1]))
-        run = before
-        yield run
-        for known in tables:
-            prior = np.concatenate(([-1], run[:-1]))
-            code = np.where((prior >= 0) & (before >= 0) & ~inner, prior * self.size + before, -1)
-            run = _find(code, known)
-            yield run
-
-
-def _count_runs(tables: list[np.ndarray], frequent: np.ndarray, parts: int):
-    """Task: blocks to packed training counts of (run, next symbol), a run one longer
-    than any in ``tables``; only where its two inner runs are frequent."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0):
-                s = _Stream(payload.as_py(), frequent)
-                of_train = np.repeat(s.trains, s.counts + 1)
-                context, shorter = None, None
-                for context in s.runs(tables):
-                    last, shorter = shorter, context
-                good = of_train & (context >= 0) & (s.symbols >= 0)
-                if tables:
-                    tail = np.where(last >= 0, last * s.size + s.symbols, -1)
-                    good &= _find(tail, tables[-1]) >= 0
-                codes, counts = np.unique(
-                    context[good] * s.size + s.symbols[good], return_counts=True)
-                of = (mix(codes.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(of, kind="stable")
-                cuts = np.searchsorted(of[order], np.arange(parts + 1))
-                rows = []
-                for part in range(parts):
-                    mine = order[cuts[part] : cuts[part + 1]]
-                    if len(mine):
-                        rows.append((part, pack(
-                            differences(codes[mine].astype(np.uint64)),
-                            counts[mine].astype(np.uint64))))
-                yield pa.RecordBatch.from_arrays(_arrow(rows, _PART_ARROW), schema=_PART_ARROW)
+def _sum_contexts(level: int):
+    """Group of one hash range: for each block its contexts' number of entries, the sum
+    of their counts and whether the context stays by itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, asked = _asked(table)
+        keys = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
+        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+        n = np.zeros(len(distinct), np.int64)
+        n[back] = np.concatenate([a[1] for a in asked]).astype(np.int64)
+        entries, inside, lower, gain = (
+            np.bincount(back, np.concatenate([a[k].view(float) for a in asked]), len(n))
+            for k in range(2, 6))
+        entries, inside = np.rint(entries), np.rint(inside)
+        other = np.maximum(n - inside, 0)
+        rate = np.maximum(other, 1) / np.maximum(n, 1) / np.maximum(1 - lower, 1e-12)
+        gain = gain + np.where(other > 0, other * np.log(rate), 0.0)
+        kept = (entries > 0) & (gain > 0.5 * entries * np.log(np.maximum(n, 2)))
+        return _rows(_back(names, level, [len(k) for k in keys], [
+            x.astype(np.uint64)[back] for x in (entries, inside, kept)]))
 
     return run
 
 
-_PART_ARROW = pa.schema([("part", pa.int32()), ("payload", pa.binary())])
+def _ask_marks(level: int, bits: int, depth: int, total: int, kinds: int):
+    """Group of one block: its contexts of ``level`` symbols, marked if they are the
+    suffix of one that stays."""
+
+    def run(table: pa.Table) -> pa.Table:
+        b = _Answered(table, depth, total, kinds)
+        longer, often = b.context(level + 1), b.asked(level)
+        stays = _pick(b.kept[level + 1], longer)
+        marks = np.zeros(len(b.keys[level - 1]), np.uint64)
+        marks[b.context(level)[stays]] = 1
+        number = table.column("block")[0].as_py()
+        return _deal(
+            number, _MARKS + level, bits, b.keys[level - 1][often], marks[often])
+
+    return run
 
 
-def _often(least: int):
-    """Group of one range of runs: those with a count of ``least`` or more."""
+def _join_marks(level: int):
+    """Group of one hash range: for each block whether its contexts are marked in any."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, held = [], []
-        for payload in table.column("payload").to_pylist():
-            steps, counts = unpack(payload)
-            keys.append(np.cumsum(steps, dtype=np.uint64))
-            held.append(counts)
+        names, asked = _asked(table)
+        keys = [np.cumsum(a[0], dtype=np.uint64) for a in asked]
         distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros(len(distinct), np.uint64)
-        np.add.at(total, back, np.concatenate(held))
-        often = total >= least
-        return pa.table({
-            "code": distinct[often].astype(np.int64), "n": total[often].astype(np.int64)})
+        marks = np.zeros(len(distinct), np.uint64)
+        np.maximum.at(marks, back, np.concatenate([a[1] for a in asked]))
+        return _rows(_back(names, _MARKS + level, [len(k) for k in keys], [marks[back]]))
 
     return run
 
 
-class SuffixTree:
-    """Contexts by length with their discounted entries.
-
-    ``frequent``: sorted hashes of the frequent symbols, ``counts`` their counts.
-    ``tables[L - 1]``: sorted codes of the frequent runs of L + 1 symbols, the number of
-    the run without its last symbol times the number of frequent symbols plus that
-    symbol; ``held`` their counts. ``share[L - 1]`` is an entry's part in the probability,
-    ``rest[L - 1]`` the mass that a context leaves to its suffix: no share and all of the
-    mass if it isn't in the tree. All suffixes of a frequent run are frequent.
-    """
-
-    def __init__(self, frequent, counts, tables, held, total: int, kinds: int):
-        self.frequent, self.tables = frequent, tables
-        size = len(frequent)
-        of = [(codes // max(size, 1), codes % max(size, 1)) for codes in tables]
-        heads = [counts, *held[:-1]]
-        below, suffixes, self.kept = (counts + 1.0) / (total + kinds + 1.0), [], []
-        for level, (context, symbol) in enumerate(of):
-            n, many = heads[level][context].astype(float), len(heads[level])
-            own = symbol
-            if level:
-                own = _find(suffixes[-1][context] * size + symbol, tables[level - 1])
-            lower = below[own]
-            suffixes.append(own)
-            entries = np.bincount(context, minlength=many)
-            other = np.maximum(heads[level] - np.bincount(context, held[level], many), 0)
-            other_low = np.maximum(1 - np.bincount(context, lower, many), 1e-12)
-            rate = np.maximum(other, 1) / np.maximum(heads[level], 1)
-            gain = np.bincount(context, held[level] * np.log(held[level] / n / lower), many) * 1.0
-            gain += np.where(other > 0, other * np.log(rate / other_low), 0.0)
-            self.kept.append(
-                (entries > 0) & (gain > 0.5 * entries * np.log(np.maximum(heads[level], 2))))
-            share = np.maximum(held[level] - DISCOUNT, 0.0) / n
-            below = share + (1 - np.bincount(context, share, many))[context] * lower
-        for level in range(len(tables) - 1, 0, -1):
-            runs = np.flatnonzero(self.kept[level])
-            self.kept[level - 1][suffixes[level - 1][runs]] = True
-        self.share, self.rest = [], []
-        for level, (context, _) in enumerate(of):
-            share = np.maximum(held[level] - DISCOUNT, 0) / heads[level][context]
-            self.share.append(np.where(self.kept[level][context], share, 0.0))
-            self.rest.append(1 - np.bincount(context, self.share[-1], len(heads[level])))
-
-    def contexts(self) -> list[int]:
-        """Number of contexts of each length."""
-        return [int(k.sum()) for k in self.kept]
-
-    def probability(self, level: int, run: np.ndarray, symbol: np.ndarray, lower: np.ndarray):
-        """P(symbol | run) of runs of ``level`` + 1 symbols, ``lower`` that of the suffix."""
-        if not len(self.rest[level]):
-            return lower
-        inside = (run >= 0) & (symbol >= 0)
-        at = _find(np.where(inside, run * len(self.frequent) + symbol, -1), self.tables[level])
-        share = 0.0
-        if len(self.share[level]):
-            share = np.where(at >= 0, self.share[level][np.maximum(at, 0)], 0.0)
-        return share + np.where(run >= 0, self.rest[level][np.maximum(run, 0)], 1.0) * lower
-
-
-def _score(tree: SuffixTree, total: int, kinds: int):
+def _score(depth: int, total: int, kinds: int):
     """Group of one block: a row for each of its texts."""
 
     def run(table: pa.Table) -> pa.Table:
-        stream, answers = None, []
-        for row in table.select(["first", "payload"]).to_pylist():
-            if row["first"] < 0:
-                stream = _Stream(row["payload"], tree.frequent)
-            else:
-                answers.append((row["first"], unpack(row["payload"])[0]))
-        counts = np.concatenate([x for _, x in sorted(answers, key=lambda x: x[0])])
-        c = counts.astype(np.int64)[stream.places]
-        base = (c + 1.0) / (total + kinds + 1.0)
-        p = base
-        for level, run in enumerate(stream.runs(tree.tables[:-1])):
-            p = tree.probability(level, run, stream.symbols, p)
-        starts = np.concatenate(([0], np.cumsum(stream.counts + 1)[:-1])).astype(np.int64)
+        b = _Answered(table, depth, total, kinds)
+        p, known = b.probability(depth, False), (b.counts[0] > 0)[b.at[0]]
         return pa.table({
-            "i": pa.array(stream.ids, mask=stream.nulls),
-            "held_out": ~stream.trains,
-            "n_tokens": stream.counts + 1,
-            "n_known": np.add.reduceat((c > 0).astype(np.int64), starts),
-            "base_score": np.add.reduceat(np.log10(base), starts),
-            "score": np.add.reduceat(np.log10(p), starts),
+            "i": pa.array(b.ids, mask=b.nulls),
+            "held_out": ~b.trains,
+            "n_tokens": b.lengths,
+            "n_known": np.add.reduceat(known.astype(np.int64), b.starts),
+            "base_score": np.add.reduceat(np.log10(b.base), b.starts),
+            "score": np.add.reduceat(np.log10(p), b.starts),
         })
 
     return run
 
 
-def train(
-    blocks: DataFrame, counted: DataFrame, total: int, least: int, depth: int
-) -> tuple[SuffixTree, int]:
-    """(tree, number of distinct symbols in training)."""
-    stats = counted.where("block is null").select("v", "payload").collect()
-    kinds = sum(r.v for r in stats)
-    keys, held = [], []
-    for r in stats:
-        steps, counts = unpack(bytes(r.payload))
-        keys.append(np.cumsum(steps, dtype=np.uint64))
-        held.append(counts.astype(np.int64))
-    keys, held = np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate(
-        [*held, np.zeros(0, np.int64)])
-    order = np.argsort(keys)
-    frequent, counts = keys[order], held[order]
-    parts = max(4, int(total // PART_TOKENS))
-    tables, table_counts = [], []
-    for _ in range(depth):
-        found = (
-            blocks.where("kind = 0").select("payload")
-            .mapInArrow(_count_runs(tables, frequent, parts), "part int, payload binary")
-            .groupBy("part").applyInArrow(_often(least), "code long, n long").toPandas()
-        )
-        code = found["code"].to_numpy(np.int64)
-        order = np.argsort(code)
-        tables = [*tables, code[order]]
-        table_counts.append(found["n"].to_numpy(np.int64)[order])
-    return SuffixTree(frequent, counts, tables, table_counts, total, kinds), kinds
-
-
 def suffix_tree_scores(
     docs: DataFrame,
     trains,
     id_col: str = "doc_id",
     text_col: str = "text",
     depth: int = DEPTH,
-    min_prob: float = MIN_PROB,
 ) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row
     of ``docs``; texts for which the column ``trains`` is true are learnt from, the
-    others are held out.
+    others are held out. Contexts have up to ``depth`` symbols, 31 at most; each level
+    costs an exchange of the blocks' distinct runs and two of the blocks.
 
-    Words are runs of non-white-space, A-Z lower-cased, known by a 64-bit hash; every text
-    has one end more. base_score and score are log10 probabilities of the text under the
-    smoothed word counts alone and under the tree.
+    Words are runs of non-white-space, A-Z lower-cased, known by a 64-bit hash, as are runs
+    of words; every text has one end more. base_score and score are log10 probabilities
+    of the text under the smoothed word counts alone and under the tree.
 
     A null or empty text is its end only. A null id, which ``trains`` may be null for, is
     held out. Repeated rows count, and are returned, each. An empty table gives an
@@ -354,19 +356,36 @@ def suffix_tree_scores(
         F.col(id_col).cast("bigint").alias("i"), F.coalesce(trains, F.lit(False)).alias("trains"),
         F.col(text_col).cast("string").alias("t"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    part_bits = max(2, min(16, int(size // (6 * PART_TOKENS)).bit_length()))
-    blocks = materialize(rows.mapInArrow(_encode(part_bits), _BLOCK), "tree-blocks")
-    total = blocks.agg(F.sum("train_tokens")).first()[0] or 0
-    least = max(2, int(np.ceil(min_prob * total)))
-    counted = materialize(
-        blocks.where("kind = 1").groupBy("part").applyInArrow(_sum_up(least), _COUNT),
-        "tree-counts")
-    tree, kinds = train(blocks, counted, total, least, depth)
-    texts = blocks.where("kind = 0").select("block", "first", "payload")
-    scored = texts.unionByName(
-        counted.where("block is not null").select("block", "first", "payload")
-    ).groupBy("block").applyInArrow(
-        _score(tree, total, kinds),
+    bits = max(2, min(16, int(size // (6 * PART_TOKENS)).bit_length()))
+    blocks = materialize(rows.mapInArrow(_encode, _ROW), "tree-blocks")
+    total = blocks.agg(F.sum("v")).first()[0] or 0
+
+    def answered(asked: DataFrame, answer, name: str) -> DataFrame:
+        found = materialize(asked.groupBy("part").applyInArrow(answer, _ROW), name)
+        # the files of a finished shuffle go when the driver collects its handle
+        docs.sparkSession.sparkContext._jvm.System.gc()
+        return found
+
+    known, kinds = blocks, 0
+    for level in range(depth + 1):
+        counted = answered(
+            blocks.mapInArrow(_ask_counts(level, bits), _ROW), _sum_counts(level), "tree-counts")
+        if not level:
+            kinds = counted.agg(F.sum("v")).first()[0] or 0
+        known = known.unionByName(counted.where("block is not null"))
+
+    def exchange(ask, answer, name: str) -> DataFrame:
+        return known.unionByName(answered(
+            known.groupBy("block").applyInArrow(ask, _ROW), answer, name))
+
+    for level in range(1, depth + 1):
+        known = exchange(
+            _ask_contexts(level, bits, depth, total, kinds), _sum_contexts(level), "tree-contexts")
+    for level in range(depth - 1, 0, -1):
+        known = exchange(
+            _ask_marks(level, bits, depth, total, kinds), _join_marks(level), "tree-marks")
+    scored = known.groupBy("block").applyInArrow(
+        _score(depth, total, kinds),
         "i long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         F.col("i").alias(id_col), "held_out", "n_tokens", "n_known",
