@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from keyscape.llm import (
     decontamination,
     digest_index,
+    fill_middle,
+    filter_audit,
     line_dedup,
     mixing,
     ngram_join,
@@ -19,6 +21,7 @@ from keyscape.llm import (
     suffix_tree,
     token_counts,
     token_files,
+    weighted_sampling,
 )
 
 TOKEN_LIMIT = 512
@@ -130,10 +133,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored("output", "form"), 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_token_counts, op2_quality, op3_suffix_tree, op4_ngram_jaccard, op5_mix_sources, op6_shards, op7_token_files, op8_line_dedup,
-              op9_exact_dedup, op10_decontamination)
+              op9_exact_dedup, op10_decontamination, op11_filter_audit, op12_weighted_sampling,
+              op13_fill_middle)
 }
 
 SQL = {
@@ -226,5 +247,63 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
     coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
     coalesce(n_hit, 0) > 0 as contaminated
 from words left join hit_words using (doc_id) left join hit_items using (doc_id)
+""",
+    "op11_filter_audit": r"""
+with d as (
+    select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+m as (
+    select doc_id, part,
+        case when len(w) < 100 then 1 else 0 end
+        + case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end
+        + case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 4 else 0 end
+        + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+        + case when doc_id > min(doc_id) over (partition by t) then 16 else 0 end as mask from d),
+l as (
+    select doc_id, max(quality = 1) as good, max(toxic = 1) as toxic from labels group by doc_id),
+c as (
+    select part, mask, coalesce(good, false) as good, coalesce(toxic, false) as toxic, count(*) as n
+    from m left join l using (doc_id) group by all),
+f as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as v(f, bit)),
+o as (
+    select a.f || b.f || c.f || d.f || e.f as filter_order
+    from f a, f b, f c, f d, f e
+    where a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s as (
+    select filter_order, x.step, f.bit, coalesce((select sum(g.bit) from f g
+        where position(g.f in filter_order) < x.step), 0)::integer as earlier
+    from o, generate_series(1, 5) as x(step), f where f.f = substr(filter_order, x.step, 1))
+select part, filter_order, step::integer as step,
+    sum(case when mask & (bit | earlier) = 0 then n else 0 end)::bigint as kept,
+    sum(case when mask & bit <> 0 and mask & earlier = 0 then n else 0 end)::bigint as removed,
+    sum(case when mask & bit <> 0 and mask & earlier <> 0 then n else 0 end)::bigint as redundant,
+    sum(case when mask = bit then n else 0 end)::bigint as unique_fails,
+    sum(case when mask & bit <> 0 and mask & earlier = 0 and good then n else 0 end)::bigint as good_lost,
+    sum(case when mask & bit <> 0 and mask & earlier = 0 and toxic then n else 0 end)::bigint as toxic_lost,
+    sum(case when mask & bit <> 0 then n * 120 // bit_count(mask) else 0 end)::bigint as shapley
+from c, s group by part, filter_order, step
+""",
+    "op13_fill_middle": r"""
+with h as (
+    select doc_id, coalesce(text, '') as t, sha256('42:' || doc_id) as x,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u
+    from documents),
+k as (
+    select doc_id, t, u, len(u) as n, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2,
+        ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from h),
+c as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>')
+            or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from k),
+p as (
+    select *, array_to_string(u[1:a], '') as prefix, array_to_string(u[a + 1:b], '') as middle,
+        array_to_string(u[b + 1:], '') as suffix from c)
+select doc_id, n::bigint as n, form,
+    case when form <> 'plain' then length(prefix) end::bigint as prefix_chars,
+    case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(t) as restored_sha256
+from p
 """,
 }
