@@ -111,7 +111,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_repeated_lines(_table(spark, sf_dir, "documents"))
+    out = line_dedup.remove_repeated(_table(spark, sf_dir, "documents"))
     spans = F.transform("removed", lambda r: F.concat_ws(
         ":", r["start"].cast("string"), r["end"].cast("string"), r["keep_id"].cast("string"),
         r["keep_unit"].cast("string")))
@@ -180,34 +180,49 @@ select doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(other) as co
 from reach left join sizes using (doc_id) group by doc_id
 """,
     "op8_line_dedup": r"""
-with lines as (
-    select doc_id, u.unit - 1 as unit, u.line from (
-        select doc_id, unnest(list_transform(string_split(text, chr(10)),
-            lambda x, k: {'unit': k, 'line': x})) as u from documents)),
+with pieces as (
+    select doc_id, k, piece, length(piece) as chars,
+        regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') as w
+    from (select doc_id, u.k as k, u.piece as piece from (
+        select doc_id, unnest(list_transform(string_split(
+            regexp_replace(text, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)),
+            lambda x, k: {'k': k, 'piece': x})) as u from documents))
+    where piece <> ''),
+grouped as (
+    select *, coalesce(sum(case when len(w) >= 5 or suffix(piece, chr(10)) then 1 else 0 end) over (
+        partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0)::bigint as unit
+    from pieces),
+units as (
+    select doc_id, unit, string_agg(piece, '' order by k) as u, sum(chars)::bigint as chars,
+        flatten(list(w order by k)) as w from grouped group by doc_id, unit),
 placed as (
-    select *, coalesce(sum(length(line) + 1) over (partition by doc_id order by unit
-        rows between unbounded preceding and 1 preceding), 0)::bigint as first from lines),
-norm as (
-    select *, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as n from placed),
+    select *, len(w) as n, array_to_string(w, ' ') as norm, coalesce(sum(chars) over (partition by doc_id
+        order by unit rows between unbounded preceding and 1 preceding), 0)::bigint as first from units),
 ranked as (
-    select *, row_number() over w as k, first_value(doc_id) over w as keep_id,
-        first_value(unit) over w as keep_unit
-    from norm where length(n) - length(replace(n, ' ', '')) >= 4
-    window w as (partition by n order by doc_id, unit)),
-gone as (select * from ranked where k > 1),
+    select *, row_number() over r as k, first_value(doc_id) over r as keep_id,
+        first_value(unit) over r as keep_unit, row_number() over (partition by doc_id order by unit) as p
+    from placed where n >= 5
+    window r as (partition by norm order by doc_id, unit)),
+runs as (
+    select *, p - row_number() over (partition by doc_id order by unit) as run from ranked where k > 1),
+gone as (
+    select * from (select *, sum(n) over (partition by doc_id, run) as words from runs) where words >= 30),
 kept as (
-    select doc_id, string_agg(line, chr(10) order by unit) as text from placed
+    select doc_id, string_agg(u, '' order by unit) as text from placed
     where (doc_id, unit) not in (select (doc_id, unit) from gone) group by doc_id),
 spans as (
-    select doc_id, count(*) as n, string_agg(concat_ws(':', first, first + length(line), keep_id,
+    select doc_id, count(*) as n, string_agg(concat_ws(':', first, first + chars, keep_id,
         keep_unit), ',' order by unit) as spans, list(keep_id order by unit) as ids
-    from gone group by doc_id)
-select d.doc_id, len(string_split(d.text, chr(10)))::bigint as n_units,
+    from gone group by doc_id),
+counted as (select doc_id, count(*) as n_units from units group by doc_id)
+select d.doc_id, coalesce(c.n_units, 0)::bigint as n_units,
     coalesce(s.n, 0)::bigint as n_removed, coalesce(s.spans, '') as removed_spans,
     coalesce(array_to_string(list_transform(list_filter(list_zip(s.ids, generate_series(1, s.n)),
         lambda x: list_position(s.ids, x[1]) = x[2]), lambda x: x[1]), ','), '') as kept_in,
     case when d.text is not null then sha256(coalesce(k.text, '')) end as text_sha256
 from documents d left join kept k using (doc_id) left join spans s using (doc_id)
+    left join counted c using (doc_id)
 """,
     "op9_exact_dedup": r"""
 with e as (

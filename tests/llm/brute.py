@@ -66,16 +66,30 @@ def contamination(rows, items, window=10):
     return out
 
 
-def repeated_lines(rows, least=5):
-    """{doc_id: [(unit, start, end, keep_id, keep_unit)]}"""
+def passages(text, least=5):
+    """[(start, end, words)] of the units of a text."""
+    out, first, at, total = [], 0, 0, []
+    for piece in re.findall(r"[^\n]*?[.!?] |[^\n]*?\n|[^\n]+", text or ""):
+        own, at = words(piece), at + len(piece)
+        total += own
+        if len(own) >= least or piece.endswith("\n"):
+            out.append((first, at, total))
+            first, total = at, []
+    return out + [(first, at, total)] * (at > first)
+
+
+def repeated_passages(rows, least=5, run=30):
+    """{doc_id: (number of units, [(unit, start, end, keep_id, keep_unit)])}"""
     first, out = {}, {}
-    for i, text in sorted(rows):
-        start, out[i] = 0, []
-        for k, line in enumerate([] if text is None else text.split("\n")):
-            n = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
-            if n.count(" ") >= least - 1:
-                keep = first.setdefault(n, (i, k))
-                if keep != (i, k):
-                    out[i].append((k, start, start + len(line), *keep))
-            start += len(line) + 1
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        units, runs = passages(text, least), [[]]
+        for k, (s, e, own) in enumerate(units):
+            if len(own) >= least:
+                keep = first.setdefault(tuple(own), (i, k))
+                if keep == (i, k):
+                    runs.append([])
+                else:
+                    runs[-1].append((k, s, e, *keep))
+        sizes = lambda r: sum(len(units[x[0]][2]) for x in r)
+        out[i] = (len(units), [x for r in runs if sizes(r) >= run for x in r])
     return out

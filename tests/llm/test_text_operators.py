@@ -92,28 +92,39 @@ def test_token_files_round_trip(spark, documents, tmp_path):
 
 
 LINES = ["one two three four five six", "ONE  two three four five six ", "short line", "", "x",
-         "é É ß a b c d", "a line that is nowhere else in these rows", "one two three four five"]
+         "é É ß a b c d", "a line that is nowhere else in these rows", "one two three four five",
+         "Two short. Words here! A third sentence with many more words. And what? is this...  a b c d e f"]
+PASSAGE = (
+    "This passage stands in several texts. It has a few sentences, of which some are long enough and one is\n"
+    "wrapped. Short one. Another sentence follows here with words é ß 漢字 so that all of it is over fifty words. ")
 
 
-def test_line_dedup(documents):
+@pytest.mark.parametrize("run", [1, 12, 30])
+def test_repeated_passages(documents, run):
     r = random.Random(3)
     rows = [(k, "\n".join(r.choice(LINES) for _ in range(r.randint(1, 9)))) for k in range(60)]
-    rows += [(60, None), (61, ""), (62, "\n"), (63, "\n".join([LINES[0]] * 3000))]
-    want = brute.repeated_lines(rows)
-    got = line_dedup.remove_repeated_lines(documents([*rows, rows[5]])).collect()
+    rows += [(60, None), (61, ""), (62, "\n"), (63, "\n".join([LINES[0]] * 3000)), (64, " "), (65, "no end. ")]
+    rows += [(70 + k, f"Text number {k} starts with words of its own. {PASSAGE}It ends so {k}.") for k in range(5)]
+    want = brute.repeated_passages(rows, run=run)
+    got = line_dedup.remove_repeated(documents([*rows, rows[5]]), min_run=run).collect()
     assert len(got) == len(rows) + 1
     texts = dict(rows)
     for row in got:
-        assert [tuple(x) for x in row.removed] == want[row.doc_id]
-        gone = {x[0] for x in want[row.doc_id]}
-        units = [] if texts[row.doc_id] is None else texts[row.doc_id].split("\n")
-        assert row.n_units == len(units)
-        assert row.text == (
-            None if texts[row.doc_id] is None
-            else "\n".join(u for k, u in enumerate(units) if k not in gone))
-        for _, start, end, *_ in row.removed:
-            assert texts[row.doc_id][start:end] in units
-    assert line_dedup.remove_repeated_lines(documents([])).count() == 0
+        count, spans = want[row.doc_id]
+        assert ([tuple(x) for x in row.removed], row.n_units) == (spans, count)
+        rest, text = [], texts[row.doc_id]
+        for s, e, _ in brute.passages(text):
+            rest += [] if any(x[1] == s for x in spans) else [text[s:e]]
+        assert row.text == (None if text is None else "".join(rest))
+    assert line_dedup.remove_repeated(documents([])).count() == 0
+
+
+def test_a_passage_goes_and_a_shared_sentence_stays(documents):
+    rows = [(0, f"Own words of the first text are these here. {PASSAGE}"), (1, f"Another start.\n{PASSAGE}The end."),
+            (2, "This passage stands in several texts. Nothing else of it does.")]
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeated(documents(rows)).collect()}
+    assert got[0] == rows[0][1] and got[2] == rows[2][1]
+    assert got[1] == "Another start.\nThe end."
 
 
 def _digests(rows, known):
