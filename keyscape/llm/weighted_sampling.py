@@ -10,6 +10,11 @@ and the sample is (x, t) of the word with the smallest a. Two texts draw the sam
 the probability of their generalised Jaccard similarity, sum of min over sum of max of the
 counts. As ln a depends on x, t and the sample only, its bits name the pair (x, t).
 
+Most words need no logarithm. With c = -ln q and r = -ln p, a is never under (1 - q) p / S,
+and the smallest a of a text is exponential with its number of words as the rate: it is
+over ``SURE`` divided by that number once in exp(SURE) samples, so a word whose bound is over
+that is left out.
+
 DataFrame functions only, no Python in any task.
 """
 
@@ -21,7 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from keyscape.functions.columns import let
+
 SAMPLES = 64
+SURE = 40.0
+#: Samples drawn from one row; more expressions at once are compiled to slower code.
+GROUP = 16
 #: Hex digits of a sample in a fingerprint: two different ones look alike once in 65,536.
 DIGITS = 4
 BUCKET_BYTES = 4 << 20
@@ -34,36 +44,57 @@ def _uniform(h: Column, shift: int, bits: int) -> Column:
     return (part + F.lit(0.5)) * F.lit(2.0**-bits)
 
 
-def log_a(term, log_weight, sample: int) -> Column:
-    """ln a of a term (a 64-bit hash) with the logarithm of its weight, for one sample."""
-    term, log_weight = (F.col(c) if isinstance(c, str) else c for c in (term, log_weight))
+def log_a(term, count, share, sample: int) -> Column:
+    """ln a of a term (a 64-bit hash) for one sample; ``share`` is its count over that of all
+    words of the text. Null for a term that can't have the smallest a."""
+    term, count, share = (F.col(c) if isinstance(c, str) else c for c in (term, count, share))
     one, two = (F.xxhash64(term, F.lit(2 * sample + k)) for k in range(2))
-    c = -F.log(_uniform(one, 0, 32) * _uniform(one, 32, 32))
-    r = -F.log(_uniform(two, 0, 21) * _uniform(two, 21, 21))
-    b = _uniform(two, 42, 22)
-    t = F.floor(log_weight / r + b)
-    return F.log(c) - r * (t - b + F.lit(1.0))
+    q = _uniform(one, 0, 32) * _uniform(one, 32, 32)
+    p = _uniform(two, 0, 21) * _uniform(two, 21, 21)
+    b, r = _uniform(two, 42, 22), -F.log(p)
+    t = F.when(count == 1, F.lit(0.0)).otherwise(F.floor(F.log(count) / r + b))
+    return F.when((F.lit(1.0) - q) * p <= share * SURE, F.log(-F.log(q)) - r * (t - b + F.lit(1.0)))
+
+
+def word_counts(text) -> Column:
+    """[(_x, _n, _m)]: the hash of every word of a text, how often it stands there and the
+    number of all words; null without words. Equal hashes are neighbours after a sort; each run
+    of them is one word."""
+
+    def runs(x: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(x) - 1), first)
+        return let(starts, lambda s: F.transform(s, lambda i, k: F.struct(
+            F.get(x, i).alias("_x"), (F.coalesce(F.get(s, k + 1), F.size(x)) - i).alias("_n"),
+            F.size(x).alias("_m"))))
+
+    words = F.array_remove(F.split(text, SPLIT, -1), "")
+    hashes = F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
+    return let(hashes, lambda x: F.when(F.size(x) > 0, runs(x)))
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """(keys, fingerprint) of every row of ``texts``; ``keys`` name a row.
+    """(keys, fingerprint) of every row of ``texts``; ``keys`` name a row. ``samples`` is a
+    multiple of ``GROUP``.
 
-    Words are counted for each row, then each sample is a minimum over its words: two
-    aggregations on the keys, which move nothing if ``texts`` is already dealt by some of
-    them. A fingerprint is ``DIGITS`` hex digits for each sample; that of a text without
-    words is empty.
+    Words are counted in their row; then each sample is a minimum over them, in
+    aggregations on the keys that move nothing if ``texts`` is already dealt by some of them.
+    A fingerprint is ``DIGITS`` hex digits for each sample; that of a text without words is
+    empty.
     """
-    words = F.array_remove(F.split(text, SPLIT, -1), "")
-    counted = texts.select(*keys, F.explode_outer(words).alias("_w")).select(
-        *keys, F.when(F.col("_w").isNotNull(), F.xxhash64("_w")).alias("_x")
-    ).groupBy(*keys, "_x").agg(F.log(F.count("*").cast("double")).alias("_l"))
-    drawn = counted.groupBy(*keys).agg(*[
-        F.min(F.when(F.col("_x").isNotNull(), log_a("_x", "_l", j))).alias(f"_a{j}") for j in range(samples)])
-    digits = [
+    groups = samples // GROUP
+    counted = texts.select(*keys, F.inline_outer(word_counts(text))).select(
+        *keys, "_x", F.col("_n").cast("double").alias("_n"), (F.col("_n") / F.col("_m")).alias("_share"))
+    many = counted.select("*", F.explode(F.lit(list(range(groups)))).alias("_g")).withColumn(
+        "_x", F.when(F.col("_x").isNotNull(), F.xxhash64("_x", "_g")))
+    drawn = many.groupBy(*keys, "_g").agg(F.count("_x").alias("_words"), *[
+        F.min(log_a("_x", "_n", "_share", j)).alias(f"_a{j}") for j in range(GROUP)])
+    digits = F.concat(*[
         F.lpad(F.hex(F.xxhash64(f"_a{j}").bitwiseAND(F.lit(16**DIGITS - 1))), DIGITS, "0")
-        for j in range(samples)]
-    name = F.when(F.col("_a0").isNull(), F.lit("")).otherwise(F.concat(*digits))
-    return drawn.select(*keys, name.alias("fingerprint"))
+        for j in range(GROUP)])
+    named = drawn.select(*keys, "_g", F.when(F.col("_words") == 0, F.lit("")).otherwise(digits).alias("_d"))
+    whole = [F.max(F.when(F.col("_g") == g, F.col("_d"))) for g in range(groups)]
+    return named.groupBy(*keys).agg(F.concat(*whole).alias("fingerprint"))
 
 
 def likeness(one, two, samples: int = SAMPLES) -> Column:
