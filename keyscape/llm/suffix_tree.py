@@ -17,6 +17,9 @@ Neither the driver nor any task holds the tree. Blocks of texts ask for the coun
 their own distinct runs, then for their contexts' sums over all entries, in packed
 arrays dealt by hash range; each block's part of a context's sums comes from the places
 where the context stands in it, so that a context with many entries is in no one task.
+Blocks stay where they are: they are a table dealt by block, and only what a step needs of
+the answers so far is brought to them. A run is asked for only if its first and its last
+symbols, all but one, occur often enough; a longer run can't occur more often.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 
 from keyscape.llm.packing import differences, pack, unpack
 from keyscape.llm.words import mix, row_slices, word_hashes
-from keyscape.session import materialize
+from keyscape.session import materialize, materialize_dealt
 
 DEPTH = 2
 LEAST = 2
@@ -140,9 +143,12 @@ class _Answered(_Block):
                 a for _, a in sorted(own, key=lambda y: y[0])), strict=True)]
             for step, own in answers.items()}
         super().__init__(payload, depth)
-        self.counts = [
-            joined[_COUNTS + level][0].astype(np.int64) if _COUNTS + level in joined
-            else np.zeros(len(self.keys[level]), np.int64) for level in range(depth + 1)]
+        self.counts: list[np.ndarray] = []
+        for level in range(depth + 1):
+            counts = np.zeros(len(self.keys[level]), np.int64)
+            if _COUNTS + level in joined:
+                counts[self.likely(level)] = joined[_COUNTS + level][0].astype(np.int64)
+            self.counts.append(counts)
         self.base = (self.counts[0] + 1.0)[self.at[0]] / (total + kinds + 1.0)
         self.rest, self.kept = {}, {}
         for level in range(1, depth + 1):
@@ -158,6 +164,17 @@ class _Answered(_Block):
             if _MARKS + level in joined:
                 self.kept[level][often] |= joined[_MARKS + level][0] > 0
 
+    def likely(self, level: int) -> np.ndarray:
+        """Runs of ``level`` + 1 symbols whose first and last ``level`` symbols are in the
+        training texts often enough; words all are."""
+        if not level:
+            return np.ones(len(self.keys[0]), bool)
+        often, out = self.counts[level - 1] >= LEAST, np.zeros(len(self.keys[level]), bool)
+        run = self.at[level]
+        held = (run >= 0) & _pick(often, self.context(level)) & _pick(often, self.at[level - 1])
+        out[run[held]] = True
+        return out
+
     def asked(self, level: int) -> np.ndarray:
         """Contexts of ``level`` symbols that are in the training texts often enough."""
         return self.counts[level - 1] >= LEAST
@@ -191,16 +208,14 @@ def _deal(block: int, step: int, bits: int, keys: np.ndarray, *values: np.ndarra
 
 
 def _ask_counts(level: int, bits: int):
-    """Task: the blocks' distinct runs of ``level`` + 1 symbols and their training counts,
-    by hash range."""
+    """Group of one block: its likely runs of ``level`` + 1 symbols and their training
+    counts, by hash range."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload in zip(
-                    batch.column(0).to_pylist(), batch.column(4), strict=True):
-                b = _Block(payload.as_py(), level)
-                yield from _deal(
-                    number, _COUNTS + level, bits, b.keys[level], b.held(level)).to_batches()
+    def run(table: pa.Table) -> pa.Table:
+        b = _Answered(table, level, 1, 1)
+        likely = b.likely(level)
+        number = table.column("block")[0].as_py()
+        return _deal(number, _COUNTS + level, bits, b.keys[level][likely], b.held(level)[likely])
 
     return run
 
@@ -357,35 +372,41 @@ def suffix_tree_scores(
         F.col(text_col).cast("string").alias("t"))
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bits = max(2, min(16, int(size // (6 * PART_TOKENS)).bit_length()))
-    blocks = materialize(rows.mapInArrow(_encode, _ROW), "tree-blocks")
+    spark = docs.sparkSession
+    buckets = max(spark.sparkContext.defaultParallelism, int(size // (4 * BLOCK_BYTES)) + 1)
+    blocks = rows.mapInArrow(_encode, _ROW).repartition(buckets, "block")
+    blocks = materialize_dealt(blocks, "tree-blocks", ["block"], buckets)
     total = blocks.agg(F.sum("v")).first()[0] or 0
-
-    def answered(asked: DataFrame, answer, name: str) -> DataFrame:
-        found = materialize(asked.groupBy("part").applyInArrow(answer, _ROW), name)
-        # the files of a finished shuffle go when the driver collects its handle
-        docs.sparkSession.sparkContext._jvm.System.gc()
+    answers: dict[int, DataFrame] = {}
+
+    def asking(ask, steps: list[int], schema: str) -> DataFrame:
+        """``ask`` of every block with what was answered to it in the steps."""
+        known = spark.createDataFrame([], _ROW)
+        for step in steps:
+            known = known.unionByName(answers[step])
+        both = lambda block, found: ask(pa.concat_tables(
+            [x.cast(_ROW_ARROW) for x in (block, found) if x.num_rows]))
+        return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(both, schema)
+
+    def exchange(step: int, ask, answer, steps: list[int], name: str) -> DataFrame:
+        found = materialize(asking(ask, steps, _ROW).groupBy("part").applyInArrow(answer, _ROW), name)
+        answers[step] = found.where("block is not null")
         return found
 
-    known, kinds = blocks, 0
+    counts = [_COUNTS + level for level in range(depth + 1)]
+    kinds = 0
     for level in range(depth + 1):
-        counted = answered(
-            blocks.mapInArrow(_ask_counts(level, bits), _ROW), _sum_counts(level), "tree-counts")
+        found = exchange(counts[level], _ask_counts(level, bits), _sum_counts(level), counts[:level], "tree-counts")
         if not level:
-            kinds = counted.agg(F.sum("v")).first()[0] or 0
-        known = known.unionByName(counted.where("block is not null"))
-
-    def exchange(ask, answer, name: str) -> DataFrame:
-        return known.unionByName(answered(
-            known.groupBy("block").applyInArrow(ask, _ROW), answer, name))
-
+            kinds = found.agg(F.sum("v")).first()[0] or 0
     for level in range(1, depth + 1):
-        known = exchange(
-            _ask_contexts(level, bits, depth, total, kinds), _sum_contexts(level), "tree-contexts")
+        exchange(level, _ask_contexts(level, bits, level, total, kinds), _sum_contexts(level),
+                 counts[: level + 1] + list(range(1, level)), "tree-contexts")
     for level in range(depth - 1, 0, -1):
-        known = exchange(
-            _ask_marks(level, bits, depth, total, kinds), _join_marks(level), "tree-marks")
-    scored = known.groupBy("block").applyInArrow(
-        _score(depth, total, kinds),
+        exchange(_MARKS + level, _ask_marks(level, bits, level + 1, total, kinds), _join_marks(level),
+                 counts[: level + 2] + [level + 1, *([_MARKS + level + 1] if level + 1 < depth else [])], "tree-marks")
+    scored = asking(
+        _score(depth, total, kinds), list(answers),
         "i long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         F.col("i").alias(id_col), "held_out", "n_tokens", "n_known",
