@@ -198,13 +198,21 @@ class _Answered(_Block):
         return p
 
 
-def _deal(block: int, step: int, bits: int, keys: np.ndarray, *values: np.ndarray) -> pa.Table:
-    """Rows of (differences of keys, values) for each hash range."""
+def _deal(
+    block: int, step: int, bits: int, keys: np.ndarray, *values: np.ndarray, some: tuple = ()
+) -> pa.Table:
+    """Rows of (differences of keys, values) for each hash range; with ``some``, a mask and
+    further values, also the mask and those values where it is true."""
     of = (keys >> np.uint64(64 - bits)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
-    return _rows([
-        (block, step, int(of[a]), 0, pack(differences(keys[a:b]), *[v[a:b] for v in values]))
-        for a, b in zip(cuts, [*cuts[1:], len(of)], strict=False)])
+    rows = []
+    for a, b in zip(cuts, [*cuts[1:], len(of)], strict=False):
+        own = [differences(keys[a:b]), *[v[a:b] for v in values]]
+        if some:
+            mask = some[0][a:b]
+            own += [mask.astype(np.uint64), *[v[a:b][mask] for v in some[1:]]]
+        rows.append((block, step, int(of[a]), 0, pack(*own)))
+    return _rows(rows)
 
 
 def _ask_counts(level: int, bits: int):
@@ -252,8 +260,8 @@ def _sum_counts(level: int):
 
 def _ask_contexts(level: int, bits: int, depth: int, total: int, kinds: int):
     """Group of one block: for each of its contexts of ``level`` symbols, its count and
-    this block's part of the sums over its entries: of 1, of the places, of the
-    probability in the suffix and of the log-likelihood gained. An entry with a count of
+    this block's part of the sums over its entries, if it has any: of the places, of 1, of
+    the probability in the suffix and of the log-likelihood gained. An entry with a count of
     c adds 1 / c in each place of a training text, so the blocks' parts add up."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -264,11 +272,12 @@ def _ask_contexts(level: int, bits: int, depth: int, total: int, kinds: int):
         own, c = context[use], b.counts[level][run[use]].astype(float)
         lower = b.probability(level - 1, True)[use]
         n = b.counts[level - 1]
-        sums = [1 / c, None, lower / c, np.log(c / n[own] / lower)]
+        sums = [1 / c, lower / c, np.log(c / n[own] / lower)]
         sums = [np.bincount(own, x, many).astype(float)[often].view(np.uint64) for x in sums]
+        places = np.bincount(own, minlength=many).astype(np.uint64)[often]
         number = table.column("block")[0].as_py()
         return _deal(
-            number, level, bits, b.keys[level - 1][often], n[often].astype(np.uint64), *sums)
+            number, level, bits, b.keys[level - 1][often], n[often].astype(np.uint64), some=(places > 0, places, *sums))
 
     return run
 
@@ -283,10 +292,11 @@ def _sum_contexts(level: int):
         distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.zeros(len(distinct), np.int64)
         n[back] = np.concatenate([a[1] for a in asked]).astype(np.int64)
-        entries, inside, lower, gain = (
-            np.bincount(back, np.concatenate([a[k].view(float) for a in asked]), len(n))
-            for k in range(2, 6))
-        entries, inside = np.rint(entries), np.rint(inside)
+        some = back[np.concatenate([a[2] for a in asked]) > 0]
+        inside = np.bincount(some, np.concatenate([a[3] for a in asked]).astype(float), len(n))
+        entries, lower, gain = (
+            np.bincount(some, np.concatenate([a[k].view(float) for a in asked]), len(n)) for k in range(4, 7))
+        entries = np.rint(entries)
         other = np.maximum(n - inside, 0)
         rate = np.maximum(other, 1) / np.maximum(n, 1) / np.maximum(1 - lower, 1e-12)
         gain = gain + np.where(other > 0, other * np.log(rate), 0.0)
