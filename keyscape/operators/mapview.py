@@ -159,9 +159,9 @@ def with_group_ids(grouped: DataFrame) -> DataFrame:
 
 def host_rows(nodes: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Map attributes of every host."""
-    evidence = F.concat(
-        F.coalesce("terrain_evidence", F.array().cast("array<string>")),
-        F.flatten(F.transform("roles", lambda r: r["evidence"])))
+    evidence = F.flatten(F.transform("roles", lambda r: r["evidence"]))
+    if "terrain_evidence" in nodes.columns:
+        evidence = F.concat(F.coalesce("terrain_evidence", F.array().cast("array<string>")), evidence)
     return nodes.withColumns({
         "label": text.display_label("hostnames", "ip"),
         "role": top_role(),
