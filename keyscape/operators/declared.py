@@ -170,80 +170,81 @@ def applications(devices, interfaces, prefixes, bindings, vlans, rulesets) -> Da
 def governed_flows(edges: DataFrame, apps: DataFrame) -> DataFrame:
     """(edge, application) pairs where the flow crosses the enforcement point.
 
-    Networks are looked up once per distinct host; edges then only join their
-    two hosts. A flow that stays inside one network is never judged.
+    Networks are looked up once per distinct host. An edge then meets the applications
+    that one of its ends is in, and for each of them the other end's networks there. A
+    flow that stays inside one network is never judged, nor is one with an end that is no
+    address.
     """
+    edges = edges.filter(ipf.is_ip("src") & ipf.is_ip("dst"))
     hosts = edges.select(F.explode(F.array("src", "dst")).alias("ip")).distinct()
     inside = ranges.match(hosts, "ip", apps, "cidr")
-    member = inside.groupBy("ip", "app", "source", "device", "ruleset", "kind").agg(
-        F.min_by("cidr", F.struct("ord", "cidr")).alias("first"), F.collect_set("cidr").alias("nets"))
-    packed = member.groupBy("ip").agg(
-        F.collect_list(F.struct("app", "source", "device", "ruleset", "kind", "first", "nets")).alias("m"))
-    judged = (
-        edges.join(packed.select(F.col("ip").alias("src"), F.col("m").alias("sm")), "src", "left")
-        .join(packed.select(F.col("ip").alias("dst"), F.col("m").alias("dm")), "dst", "left")
-    )
-    none = F.filter(F.coalesce("sm", "dm"), lambda a: F.lit(False))
-    sm, dm = F.coalesce("sm", none), F.coalesce("dm", none)
-
-    def crosses(mine, others, kinds):
-        """Applications of one side whose other side satisfies the kind."""
-        def keep(a):
-            same = lambda b: b["app"] == a["app"]
-            other = F.exists(others, same)
-            leaves = ~F.exists(others, lambda b: same(b) & F.array_contains(b["nets"], a["first"]))
-            shared = F.exists(others, lambda b: same(b) & F.arrays_overlap(b["nets"], a["nets"]))
-            test = F.lit(False)
-            if "in" in kinds:
-                test = test | ((a["kind"] == "in") & ~other)
-                test = test | ((a["kind"] == "lan") & leaves)
-                test = test | ((a["kind"] == "zone") & ~shared)
-            if "out" in kinds:
-                test = test | (a["kind"].isin("out", "wan") & ~other)
-                test = test | ((a["kind"] == "zone") & ~other)
-            return test
-        return F.filter(mine, keep)
-
-    hits = F.concat(crosses(sm, dm, {"in"}), crosses(dm, sm, {"out"}))
-    return judged.filter(F.coalesce("sm", "dm").isNotNull()).select(
-        *edges.columns, F.explode(hits).alias("a")
-    ).select(*edges.columns, "a.app", "a.source", "a.device", "a.ruleset")
+    keys = ["app", "source", "device", "ruleset", "kind"]
+    member = materialize(inside.groupBy("ip", *keys).agg(
+        F.min_by("cidr", F.struct("ord", "cidr")).alias("first"), F.collect_set("cidr").alias("nets")), "members")
+    other = member.select(F.col("ip").alias("_ip"), F.col("app").alias("_app"), F.col("nets").alias("_nets"))
+
+    def met(side: str, opposite: str, kinds: list[str]) -> DataFrame:
+        own = member.filter(F.col("kind").isin(kinds)).withColumnRenamed("ip", "_own")
+        rows = edges.join(own, F.col(side) == F.col("_own"))
+        return rows.join(other, (F.col(opposite) == F.col("_ip")) & (F.col("app") == F.col("_app")), "left")
+
+    outside = F.col("_ip").isNull()
+    enters = (
+        F.when(F.col("kind") == "in", outside)
+        .when(F.col("kind") == "lan", outside | ~F.array_contains("_nets", F.col("first")))
+        .otherwise(outside | ~F.arrays_overlap("_nets", "nets")))
+    columns = [*edges.columns, "app", "source", "device", "ruleset"]
+    entering = met("src", "dst", ["in", "lan", "zone"]).filter(enters).select(*columns)
+    leaving = met("dst", "src", ["out", "wan", "zone"]).filter(outside).select(*columns)
+    return entering.unionByName(leaving)
+
+
+def _chains(ends: DataFrame, rules: DataFrame, cidr: str, name: str) -> DataFrame:
+    """(source, ruleset, ip, ``name``): for each end of a ruleset's flows the networks that
+    hold it, of those that the ruleset's own rules have on this side; one token for each of
+    the ruleset's own prefix lengths is looked up."""
+    nets = rules.select("source", "ruleset", ranges.network_token(cidr).alias("_token")).distinct()
+    bits = F.array_sort(F.collect_set(F.substring_index("_token", "/", 1).cast("int")))
+    own = nets.groupBy("source", "ruleset").agg(bits.alias("_bits"))
+    token = lambda b: F.when((b <= 32) | F.col("_key").startswith("6"), F.concat_ws(
+        "/", b.cast("string"), ipf.key_prefix(F.col("_key"), b)))
+    probes = ends.withColumn("_key", ipf.ip_key("ip")).join(own, ["source", "ruleset"]).select(
+        "source", "ruleset", "ip", F.explode(F.array_compact(F.transform("_bits", token))).alias("_token"))
+    return probes.join(nets, ["source", "ruleset", "_token"]).groupBy("source", "ruleset", "ip").agg(
+        F.collect_list("_token").alias(name))
 
 
 def decisions(edges: DataFrame, apps: DataFrame, rules: DataFrame, rulesets: DataFrame) -> DataFrame:
     """First matching rule per (application, edge, evaluated transport).
 
-    Rules join on (ruleset, client network, server network) at the pairs of
-    prefix lengths in use, so an edge meets only rules that cover both ends.
+    Each ruleset is indexed by the networks of its own rules: an end of a flow is looked up
+    among them once for each ruleset that judges it, and an edge meets only the pairs of
+    networks of that ruleset that hold both its ends, then the rules of a pair. What other
+    rulesets hold, in number or in prefix lengths, adds nothing to it.
     """
-    usable = rules.filter(
+    usable = materialize(rules.filter(
         (F.coalesce("caveat", F.lit("")) == "")
-        & ipf.cidr_bits("r_src").isNotNull() & ipf.cidr_bits("r_dst").isNotNull())
-    shapes = [
-        (r["s"], r["d"])
-        for r in usable.select(ipf.cidr_bits("r_src").alias("s"), ipf.cidr_bits("r_dst").alias("d"))
-        .distinct().collect()
-    ]
-    rows = governed_flows(edges, apps).join(
-        rulesets.select("source", "ruleset", "default_action"), ["source", "ruleset"])
+        & ipf.cidr_bits("r_src").isNotNull() & ipf.cidr_bits("r_dst").isNotNull()), "usable-rules")
+    flows = materialize(governed_flows(edges, apps).join(
+        rulesets.select("source", "ruleset", "default_action"), ["source", "ruleset"]), "governed-flows")
     protos = F.when(F.col("proto") != "", F.array("proto")).otherwise(F.array(F.lit("tcp"), F.lit("udp")))
-    rows = rows.select("*", F.posexplode(protos).alias("p_ord", "p"))
-    keyed = rows.withColumns({"_s": ipf.ip_key("src"), "_d": ipf.ip_key("dst")})
-
-    def token(s: int, d: int):
-        return F.concat_ws("/", F.lit(str(s)), ipf.key_prefix(F.col("_s"), F.lit(s)), F.lit(str(d)),
-                           ipf.key_prefix(F.col("_d"), F.lit(d)))
-
-    tokens = F.array(*[token(s, d) for s, d in shapes]) if shapes else F.array(F.lit(""))
-    probes = keyed.select("*", F.explode(tokens).alias("_token"))
+    rows = flows
+    for side in ("src", "dst"):
+        ends = flows.select("source", "ruleset", F.col(side).alias("ip")).distinct()
+        chain = _chains(ends, usable, f"r_{side}", f"_{side}_nets").withColumnRenamed("ip", side)
+        rows = rows.join(chain, ["source", "ruleset", side], "left")
+    probes = rows.select(
+        *flows.columns, F.explode_outer("_src_nets").alias("_s"), "_dst_nets").select(
+        *flows.columns, "_s", F.explode_outer("_dst_nets").alias("_d")).select(
+        "*", F.posexplode(protos).alias("p_ord", "p"))
     table = usable.select(
         F.col("source").alias("_rsource"), F.col("ruleset").alias("_rruleset"), "idx", "action",
         "r_proto", "line", "raw", "port_lo", "port_hi",
-        F.concat_ws("/", ranges.network_token("r_src"), ranges.network_token("r_dst")).alias("_rtoken"))
+        ranges.network_token("r_src").alias("_rs"), ranges.network_token("r_dst").alias("_rd"))
     any_port = (F.col("port_lo") == 0) & (F.col("port_hi") == 0)
     hit = (
         (F.col("source") == F.col("_rsource")) & (F.col("ruleset") == F.col("_rruleset"))
-        & (F.col("_token") == F.col("_rtoken"))
+        & (F.col("_s") == F.col("_rs")) & (F.col("_d") == F.col("_rd"))
         & ((F.col("r_proto") == "ip") | (F.col("r_proto") == F.col("p")))
         & (any_port | F.col("port").between(F.col("port_lo"), F.col("port_hi")))
     )
