@@ -100,8 +100,9 @@ def glob_regex(pattern) -> Column:
     """Anchored regex of a glob: ``*`` and ``?`` never cross ``/``; classes and
     escapes keep their meaning."""
     out = F.regexp_replace(as_col(pattern), r"([.+^$(){}|])", r"\\$1")
-    out = F.regexp_replace(out, r"\*", "[^/]*")
-    out = F.regexp_replace(out, r"(?<!\\)\?", "[^/]")
+    out = F.regexp_replace(out, r"\[\\\^", "[^")
+    out = F.regexp_replace(out, r"(?<!\\)\*(?![^\[]*\])", "[^/]*")
+    out = F.regexp_replace(out, r"(?<!\\)\?(?![^\[]*\])", "[^/]")
     return F.concat(F.lit("^"), out, F.lit("$"))
 
 
@@ -109,6 +110,44 @@ def glob_match(pattern, name) -> Column:
     return F.call_function("rlike", as_col(name), glob_regex(pattern))
 
 
+def glob_is_valid(pattern) -> Column:
+    """Whether classes are closed and not empty and no escape is at the end."""
+    return as_col(pattern).rlike(r"^([^\[\\]|\\.|\[\^?([^\]\\]|\\.)+\])*$")
+
+
+def glob_key(pattern) -> Column:
+    """The text that every name a glob matches has, as an index key; null if there is none.
+
+    ``E`` and the literal ending from a dot on, if it has two labels or is all there is;
+    else ``G`` and the start (three characters at most) of the longest literal piece.
+    """
+    pattern = as_col(pattern)
+    literal_end = F.regexp_extract(pattern, r"[^*?\]\\]*$", 0)
+    ending = F.regexp_extract(literal_end, r"\..*$", 0)
+    pieces = F.filter(F.split(pattern, r"\[[^\]]*\]|\\.|[*?]"), lambda x: x != "")
+    longest = F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    return (
+        F.when(ending.rlike(r"\..*\.") | ((ending != "") & (ending == longest)), F.concat(F.lit("E"), ending))
+        .when(longest.isNotNull(), F.concat(F.lit("G"), F.substring(longest, 1, 3))))
+
+
+def glob_keys_of(name) -> Column:
+    """All index keys that a glob matching this name can have: its endings from a dot on, and
+    its runs of one to three characters."""
+    name = as_col(name)
+    words = F.split(name, r"\.")
+    endings = F.transform(
+        F.sequence(F.lit(1), F.size(words)),
+        lambda i: F.when(i < F.size(words), F.concat(
+            F.lit("E."), F.array_join(F.slice(words, i + 1, F.size(words)), "."))))
+    at = F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1)))
+
+    def grams(n: int) -> Column:
+        return F.transform(at, lambda i: F.concat(F.lit("G"), F.substring(name, i, F.lit(n))))
+
+    return F.array_distinct(F.array_compact(F.concat(endings, grams(1), grams(2), grams(3))))
+
+
 def x509_fingerprint(message) -> Column:
     return F.coalesce(F.get_json_object(as_col(message), "$.fingerprint"), F.lit(""))
 

@@ -10,6 +10,7 @@ from keyscape.functions import ports, text
 from keyscape.operators.drift import sensitive_pairs
 from keyscape.operators.edges import confirmed, evidence_level
 from keyscape.operators.roles import top_role
+from keyscape.session import materialize
 
 SAMPLE_CLIENTS = 5
 
@@ -71,26 +72,49 @@ def provider_enrichment(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def alternate_providers(edges: DataFrame) -> DataFrame:
-    """Other providers of the same service that share a client.
+def provider_classes(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clients of a service with the same set of two or more providers, as classes:
+    members (service, src, cls) and providers (service, cls, ip, port, clients); ``cls`` is
+    the smallest client.
 
-    Clients with the same provider set say the same thing, so only one client
-    per (service, provider set) takes part in the join. Sets are compared by
-    size and two order-free 64-bit sums, without collecting them."""
-    pairs = sensitive_pairs(edges).select(
-        ports.service_name("port").alias("service"), "src", "dst", "port"
-    )
-    a, b = F.xxhash64("dst", "port"), F.xxhash64("port", "dst", F.lit("second"))
+    Clients are first grouped by the size of their set and an order-free digest of it. A
+    group is one class if all its clients have each of its providers, which counts show:
+    clients of n providers each, n providers in all. Where a digest stands for several sets,
+    every client is a class of its own. No set is ever collected.
+    """
+    pairs = materialize(sensitive_pairs(edges).select(
+        ports.service_name("port").alias("service"), "src", F.col("dst").alias("ip"), "port"), "provider-pairs")
+    a, b = F.xxhash64("ip", "port"), F.xxhash64("port", "ip", F.lit("second"))
     signed = pairs.groupBy("service", "src").agg(
         F.count("*").alias("n"),
         F.sum(a.cast("decimal(20,0)")).alias("a"), F.sum(b.cast("decimal(20,0)")).alias("b"),
     ).filter("n > 1")
-    chosen = signed.groupBy("service", "n", "a", "b").agg(F.min("src").alias("src"))
-    kept = pairs.join(chosen.select("service", "src"), ["service", "src"])
-    mine = kept.select("service", "src", F.col("dst").alias("ip"), "port")
-    other = kept.select("service", "src", F.col("dst").alias("o_ip"), F.col("port").alias("o_port"))
+    return _verified(pairs, signed)
+
+
+def _verified(pairs: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes of the clients (service, src, n, and the digest a, b)."""
+    digest = ["service", "n", "a", "b"]
+    first = signed.groupBy(*digest).agg(F.min("src").alias("cls"))
+    grouped = materialize(signed.join(first, digest).select("service", "src", "n", "cls"), "provider-groups")
+    counted = materialize(pairs.join(grouped, ["service", "src"]).groupBy("service", "cls", "n", "ip", "port").agg(
+        F.count("*").alias("clients")), "provider-counts")
+    mixed = counted.groupBy("service", "cls", "n").agg(F.count("*").alias("_all")).filter("_all > n").select("service", "cls")
+    split = grouped.join(mixed, ["service", "cls"], "left_semi").select("service", "src", F.col("src").alias("cls"))
+    whole = grouped.join(mixed, ["service", "cls"], "left_anti").select("service", "src", "cls")
+    own = pairs.join(split, ["service", "src"]).select("service", "cls", "ip", "port", F.lit(1).cast("bigint").alias("clients"))
+    providers = counted.join(mixed, ["service", "cls"], "left_anti").select("service", "cls", "ip", "port", "clients")
+    return whole.unionByName(split), providers.unionByName(own)
+
+
+def alternate_providers(edges: DataFrame) -> DataFrame:
+    """Other providers of the same service that share a client: those of every class a
+    provider is in. One class stands for all its clients, so only distinct provider sets
+    take part."""
+    kept = provider_classes(edges)[1].select("service", "cls", "ip", "port")
+    other = kept.select("service", "cls", F.col("ip").alias("o_ip"), F.col("port").alias("o_port"))
     linked = (
-        mine.join(other, ["service", "src"])
+        kept.join(other, ["service", "cls"])
         .filter((F.col("ip") != F.col("o_ip")) | (F.col("port") != F.col("o_port")))
         .select("ip", "port", text.provider_key("o_ip", "o_port").alias("alt")).distinct()
     )

@@ -55,6 +55,11 @@ def aggregate_edges(conn: DataFrame) -> DataFrame:
         F.max("ts").alias("last"),
         F.max("grade").alias("grade"),
     )
+    return merge_edges(per_sensor)
+
+
+def merge_edges(per_sensor: DataFrame) -> DataFrame:
+    """Edges of partial rows (keys, sensor, n, o, i, first, last, grade)."""
     merged = per_sensor.groupBy(*EDGE_KEYS).agg(
         F.sum("n").alias("conn_count"),
         F.coalesce(F.sum("o"), F.lit(0)).alias("bytes_out"),

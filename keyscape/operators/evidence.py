@@ -71,6 +71,11 @@ def node_macs(conn: DataFrame, min_ips: int = config.GATEWAY_MIN_IPS) -> DataFra
         .groupBy("dst", "dst_mac")
         .agg(F.count("*").alias("n"))
     )
+    return macs_of(counts, min_ips)
+
+
+def macs_of(counts: DataFrame, min_ips: int = config.GATEWAY_MIN_IPS) -> DataFrame:
+    """The same from counts (dst, dst_mac, n)."""
     shared = (
         counts.groupBy("dst_mac").agg(F.count("*").alias("ips")).filter(F.col("ips") >= min_ips)
     )
@@ -122,40 +127,45 @@ def certificates(docs: DataFrame) -> DataFrame:
     return parsed.groupBy("fingerprint").agg(best.alias("b")).select("fingerprint", "b.*")
 
 
+#: Globs without any literal text are tried on every name, dealt to so many tasks.
+WILD_SHARDS = 64
+
+
+def matched_patterns(names: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Distinct (name, pattern) where the pattern is the name or a glob that matches it.
+
+    A glob is looked up by text that it demands of a name: its dotted ending, or the start
+    of its longest literal piece; names have all keys of both kinds. So it only meets names
+    with that text. A glob that demands nothing has to meet every name: names are then dealt
+    to ``WILD_SHARDS`` groups, each with all such globs. Malformed globs match nothing.
+    """
+    known = names.select("name").distinct()
+    listed = patterns.select("pattern").distinct()
+    exact = known.join(listed, F.col("pattern") == F.col("name")).select("name", "pattern")
+    globs = listed.filter(F.col("pattern").contains("*") & text.glob_is_valid("pattern")).withColumn(
+        "_key", text.glob_key("pattern"))
+    keyed = known.select("name", F.explode(text.glob_keys_of("name")).alias("_key")).join(
+        globs.filter("_key IS NOT NULL"), "_key")
+    shards = F.sequence(F.lit(0), F.lit(WILD_SHARDS - 1))
+    wild = known.withColumn("_shard", F.pmod(F.xxhash64("name"), F.lit(WILD_SHARDS)).cast("int")).join(
+        globs.filter("_key IS NULL").select("pattern", F.explode(shards).alias("_shard")), "_shard")
+    found = keyed.select("name", "pattern").unionByName(wild.select("name", "pattern"))
+    return exact.unionByName(found.filter(text.glob_match("pattern", "name"))).distinct()
+
+
 def tls_fingerprints(names: DataFrame, certs: DataFrame) -> DataFrame:
     """Certificates per responder: a certificate name equals the server name, or
     is a glob that matches it.
 
-    Distinct names are matched once. Globs join on the part of their literal
-    ending that starts at a dot, against the dotted endings of each name, so
-    they need no nested loop.
+    Distinct names are matched with distinct patterns; responders then have patterns, and a
+    pattern its certificates, so neither many names under one pattern nor many
+    certificates with one are multiplied with each other.
     """
-    pairs = names.withColumn("name", F.lower(F.trim("server_name")))
-    known = pairs.select("name").distinct()
-    entries = certs.select("fingerprint", F.explode("names").alias("pattern"))
-    exact = entries.join(known, F.col("pattern") == F.col("name")).select(
-        "name", "fingerprint"
-    )
-    literal_end = F.regexp_extract("pattern", r"[^*?\]\\]*$", 0)
-    globs = entries.filter(F.col("pattern").contains("*")).withColumn(
-        "ending", F.regexp_extract(literal_end, r"\..*$", 0)
-    )
-    words = F.split("name", r"\.")
-    endings = F.transform(
-        F.sequence(F.lit(1), F.size(words)),
-        lambda i: F.when(i == F.size(words), F.lit("")).otherwise(
-            F.concat(F.lit("."), F.array_join(F.slice(words, i + 1, F.size(words)), "."))
-        ),
-    )
-    wild = (
-        known.select("name", F.explode(endings).alias("ending"))
-        .join(globs, "ending")
-        .filter(text.glob_match("pattern", "name"))
-        .select("name", "fingerprint")
-    )
-    matched = exact.unionByName(wild).distinct()
+    pairs = names.withColumn("name", F.lower(F.trim("server_name"))).select("dst", "name").distinct()
+    entries = certs.select("fingerprint", F.explode("names").alias("pattern")).distinct()
+    held = pairs.join(matched_patterns(pairs, entries), "name").select("dst", "pattern").distinct()
     return (
-        pairs.join(matched, "name")
+        held.join(entries, "pattern")
         .groupBy(F.col("dst").alias("ip"))
         .agg(F.array_sort(F.collect_set("fingerprint")).alias("tls_fingerprints"))
     )

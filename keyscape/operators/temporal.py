@@ -22,6 +22,11 @@ def histograms(conn: DataFrame, tz: str = "UTC", only: DataFrame | None = None)
     per_hour = rows.groupBy("dst", F.date_trunc("hour", "ts").alias("h")).agg(
         F.count("*").alias("n")
     )
+    return fold_hours(per_hour, tz)
+
+
+def fold_hours(per_hour: DataFrame, tz: str = "UTC") -> DataFrame:
+    """The same from counts (dst, h, n) of hours ``h`` in UTC."""
     local = F.from_utc_timestamp("h", tz)
     folded = per_hour.select(
         "dst", "n", F.hour(local).alias("hod"), (F.dayofweek(local) - 1).alias("dow")
