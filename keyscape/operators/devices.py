@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyscape.functions import ip as ipf
@@ -18,31 +18,52 @@ OVERRIDE_TIERS = {
 NOT_DEVICE_LABELS = ["gateway", "networkgear", "unknown"]
 
 
-def _hints(pairs: DataFrame, kind: str, devices: DataFrame, dismissed: DataFrame) -> DataFrame:
-    """``pairs``: (value, ip). A hint needs two addresses that are not all one
-    device's already."""
+def hint_classes(pairs: DataFrame, kind: str, devices: DataFrame, dismissed: DataFrame) -> DataFrame:
+    """(key, value, n) of every value of ``pairs`` (value, ip) that suggests one device: it
+    stands for two addresses or more that are not all one device's already, and nobody has
+    dismissed it. Counts only, however many addresses share a value."""
     owner = devices.select("ip", "device").distinct()
-    grouped = pairs.distinct().join(owner, "ip", "left").groupBy("value").agg(
-        F.countDistinct("ip").alias("n"),
-        F.count_if(F.col("device").isNull()).alias("loose"),
-        F.min("device").alias("lo"), F.max("device").alias("hi"),
-        F.array_sort(F.collect_set("ip")).alias("ips"))
+    grouped = pairs.distinct().join(owner, "ip", "left").groupBy("value", "ip").agg(
+        F.min("device").alias("lo"), F.max("device").alias("hi")).groupBy("value").agg(
+        F.count("*").alias("n"), F.count_if(F.col("lo").isNull()).alias("loose"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     linked = (F.col("loose") == 0) & (F.col("lo") == F.col("hi"))
     return (
         grouped.filter((F.col("n") >= 2) & ~linked)
         .withColumn("key", F.concat(F.lit(f"{kind}:"), F.col("value")))
-        .join(dismissed.select("key"), "key", "left_anti").select("key", "value", "ips"))
+        .join(dismissed.select("key"), "key", "left_anti").select("key", "value", "n"))
+
+
+def hint_members(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, ip) of the addresses behind hints."""
+    return pairs.join(classes.select("key", "value"), "value").select("key", "ip").distinct()
+
+
+def _listed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    ips = hint_members(pairs, classes).groupBy("key").agg(F.array_sort(F.collect_list("ip")).alias("ips"))
+    return classes.join(ips, "key")
+
+
+def hostname_pairs(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.explode("hostnames").alias("value"), "ip")
+
+
+def mac_pairs(nodes: DataFrame) -> DataFrame:
+    return nodes.filter(F.coalesce("mac", F.lit("")) != "").select(F.col("mac").alias("value"), "ip")
 
 
 def hostname_hints(nodes, devices, dismissed) -> DataFrame:
-    pairs = nodes.select(F.explode("hostnames").alias("value"), "ip")
-    return _hints(pairs, "hostname", devices, dismissed).withColumnRenamed("value", "name")
+    """Hints with their addresses in one array each, for a reader; ``hint_classes`` and
+    ``hint_members`` are the same without arrays."""
+    pairs = hostname_pairs(nodes)
+    return _listed(pairs, hint_classes(pairs, "hostname", devices, dismissed)).select(
+        "key", F.col("value").alias("name"), "ips")
 
 
 def mac_hints(nodes, devices, dismissed) -> DataFrame:
-    pairs = nodes.filter(F.coalesce("mac", F.lit("")) != "").select(F.col("mac").alias("value"), "ip")
+    pairs = mac_pairs(nodes)
     vendor = vendor_for_mac("value")
-    return _hints(pairs, "mac", devices, dismissed).select(
+    return _listed(pairs, hint_classes(pairs, "mac", devices, dismissed)).select(
         "key", F.when(vendor != "", vendor).otherwise(F.col("value")).alias("name"), "ips")
 
 
@@ -138,3 +159,30 @@ def rewrite_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     drift = F.when(F.col("lo") != F.col("hi"), "changed").otherwise(F.coalesce("lo", F.lit("")))
     return merged.select("src", "dst", "class", "color", label.alias("label"), "hosts", "conns",
                          "width", drift.alias("drift"))
+
+
+def membership(nodes: DataFrame, hidden: DataFrame, mapping: DataFrame, facts: DataFrame) -> DataFrame:
+    """Hosts behind every node that stands for several, as one table: (parent, level, pos, id,
+    label, role, tier, composite, rank, device, device_type, role_override, labels).
+
+    ``hidden`` (agg_id, ip, ...) are the hosts behind aggregates, ``mapping`` those that merge
+    into a device node; operator facts are laid over both. ``pos`` is the place in the
+    parent's list: by rank, those without one last, then by address. A host has one parent.
+    """
+    shown = ["id", "label", "role", "tier", "composite", "rank"]
+    behind = hidden.withColumnRenamed("ip", "id").select(
+        F.col("agg_id").alias("parent"), F.lit("aggregate").alias("level"), *shown,
+        F.lit("").alias("device"), F.lit("").alias("device_type"))
+    merged = nodes.join(mapping.select("id", F.col("target").alias("parent")), "id").select(
+        "parent", F.lit("device").alias("level"), *shown, "device", "device_type")
+    rows = overlay(behind.unionByName(merged), facts)
+    order = Window.partitionBy("parent").orderBy(
+        F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.lit(2**31 - 1)), "id")
+    return rows.withColumn("pos", F.row_number().over(order)).select(
+        "parent", "level", "pos", *shown, "device", "device_type", "role_override", "labels")
+
+
+def device_groups(mapping: DataFrame) -> DataFrame:
+    """The group of its own that every device node is in, named like the device."""
+    return mapping.select(
+        F.concat(F.lit("devg:"), F.substring("target", 5, 10**6)).alias("id"), F.col("name").alias("label")).distinct()

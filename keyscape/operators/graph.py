@@ -17,9 +17,12 @@ from keyscape import config
 from keyscape.functions import ports
 from keyscape.operators.edges import confirmed
 from keyscape.operators.positions import with_position
-from keyscape.session import materialize
+from keyscape.session import materialize, materialize_dealt
 
+#: Edges of a vertex times blocks of sources in one task of a search, about.
 SALT_ROWS = 200_000
+#: Sources in a row of a search: the bits of a mask.
+BLOCK = 63
 
 
 def weighted_edges(edges: DataFrame) -> DataFrame:
@@ -158,91 +161,105 @@ def betweenness(
 
 
 def path_dependencies(
-    sources: DataFrame, wedges: DataFrame, salt_rows: int = SALT_ROWS
+    sources: DataFrame, wedges: DataFrame, salt_rows: int = SALT_ROWS, width: int = BLOCK
 ) -> DataFrame:
     """Sum over ``sources`` of the shortest-path dependency on every vertex.
 
     Level-synchronous: a forward pass counts shortest paths per (source,
     vertex), a backward pass accumulates dependencies level by level. Every
     level is a written table, so a lost executor never replays the search.
+
+    Sources go in blocks of ``width``, 64 at most. A row of a level is a vertex with its
+    path counts from the sources of one block that have just reached it. What was reached
+    before is one table of a bit mask for each (vertex, block), dealt by them and rewritten
+    with every level, so a level reads the last level and that table. A vertex's edges are
+    split by their number times that of the blocks.
     """
+    spark = wedges.sparkSession
     pairs = materialize(wedges.select("src", "dst").distinct(), "pairs")
-    fwd, fwd_splits = _salted(pairs, "src", "dst", salt_rows)
-    fwd = fwd.select("src", "salt", "dst").repartition("src", "salt")
-    fwd = fwd.persist(StorageLevel.MEMORY_AND_DISK)
-    level = (
-        sources.select(F.col("ip").alias("source"), F.col("ip").alias("v"))
-        .join(pairs.select(F.col("src").alias("v")).distinct(), "v", "left_semi")
-        .select("source", "v", F.lit(1.0).alias("sigma"))
-    )
-    level = materialize(level, "level")
-    levels, seen = [level], level.select("source", "v")
+    numbered = with_position(sources.select("ip").distinct(), ["ip"], "pos")
+    numbered = materialize(numbered.select(
+        F.col("ip").alias("v"), F.floor((F.col("pos") - 1) / width).cast("int").alias("block"),
+        ((F.col("pos") - 1) % width).cast("int").alias("bit")), "sources")
+    blocks = max(1, -(-numbered.count() // width))
+    rows = max(1, salt_rows // blocks)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fwd, fwd_splits = _dealt(pairs, "src", "dst", rows, buckets)
+    level = numbered.join(pairs.select(F.col("src").alias("v")).distinct(), "v", "left_semi").select(
+        "v", "block", F.array(F.struct("bit", F.lit(1.0).alias("sigma"))).alias("runs"))
+    level = materialize(level.groupBy("v", "block").agg(F.flatten(F.collect_list("runs")).alias("runs")), "level")
+    levels, seen = [level], _stored(level.select("v", "block", _mask("runs").alias("seen")), "seen", buckets)
     while True:
-        spread = level.join(
-            fwd_splits.withColumnRenamed("src", "v"), "v"
-        ).select(
-            "source", F.col("v").alias("src"), "sigma",
-            F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt"),
-        )
-        reached = (
-            spread.join(fwd, ["src", "salt"])
-            .groupBy("source", F.col("dst").alias("v"))
-            .agg(F.sum("sigma").alias("sigma"))
-            .join(seen, ["source", "v"], "left_anti")
-        )
-        level = materialize(reached.select("source", "v", "sigma"), "level")
+        # one row of a source at most for each edge: then dealt as the masks are
+        reached = _across(level, "runs", fwd, fwd_splits).select("v", "block", F.inline("runs"))
+        counted = reached.groupBy("v", "block", "bit").agg(F.sum("sigma").alias("sigma"))
+        packed = counted.repartition(buckets, "v", "block").groupBy("v", "block").agg(
+            F.collect_list(F.struct("bit", "sigma")).alias("runs"))
+        both = _stored(packed.join(seen, ["v", "block"], "full").select(
+            "v", "block", F.coalesce("seen", F.lit(0).cast("bigint")).alias("before"), "runs"), "met", buckets)
+        new = F.filter("runs", lambda r: F.call_function("getbit", F.col("before"), r["bit"]) == 0)
+        level = materialize(both.filter("runs IS NOT NULL").select("v", "block", new.alias("runs")).filter(
+            F.size("runs") > 0), "level")
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.unionByName(level.select("source", "v"))
-    fwd.unpersist()
-    return _accumulate(levels, pairs, salt_rows)
-
-
-def _accumulate(levels: list[DataFrame], pairs: DataFrame, salt_rows: int) -> DataFrame:
-    back, back_splits = _salted(pairs, "dst", "src", salt_rows)
-    back = back.select("dst", "salt", "src").repartition("dst", "salt")
-    back = back.persist(StorageLevel.MEMORY_AND_DISK)
-    hubs = back_splits.withColumnRenamed("dst", "v")
-    below = None
-    parts = []
+        seen = both.select("v", "block", F.when(F.col("runs").isNull(), F.col("before")).otherwise(
+            F.col("before").bitwiseOR(_mask("runs"))).alias("seen"))
+    return _accumulate(levels, pairs, rows, buckets)
+
+
+def _mask(runs: str) -> Column:
+    return F.aggregate(runs, F.lit(0).cast("bigint"), lambda m, r: m.bitwiseOR(
+        F.call_function("shiftleft", F.lit(1).cast("bigint"), r["bit"])))
+
+
+def _stored(df: DataFrame, label: str, buckets: int) -> DataFrame:
+    return materialize_dealt(df.repartition(buckets, "v", "block"), label, ["v", "block"], buckets)
+
+
+def _dealt(pairs: DataFrame, key: str, other: str, rows: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Edges as a table dealt by (key, salt), and the number of salts of each key."""
+    salted, splits = _salted(pairs, key, other, rows)
+    salted = salted.select(key, "salt", other).repartition(buckets, key, "salt")
+    return materialize_dealt(salted, "edges", [key, "salt"], buckets), splits
+
+
+def _across(level: DataFrame, carried: str, edges: DataFrame, splits: DataFrame) -> DataFrame:
+    """(v, block, carried) at the other end of every edge of a level's vertices."""
+    key, _, other = edges.columns
+    spread = level.join(splits.withColumnRenamed(key, "v"), "v").select(
+        F.col("v").alias(key), "block", carried, F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt"))
+    return spread.join(edges, [key, "salt"]).select(F.col(other).alias("v"), "block", carried)
+
+
+def _accumulate(levels: list[DataFrame], pairs: DataFrame, rows: int, buckets: int) -> DataFrame:
+    """Backwards over the levels: each reads itself and what the one below it sends up."""
+    back, splits = _dealt(pairs, "dst", "src", rows, buckets)
+    below, parts = None, []
     for depth in range(len(levels) - 1, 0, -1):
         level = levels[depth]
         if below is None:
-            scored = level.withColumn("delta", F.lit(0.0))
+            scored = level.select("v", "block", F.transform("runs", lambda r: F.struct(
+                r["bit"].alias("bit"), r["sigma"].alias("sigma"), F.lit(0.0).alias("delta"))).alias("runs"))
         else:
-            scored = level.join(below, ["source", "v"], "left").select(
-                "source", "v", "sigma",
-                (F.col("sigma") * F.coalesce("pull", F.lit(0.0))).alias("delta"),
-            )
+            own = level.select("v", "block", F.inline("runs"))
+            scored = own.join(below, ["v", "block", "bit"], "left").withColumn(
+                "delta", F.col("sigma") * F.coalesce("pull", F.lit(0.0))
+            ).groupBy("v", "block").agg(F.collect_list(F.struct("bit", "sigma", "delta")).alias("runs"))
             scored = materialize(scored, "dependency")
-        parts.append(scored.select("v", "delta"))
+        parts.append(scored.select("v", F.aggregate("runs", F.lit(0.0), lambda x, r: x + r["delta"]).alias("delta")))
         if depth > 1:
-            below = (
-                scored.join(hubs, "v")
-                .select(
-                    "source", F.col("v").alias("dst"),
-                    ((1.0 + F.col("delta")) / F.col("sigma")).alias("c"),
-                    F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("salt"),
-                )
-                .join(back, ["dst", "salt"])
-                .groupBy("source", F.col("src").alias("v"))
-                .agg(F.sum("c").alias("pull"))
-            )
+            sent = scored.select("v", "block", F.transform("runs", lambda r: F.struct(
+                r["bit"].alias("bit"), ((1.0 + r["delta"]) / r["sigma"]).alias("c"))).alias("runs"))
+            below = _across(sent, "runs", back, splits).select("v", "block", F.inline("runs")).groupBy(
+                "v", "block", "bit").agg(F.sum("c").alias("pull"))
     if not parts:
-        back.unpersist()
         return levels[0].select(F.col("v").alias("ip"), F.lit(0.0).alias("dependency")).limit(0)
     total = parts[0]
     for part in parts[1:]:
         total = total.unionByName(part)
-    result = materialize(
-        total.filter("delta > 0")
-        .groupBy(F.col("v").alias("ip"))
-        .agg(F.sum("delta").alias("dependency")),
-        "betweenness",
-    )
-    back.unpersist()
-    return result
+    return materialize(
+        total.filter("delta > 0").groupBy(F.col("v").alias("ip")).agg(F.sum("delta").alias("dependency")), "betweenness")
 
 
 def mission_proximity(
@@ -250,33 +267,28 @@ def mission_proximity(
     edges: DataFrame,
     scope: DataFrame,
     max_depth: int = config.MISSION_MAX_DEPTH,
+    salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
-    """Hosts within ``max_depth`` undirected hops of the chosen hosts."""
-    links = (
-        confirmed(edges)
-        .filter(F.col("src") != F.col("dst"))
-        .select(F.explode(F.array(
-            F.struct(F.col("src").alias("a"), F.col("dst").alias("b")),
-            F.struct(F.col("dst").alias("a"), F.col("src").alias("b")),
-        )).alias("e"))
-        .select("e.*")
-        .distinct()
-    )
-    links = materialize(links, "links")
-    frontier = scope.select("ip").distinct().join(nodes, "ip", "left_semi")
-    frontier = materialize(frontier, "frontier")
-    reached = frontier.withColumn("depth", F.lit(0))
+    """Hosts within ``max_depth`` undirected hops of the chosen hosts.
+
+    One search from all of them at once, with the same edges dealt by (host, salt): the
+    frontier of a step goes out to them, and a host that is reached twice is dropped by a
+    table of all that were, which is one row for each host and read once in a step.
+    """
+    ends = confirmed(edges).filter(F.col("src") != F.col("dst")).select(F.explode(F.array(
+        F.struct(F.col("src").alias("a"), F.col("dst").alias("b")),
+        F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e")).select("e.*").distinct()
+    buckets = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links, splits = _dealt(materialize(ends, "links"), "a", "b", salt_rows, buckets)
+    chosen = scope.select("ip").distinct().join(nodes, "ip", "left_semi").select(
+        F.col("ip").alias("v"), F.lit(0).alias("depth"))
+    reached = materialize(chosen, "reached")
     for depth in range(1, max_depth + 1):
-        step = (
-            links.join(frontier.withColumnRenamed("ip", "a"), "a", "left_semi")
-            .select(F.col("b").alias("ip"))
-            .distinct()
-            .join(reached, "ip", "left_anti")
-        )
-        frontier = materialize(step, "frontier")
-        reached = reached.unionByName(frontier.withColumn("depth", F.lit(depth)))
+        frontier = reached.filter(F.col("depth") == depth - 1).select("v", F.lit(0).alias("block"), "depth")
+        met = _across(frontier, "depth", links, splits).select("v", F.lit(depth).alias("depth"))
+        reached = materialize(reached.unionByName(met).groupBy("v").agg(F.min("depth").alias("depth")), "reached")
     return reached.select(
-        "ip",
+        F.col("v").alias("ip"),
         (F.col("depth") == 0).alias("in_scope"),
         "depth",
         (F.lit(1.0) / (F.col("depth") + 1)).alias("mission_score"),

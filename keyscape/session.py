@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
 _written: list[str] = []
+_tables: dict[str, str] = {}
 
 
 def durable_dir(spark: SparkSession) -> str:
@@ -43,6 +44,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_dealt(df: DataFrame, label: str, keys: list[str], buckets: int) -> DataFrame:
+    """``materialize`` as a table dealt to ``buckets`` by ``keys``, one file each: later joins
+    and aggregations on them don't move its rows. ``df`` should come dealt the same way, so
+    that every task writes one bucket.
+
+    The table's entry in the catalogue is dropped with its files by ``run_scope``.
+    """
+    spark = df.sparkSession
+    path = f"{durable_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    name = f"keyscape_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    _written.append(path)
+    _tables[path] = name
+    return spark.table(name)
+
+
 @contextmanager
 def run_scope(spark: SparkSession) -> Iterator[None]:
     """Delete, at the end, what ``materialize`` has written inside. DataFrames made
@@ -54,5 +71,7 @@ def run_scope(spark: SparkSession) -> Iterator[None]:
         paths, _written[mark:] = _written[mark:], []
         conf = spark._jsc.hadoopConfiguration()
         for path in paths:
+            if path in _tables:
+                spark.sql(f"DROP TABLE IF EXISTS {_tables.pop(path)}")
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(conf).delete(target, True)

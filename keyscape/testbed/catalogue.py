@@ -20,6 +20,7 @@ from keyscape.plans.scan import ScanOptions, scan_to_store
 from keyscape.session import durable_dir, materialize
 from keyscape.sources import assets as asset_source
 from keyscape.sources import configs, snapshots, telemetry
+from keyscape.streaming import partials
 from keyscape.testbed import inputs as I
 from keyscape.testbed import projection as P
 
@@ -57,6 +58,69 @@ def edges(spark, sf):
         F.array_join("sensors", ",").alias("sensors"))
 
 
+def _streamed(spark, sf, kind="flow"):
+    """The log (or its protocol logs) as files, streamed into partials in several batches."""
+    root = f"{durable_dir(spark)}/partials-{uuid.uuid4().hex}"
+    log = I.conn(spark, sf)
+    rows = log.select("ts", "src", "dst", "port", "proto", "service", "state", "bytes_out", "bytes_in", "sensor", "dst_mac", "dataset",
+                      F.when(F.col("proto").isNotNull(), F.col("dst_mac")).alias("src_mac")) if kind == "flow" else P.protocol_logs(log)
+    rows.repartition(6).write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
+    partials.append(stream, kind, root).awaitTermination()
+    return partials.read(spark, root, kind), spark.read.schema(rows.schema).parquet(f"{root}/log")
+
+
+@query
+def streamed_edges(spark, sf):
+    """Edges of the whole log, merged from the partials of a stream."""
+    return partials.edges(_streamed(spark, sf)[0]).select(
+        "src", "dst", "port", "proto", "service", "evidence", "conn_count", "bytes_out", "bytes_in",
+        stamp("first_seen").alias("first_seen"), stamp("last_seen").alias("last_seen"),
+        F.array_join("sensors", ",").alias("sensors"))
+
+
+@query
+def streamed_identity(spark, sf):
+    """Hardware addresses, gateways, sensors, datasets and coverage from the same partials."""
+    flow = materialize(_streamed(spark, sf)[0], "flow")
+    macs, gateways = partials.identity(flow)
+    return macs.select(F.lit("mac").alias("what"), F.col("ip").alias("key"), F.col("mac").alias("value"), F.lit(0).cast("bigint").alias("n")).unionByName(
+        gateways.select(F.lit("gateway").alias("what"), F.col("sensor").alias("key"), F.col("mac").alias("value"), F.col("ip_count").alias("n"))).unionByName(
+        partials.discovery(flow).select("what", F.lit("").alias("key"), "value", "n"))
+
+
+@query
+def streamed_profiles(spark, sf):
+    """Activity by hour and weekday, from the partials."""
+    out = partials.profiles(_streamed(spark, sf)[0])
+    return out.select("ip", F.array_join("hours", ",").alias("hours"), F.array_join("dow", ",").alias("dow"))
+
+
+@query
+def window_edges(spark, sf):
+    """Edges of a window that starts and ends within an hour."""
+    flow, log = _streamed(spark, sf)
+    return partials.edges(partials.window(flow, log, "flow", "1996-03-05 09:30:00", "1997-06-10 14:00:01")).select(
+        "src", "dst", "port", "proto", "evidence", "conn_count", stamp("first_seen").alias("first_seen"), stamp("last_seen").alias("last_seen"))
+
+
+@query
+def window_clients(spark, sf):
+    """Distinct clients of every responder in each of five windows of 14 days, and how often
+    and when its pairs were seen."""
+    pairs, log = _streamed(spark, sf, "pairs")
+    pairs = materialize(pairs, "pairs")
+    out = None
+    for day in ("1993-02-01", "1994-05-10", "1995-11-20", "1996-08-15", "1998-03-01"):
+        start = F.lit(day).cast("timestamp")
+        seen = partials.window(pairs, log, "pairs", start, start + F.expr("INTERVAL 14 DAYS"))
+        counts = partials.cardinality(seen, 1).join(partials.seen_between(seen).groupBy("kind", "responder").agg(
+            F.sum("n").alias("n"), stamp(F.max("last_seen")).alias("last_seen")), ["kind", "responder"])
+        rows = counts.select(F.lit(day).alias("day"), "kind", "responder", "clients", F.array_join("sample_hosts", ",").alias("most_seen"), "n", "last_seen")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def edge_cap(spark, sf):
     kept, flag = E.cap_edges(I.edges(spark, sf), 1000)
@@ -472,6 +536,24 @@ def snapshot_catalogue(spark, sf):
         "snapshot_id", stamp("created_at").alias("created_at"), "window", "nodes", "edges")
 
 
+@query
+def snapshot_store(spark, sf):
+    """Hosts of all snapshots as read back: the second one's first attempt was never
+    published, and was repeated; a fourth one is staged only. No snapshot has gateways."""
+    root = f"{durable_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    for k in (1, 2, 3):
+        s = I.snapshot(spark, sf, k, metadata=True)
+        s["gateways"] = s["gateways"].limit(0)
+        if k == 2:
+            snapshots.stage(s, root, "0002")
+        snapshots.save(s, root, f"000{k}")
+    snapshots.stage(s, root, "0004")
+    empty = snapshots.read(spark, root, "gateways").groupBy("snapshot_id").count()
+    nodes = snapshots.read(spark, root, "nodes")
+    return nodes.join(empty.withColumnRenamed("count", "gateways"), "snapshot_id", "left").select(
+        "snapshot_id", "ip", "rank", r6("composite").alias("composite"), F.coalesce("gateways", F.lit(0)).alias("gateways"))
+
+
 @query
 def stored_scan(spark, sf):
     """Raw events by their physical names to a stored snapshot of a window and a scope."""
@@ -593,6 +675,15 @@ def provider_enrichment(spark, sf):
                       F.array_join("subnets", ",").alias("subnets"), F.array_join("sensors", ",").alias("sensors"))
 
 
+@query
+def provider_classes(spark, sf):
+    """Clients with one set of providers of a service, and what is in the set."""
+    members, providers = authority.provider_classes(I.stored_edges(spark, sf))
+    sizes = providers.groupBy("service", "cls").agg(
+        F.count("*").alias("providers"), F.min("clients").alias("least"), F.max("clients").alias("most"))
+    return members.join(sizes, ["service", "cls"])
+
+
 @query
 def alternate_providers(spark, sf):
     out = authority.alternate_providers(I.stored_edges(spark, sf))
@@ -917,6 +1008,19 @@ def same_device_hints(spark, sf):
     return out.select("key", "name", F.array_join("ips", ",").alias("ips"))
 
 
+@query
+def hint_classes(spark, sf):
+    """Values that suggest one device, with counts, and their addresses as rows."""
+    n = I.snapshot(spark, sf)["nodes"]
+    none = spark.createDataFrame([], "key string")
+    out = None
+    for kind, pairs in (("hostname", devices.hostname_pairs(n)), ("mac", devices.mac_pairs(n))):
+        found = devices.hint_classes(pairs, kind, I.devices(spark, sf), none)
+        rows = devices.hint_members(pairs, found).join(found.select("key", "n"), "key")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query
 def operator_facts(spark, sf):
     out = devices.operator_facts(I.devices(spark, sf), I.overrides(spark, sf), I.labels(spark, sf))
@@ -939,13 +1043,25 @@ def overlay_integrity(spark, sf):
     return quality.overlay_integrity(rows)
 
 
-def _device_nodes(spark, sf):
+def _device_nodes(spark, sf, members=False):
     s, m = _map(spark, sf, pinned=devices.pin_set(I.devices(spark, sf).select("ip"), I.devices(spark, sf), I.overrides(spark, sf)))
     facts = devices.operator_facts(I.devices(spark, sf), I.overrides(spark, sf), I.labels(spark, sf))
     served = E.services(s["edges"]).withColumnRenamed("ip", "id")
     rows = devices.overlay(m["nodes"], facts).join(served, "id", "left").withColumn(
         "services", F.coalesce("services", F.array().cast("array<string>")))
-    return materialize(rows, "map-nodes"), m["edges"]
+    stored = materialize(rows, "map-nodes")
+    return (stored, m["members"], facts) if members else (stored, m["edges"])
+
+
+@query
+def device_members(spark, sf):
+    """Everybody behind an aggregate or a device node, with operator facts."""
+    n, hidden, facts = _device_nodes(spark, sf, members=True)
+    mapping = devices.collapse_map(n)
+    rows = devices.membership(n, hidden, mapping, facts)
+    groups = devices.device_groups(mapping).select(F.concat(F.lit("dev:"), F.substring("id", 6, 10**6)).alias("parent"), F.col("label").alias("group"))
+    return rows.join(groups, "parent", "left").select(
+        "parent", "level", "pos", "id", "rank", "device", F.array_join("labels", ",").alias("labels"), "role_override", "group")
 
 
 @query

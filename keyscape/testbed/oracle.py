@@ -272,6 +272,36 @@ B["evidence_mix"] = "SELECT evidence, count(*) AS edges FROM edges GROUP BY evid
 B["dataset_counts"] = "SELECT dataset, count(*) AS n FROM (SELECT dataset FROM conn UNION ALL SELECT kind FROM logs) GROUP BY dataset"
 B["sensor_counts"] = "SELECT sensor, count(*) AS n FROM conn GROUP BY sensor"
 B["mac_coverage"] = "SELECT count(*) AS total, count(proto) AS with_src_mac, count(dst_mac) AS with_dst_mac FROM conn"
+CTES["hint_pairs"] = """
+SELECT DISTINCT 'hostname' AS kind, hostname AS v, ip FROM node_mac WHERE hostname <> ''
+UNION SELECT 'mac', mac, ip FROM node_mac WHERE mac <> ''"""
+CTES["hint_groups"] = f"""
+SELECT kind || ':' || v AS "key", any_value(v) AS v, count(DISTINCT h.ip) AS n, string_agg(DISTINCT h.ip, ',' ORDER BY h.ip) AS ips
+FROM hint_pairs h LEFT JOIN (SELECT {_server('s_suppkey')} AS ip, 'dev-' || CAST(floor(s_suppkey / 2) AS BIGINT) AS device FROM supplier
+  WHERE s_suppkey % 10 < 4) d ON d.ip = h.ip GROUP BY kind, v
+HAVING count(DISTINCT h.ip) >= 2 AND NOT (count(*) = count(device) AND min(device) = max(device))"""
+B["hint_classes"] = """SELECT g."key", h.ip, g.n FROM hint_groups g JOIN hint_pairs h ON h.kind || ':' || h.v = g."key\""""
+B["same_device_hints"] = """SELECT "key", CASE WHEN "key" LIKE 'mac:24:5a:4c%' THEN 'Ubiquiti' WHEN "key" LIKE 'mac:b8:27:eb%' THEN 'Raspberry Pi' ELSE v END AS name, ips FROM hint_groups
+WHERE "key" NOT IN (SELECT 'hostname:h' || (p_partkey % 50) FROM part WHERE p_size < 5)"""
+B["streamed_edges"] = B["edges"]
+B["streamed_identity"] = """SELECT 'mac' AS what, ip AS "key", mac AS "value", 0 AS n FROM nic WHERE mac <> ''
+UNION ALL SELECT 'gateway', sensor, dst_mac, count(DISTINCT dst) FROM conn GROUP BY sensor, dst_mac HAVING count(DISTINCT dst) >= 10
+UNION ALL SELECT 'sensor', '', sensor, count(*) FROM conn GROUP BY sensor UNION ALL SELECT 'dataset', '', dataset, count(*) FROM conn GROUP BY dataset
+UNION ALL SELECT 'total', '', '', count(*) FROM conn UNION ALL SELECT 'with_src_mac', '', '', count(proto) FROM conn
+UNION ALL SELECT 'with_dst_mac', '', '', count(dst_mac) FROM conn"""
+B["streamed_profiles"] = "SELECT dst AS ip, " + ", ".join(
+    "concat_ws(',', " + ", ".join(f"count(*) FILTER ({f} = {k})" for k in range(n)) + f") AS {name}"
+    for name, f, n in (("hours", "hour(ts)", 24), ("dow", "dayofweek(ts)", 7))) + " FROM conn GROUP BY dst"
+B["window_edges"] = """SELECT src, dst, port, coalesce(proto, '') AS proto, list_extract(['port-only', 'responder-confirmed', 'protocol-confirmed'],
+  CAST(1 + max(CASE WHEN service NOT IN ('', '-', 'unknown') THEN 2 WHEN state IN ('SF', 'S1', 'S2', 'S3', 'RSTO', 'RSTR') OR bytes_in > 0 THEN 1
+  ELSE 0 END) AS INTEGER)) AS evidence, count(*) AS conn_count, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_seen FROM conn
+WHERE ts >= TIMESTAMP '1996-03-05 09:30:00' AND ts < TIMESTAMP '1997-06-10 14:00:01' GROUP BY ALL"""
+B["window_clients"] = """WITH days AS (SELECT unnest(['1993-02-01', '1994-05-10', '1995-11-20', '1996-08-15', '1998-03-01']) AS day),
+seen AS (SELECT day, kind, responder, client, count(*) AS n, max(ts) AS last FROM logs, days WHERE ts >= CAST(day AS TIMESTAMP)
+  AND ts < CAST(day AS TIMESTAMP) + INTERVAL 14 DAY GROUP BY day, kind, responder, client)
+SELECT day, kind, responder, count(*) AS clients, arg_min(client, (-n, client)) AS most_seen, CAST(sum(n) AS BIGINT) AS n,
+  strftime(max(last), '%Y-%m-%d %H:%M:%S') AS last_seen FROM seen GROUP BY day, kind, responder"""
 B["field_presence"] = """SELECT 'src' AS concept, 'source.ip' AS "column", TRUE AS present, count(src) AS filled, count(*) AS total FROM conn
 UNION ALL SELECT 'proto', 'network.inner.transport', TRUE, count(proto), count(*) FROM conn
 UNION ALL SELECT 'service', 'network.protocol', FALSE, 0, count(*) FROM conn"""
@@ -390,6 +420,8 @@ B["snapshot_catalogue"] = """SELECT '000' || e.snapshot AS snapshot_id, '200' ||
   (e.snapshot + 1) || 'h0m0s' AS "window", n.nodes, e.edges FROM (SELECT snapshot, count(*) AS edges FROM (SELECT DISTINCT snapshot, src, dst, port,
   coalesce(proto, '') FROM conn) GROUP BY snapshot) e JOIN (SELECT snapshot, count(DISTINCT ip) AS nodes FROM (SELECT snapshot, src AS ip FROM conn
   UNION ALL SELECT snapshot, dst FROM conn) GROUP BY snapshot) n USING (snapshot)"""
+B["snapshot_store"] = " UNION ALL ".join(
+    f"SELECT '000{k}' AS snapshot_id, ip, rank, round(composite, 6) AS composite, 0 AS gateways FROM scored_{k}" for k in (1, 2, 3))
 B["stored_scan"] = """WITH best AS (SELECT dst AS ip, dst_mac AS mac, row_number() OVER (PARTITION BY dst ORDER BY count(*) DESC, dst_mac) AS r
   FROM conn WHERE ts >= TIMESTAMP '1997-04-06' GROUP BY dst, dst_mac),
 shared AS (SELECT dst_mac FROM conn WHERE ts >= TIMESTAMP '1997-04-06' GROUP BY dst_mac HAVING count(DISTINCT dst) >= 10)
@@ -432,6 +464,10 @@ B["provider_enrichment"] = f"""SELECT ip, port, array_to_string(list_slice(list_
   array_to_string(list_sort(list_distinct(flatten(list(sensors)))), ',') AS sensors FROM (SELECT *, dst AS ip FROM sens) GROUP BY ip, port"""
 B["alternate_providers"] = """SELECT ip, port, string_agg(alt, ',' ORDER BY alt) AS alternates FROM (SELECT DISTINCT a.dst AS ip, a.port, b.dst || ':' || b.port AS alt
   FROM sens a JOIN sens b ON a.service = b.service AND a.src = b.src AND (a.dst <> b.dst OR a.port <> b.port)) GROUP BY ip, port"""
+B["provider_classes"] = """WITH sets AS (SELECT service, src, list_sort(list(DISTINCT dst || ':' || port)) AS p FROM sens GROUP BY service, src
+  HAVING count(DISTINCT dst || ':' || port) > 1)
+SELECT service, src, min(src) OVER w AS cls, len(p) AS providers, count(*) OVER w AS least, count(*) OVER w AS most FROM sets
+WINDOW w AS (PARTITION BY service, p)"""
 B["sole_providers"] = """SELECT service, min(dst) AS ip, min(port) AS port FROM sens WHERE list_contains(sensors, 'sensor-0') GROUP BY service
 HAVING count(DISTINCT dst || ':' || port) = 1"""
 B["reconcile_silent"] = """SELECT ip, hostname, role, EXISTS (SELECT 1 FROM gaps WHERE a.ip LIKE prefix || '%') AS in_blind_spot FROM assets a
