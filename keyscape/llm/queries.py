@@ -27,6 +27,7 @@ from keyscape.llm import (
 TOKEN_LIMIT = 512
 SHARDS = 40
 END_ID = 1
+INDEX_BATCHES = 3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -125,7 +126,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_index.DigestIndex(spark).add(_table(spark, sf_dir, "documents"))
+    return digest_index.deduplicate(
+        _table(spark, sf_dir, "documents"), digest_index.DigestIndex(spark), INDEX_BATCHES)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,33 +127,72 @@ def test_a_passage_goes_and_a_shared_sentence_stays(documents):
     assert got[1] == "Another start.\nThe end."
 
 
+def _digest(t):
+    s = "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def _first(member):
+    i, n = member
+    return -n, i is None, i or 0
+
+
 def _digests(rows, known):
-    groups = {}
+    """Rows of a batch; ``known``: {digest: all (id, code points) so far}."""
+    groups, out = {}, []
     for i, t in rows:
-        s = "".join(c for c in t or "" if c not in " \t\n\x0b\x0c\r")
-        groups.setdefault(hashlib.sha256(s.encode()).hexdigest(), []).append((i, len(t or "")))
-    out = []
+        groups.setdefault(_digest(t), []).append((i, len(t or "")))
     for d, members in groups.items():
-        best = min(members, key=lambda m: (-m[1], m[0] is None, m[0] or 0))
-        keep, count = known.get(d, (best[0], 0))
+        before = known.get(d, [])
+        best = min(before or members, key=_first)
         for i, n in members:
-            kept = d not in known and (i, n) == best
-            out.append((i, keep, count + len(members), kept, d))
-        known.setdefault(d, (best[0], len(members)))
+            kept = not before and (i, n) == best
+            out.append((i, best[0], len(before) + len(members), kept, d))
+    for d, members in groups.items():
+        known.setdefault(d, []).extend(members)
     return sorted(map(str, out))
 
 
 def test_exact_dedup_against_the_index(spark, documents):
     first = [(1, "a b"), (2, "ab"), (3, " a\tb "), (4, None), (5, ""), (6, " \n"), (7, "é"), (8, "e"),
              (9, "x" * 9000), (10, "x" * 9000), (None, "ab  "), (None, "lone")]
-    second = [(20, "ab"), (21, "new"), (22, "new"), (23, None)]
+    second = [(20, "ab"), (21, "new"), (22, "new"), (23, None), (24, " a  b  ")]
+    third = [(30, "ab"), (11, "a b"), (31, "n e w"), (32, "e")]
     index, known = digest_index.DigestIndex(spark, buckets=4), {}
-    for rows in (first, second, []):
-        got = index.add(documents(rows)).collect()
+    for rows in (first, second, third, []):
+        got = index.add(index.entries(documents(rows))).collect()
         assert sorted(str(tuple(r)) for r in got) == _digests(rows, known)
-    assert index.rows().count() == len(known) == index.rows().select("digest").distinct().count()
-    again = digest_index.DigestIndex(spark, index.table, 4).add(documents([(30, "l o n e")])).first()
-    assert (again.keep_id, again.kept, again.group_size) == (None, False, 2)
+    labels = {bytes(r.digest).hex(): (r.keep_id, r.keep_n, r.group_size) for r in index.labels().collect()}
+    assert labels == {d: (*min(m, key=_first), len(m)) for d, m in known.items()}
+    assert index.labels().count() == spark.table(index.table).where("first").count() == len(known)
+    again = digest_index.DigestIndex(spark, index.table, 4)
+    row = again.add(again.entries(documents([(40, "l o n e")]))).first()
+    assert (row.keep_id, row.kept, row.group_size) == (None, False, 2)
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_exact_dedup_does_not_depend_on_batches(spark, documents, batches):
+    rows = [(k, "x " * (k % 7) + "x" * (7 - k % 7)) for k in range(40)] + [(k + 100, f"t {k % 9}") for k in range(30)]
+    rows += [(3, "x " * 3 + "x" * 4), (None, "t 1"), (None, None), (200, ""), (201, None)]
+    index = digest_index.DigestIndex(spark, buckets=4)
+    got = digest_index.deduplicate(documents(rows), index, batches).collect()
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(_digest(t), []).append((i, len(t or "")))
+    want = []
+    for i, t in rows:
+        best = min(groups[_digest(t)], key=_first)
+        want.append((i, best[0], len(groups[_digest(t)]), (i, len(t or "")) == best, _digest(t)))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_the_index_is_met_by_a_merge_anti_join(spark, documents):
+    index = digest_index.DigestIndex(spark, buckets=4)
+    index.add(index.entries(documents([(1, "a")])))
+    known = index.labels().hint("merge")
+    plan = index.entries(documents([(2, "b")])).join(known, "digest", "left_anti")._jdf.queryExecution().toString()
+    side = plan[plan.index("SortMergeJoin") :]
+    assert "LeftAnti" in side and side.count("Exchange") == 1
 
 
 def test_decontamination(spark, documents):
