@@ -9,6 +9,7 @@ import json
 import os
 import re
 import sys
+import tempfile
 import time
 from statistics import median
 
@@ -18,7 +19,7 @@ from keyscape.session import run_scope
 from keyscape.testbed.catalogue import QUERIES
 
 HEADLINE = ["edges", "top_servers", "nodes", "responder_cardinality", "temporal_class",
-            "role_assertions", "alternate_providers", "pagerank", "rank"]
+            "role_assertions", "alternate_providers", "pagerank", "rank", "betweenness_pivots", "snapshot_scan"]
 #: Each query's time is the median of its runs; one run if the first is long.
 RUNS, LONG_S = 3, 40
 
@@ -31,6 +32,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="keyscape-bench-"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

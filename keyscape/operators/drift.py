@@ -9,6 +9,7 @@ from keyscape import config
 from keyscape.functions import ip as ipf
 from keyscape.functions import ports, text
 from keyscape.operators.edges import confirmed
+from keyscape.operators.positions import with_position
 from keyscape.operators.roles import role_names
 
 
@@ -241,3 +242,24 @@ def findings(
     for part in (summary, changed, started, migrated):
         out = out.unionByName(part)
     return out
+
+
+#: Columns that each signal is read in; a minus sign for descending.
+ORDERS = {
+    "appeared": ["ip"], "disappeared": ["ip"], "ranks": ["ip"], "roles": ["ip"], "identity": ["ip", "protocol"],
+    "gained": ["dst", "src", "port"], "vanished": ["dst", "src", "port"], "providers": ["-clients", "ip", "port"],
+    "displacement": ["-total", "ip", "port"],
+}
+
+
+def in_order(signal: str, rows: DataFrame, name: str = "pos") -> DataFrame:
+    """``rows`` of a signal with their place from 1 in its order, whatever task they are in:
+    a range sort with offsets, so that long lists are no single task. Displacements go by all
+    the clients that a provider gained, new ones and moved ones."""
+    wanted = [c.lstrip("-") for c in ORDERS[signal]]
+    extra = {}
+    if "total" in wanted:
+        extra["total"] = F.col("clients_added") + F.aggregate(
+            "migrated_from", F.lit(0).cast("bigint"), lambda n, m: n + m["clients"])
+    order = [-F.col(c.lstrip("-")) if c.startswith("-") else F.col(c) for c in ORDERS[signal]]
+    return with_position(rows.withColumns(extra) if extra else rows, order, name).drop(*extra)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,3 +74,46 @@ def segment_labels(assets: DataFrame, prefix: int = config.GROUP_PREFIX) -> Data
     rows = assets.filter(F.coalesce("segment", F.lit("")) != "").select(
         ipf.subnet_of("ip", prefix).alias("cidr"), "segment", "row").filter("cidr <> ''")
     return rows.groupBy("cidr").agg(F.min_by("segment", "row").alias("label"))
+
+
+def reconcile_findings(silent: DataFrame, undocumented: DataFrame, contradicted: DataFrame, shown: DataFrame) -> DataFrame:
+    """(pos, finding): a line for each kind of disagreement that there is, with its count and
+    how many silent assets are ``shown`` as ghosts."""
+    # The wording of the lines.
+    kinds = [
+        (silent, lambda n, g: F.concat(n, F.lit(" documented assets produced no observed traffic ("), g, F.lit(
+            " shown ghosted; cross-check blind spots before calling them decommissioned)"))),
+        (undocumented, lambda n, g: F.concat(n, F.lit(" observed hosts are not in the asset list"))),
+        (contradicted, lambda n, g: F.concat(n, F.lit(" hosts contradict their documented role"))),
+    ]
+    ghosted = shown.agg(F.count("*").cast("string").alias("g"))
+    out = None
+    for pos, (df, line) in enumerate(kinds):
+        # one row on either side
+        counted = df.agg(F.count("*").alias("n")).select("n", F.lit(1).alias("one")).join(
+            ghosted.withColumn("one", F.lit(1)), "one").filter("n > 0")
+        rows = counted.select(F.lit(pos).alias("pos"), line(F.col("n").cast("string"), F.col("g")).alias("finding"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def reconcile_map(
+    nodes: DataFrame, edges: DataFrame, gateways: DataFrame, zero_coverage: DataFrame, assets: DataFrame,
+    silent: DataFrame, undocumented: DataFrame, contradicted: DataFrame,
+    options: MapOptions | None = None, overview: bool = False,
+) -> dict[str, DataFrame]:
+    """The map with hosts flagged by the asset list, ``ghosts`` of silent assets in groups
+    that are shown, groups named by its segments unless they have a name already, and
+    ``reconcile_findings``. An overview has no ghosts, its groups are coarser; the findings
+    carry the counts."""
+    options = options or MapOptions()
+    named = segment_labels(assets, options.prefix)
+    if options.labels is not None:
+        known = options.labels.filter(F.coalesce("label", F.lit("")) != "").select("cidr", "label")
+        named = known.unionByName(named.join(known, "cidr", "left_anti"))
+    options = replace(options, node_flags=reconcile_flags(undocumented, contradicted), labels=named)
+    model = build(nodes, edges, gateways, zero_coverage, options, overview)
+    shown = ghosts(silent, model["groups"], options.prefix)
+    model["ghosts"] = shown.limit(0) if overview else shown
+    model["reconcile_findings"] = reconcile_findings(silent, undocumented, contradicted, model["ghosts"])
+    return model

@@ -627,6 +627,25 @@ def displacement(spark, sf):
     return out.select("ip", "port", "service", "clients_added", F.array_join(source, ",").alias("migrated_from"), "rank")
 
 
+@query
+def drift_order(spark, sf):
+    """The place of every provider, displacement, edge and rank change in its list."""
+    a, b = _pair(spark, sf)
+    an, bn, ae, be = a["nodes"], b["nodes"], a["edges"], b["edges"]
+    signals = {
+        "providers": drift.new_providers(ae, be, an, bn), "displacement": drift.displacement(ae, be, bn),
+        "ranks": drift.rank_changes(an, bn), "gained": drift.new_edges_to_top(ae, be, bn)}
+    out = None
+    for signal, df in signals.items():
+        rows = drift.in_order(signal, df)
+        ip = F.col("ip") if "ip" in rows.columns else F.col("dst")
+        port = F.col("port").cast("int") if "port" in rows.columns else F.lit(0)
+        src = F.col("src") if "src" in rows.columns else F.lit("")
+        part = rows.select(F.lit(signal).alias("signal"), F.col("pos").cast("bigint").alias("pos"), ip.alias("ip"), src.alias("src"), port.alias("port"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query
 def compat_warnings(spark, sf):
     a, b = _pair(spark, sf, metadata=True)
@@ -996,6 +1015,21 @@ def map_reconcile(spark, sf):
         shown.agg(F.count("*").alias("n")).select(F.lit("silent").alias("drift"), "n"))
 
 
+@query
+def reconcile_lines(spark, sf):
+    """Finding lines of the detailed map and of the overview, which has no ghosts."""
+    s = I.snapshot(spark, sf)
+    docs = I.assets(spark, sf)
+    quiet = reconcile.silent(docs, s["nodes"], quality.zero_coverage(I.scope(spark), s["nodes"]))
+    found = [reconcile.undocumented(docs, s["nodes"]), reconcile.contradicted(docs, s["nodes"])]
+    out = None
+    for wide in (False, True):
+        m = briefing.reconcile_map(s["nodes"], s["edges"], s["gateways"], I.scope(spark), docs, quiet, *found, overview=wide)
+        rows = m["reconcile_findings"].select(F.lit("overview" if wide else "detailed").alias("map"), "pos", "finding")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # --- devices ---------------------------------------------------------------
 
 @query

@@ -451,6 +451,11 @@ B["new_providers"] = "SELECT * FROM newprov"
 B["displacement"] = """SELECT m.dst AS ip, m.port, m.service, CAST(coalesce(sum(clients) FILTER (WHERE from_ip IS NULL), 0) AS BIGINT) AS clients_added,
   coalesce(string_agg(from_ip || ':' || from_port || ':' || clients, ',' ORDER BY clients DESC, from_ip, from_port) FILTER (WHERE from_ip IS NOT NULL), '') AS migrated_from,
   r.rank FROM moves m JOIN scored_2 r ON r.ip = m.dst GROUP BY m.dst, m.port, m.service, r.rank"""
+B["drift_order"] = """
+SELECT 'providers' AS signal, row_number() OVER (ORDER BY clients DESC, ip, port) AS pos, ip, '' AS src, port FROM newprov
+UNION ALL SELECT 'displacement', row_number() OVER (ORDER BY sum(clients) DESC, dst, port), dst, '', port FROM moves GROUP BY dst, port
+UNION ALL SELECT 'ranks', row_number() OVER (ORDER BY a.ip), a.ip, '', 0 FROM scored_1 a JOIN scored_2 b USING (ip) WHERE abs(a.rank - b.rank) >= 5
+UNION ALL SELECT 'gained', row_number() OVER (ORDER BY dst, src, port), dst, src, port FROM edge_changes WHERE change = 'new'"""
 B["compat_warnings"] = """SELECT CAST(0 AS INTEGER) AS pos, 'window differs: "2h0m0s" vs "3h0m0s"' AS warning"""
 B["node_stability"] = """SELECT ip, count(*) AS occurrences, count(*) FILTER (WHERE rank <= 20) AS top_n_occurrences, round(max(p), 6) AS best, round(min(p), 6) AS worst,
   round(median(p), 6) AS median_pct, count(DISTINCT CASE WHEN top <> 'Unknown' THEN top END) <= 1 AS role_consistent,
@@ -688,6 +693,15 @@ BODIES["map_reconcile"] = f"""SELECT drift, count(*) AS n FROM (SELECT ip, CASE
     WHEN ip NOT IN (SELECT ip FROM assets) THEN 'undocumented' ELSE '' END AS drift FROM hosts) WHERE drift <> '' GROUP BY drift
 UNION ALL SELECT 'silent', count(*) FROM assets WHERE ip NOT IN (SELECT ip FROM hosts) AND 'g:' || {_subnet('ip')} IN (SELECT gid FROM cells)"""
 
+BODIES["reconcile_lines"] = f"""WITH quiet AS (SELECT 'g:' || {_subnet('ip')} IN (SELECT gid FROM cells) AS shown FROM assets WHERE ip NOT IN (SELECT ip FROM hosts)),
+tally AS (SELECT (SELECT count(*) FROM quiet) AS n, (SELECT count(*) FROM quiet WHERE shown) AS g,
+  (SELECT count(*) FROM hosts WHERE ip NOT IN (SELECT ip FROM assets)) AS u, (SELECT count(*) FROM contra WHERE observed <> 'Unknown') AS k),
+maps AS (SELECT unnest(['detailed', 'overview']) AS "map")
+SELECT "map", 0 AS pos, n || ' documented assets produced no observed traffic (' || CASE "map" WHEN 'overview' THEN 0 ELSE g END ||
+  ' shown ghosted; cross-check blind spots before calling them decommissioned)' AS finding FROM tally, maps WHERE n > 0
+UNION ALL SELECT "map", 1, u || ' observed hosts are not in the asset list' FROM tally, maps WHERE u > 0
+UNION ALL SELECT "map", 2, k || ' hosts contradict their documented role' FROM tally, maps WHERE k > 0"""
+
 
 _ORDER = list(CTES)
 

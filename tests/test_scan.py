@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyscape.functions import ports
-from keyscape.operators import graph, mapview, quality
+from keyscape.operators import drift, graph, mapview, quality
+from keyscape.plans import briefing
 from keyscape.plans.scan import ScanOptions, Telemetry, from_source, scan, scan_to_store
 from keyscape.sources import assets, configs, snapshots
 from keyscape.sources.telemetry import FieldMap, load_field_map
@@ -153,6 +154,58 @@ def test_overview_keeps_all_unless_limited(spark):
     assert few["omitted"].first()[:2] == (3, 36) and few["groups"].count() == 3
 
 
+def _map_nodes(spark, ips):
+    return spark.createDataFrame([(ip, k + 1, 0.1) for k, ip in enumerate(ips)], "ip string, rank int, composite double").withColumns({
+        "mac": F.lit(""), "hostnames": F.array().cast("array<string>"), "sensors": F.array(F.lit("s")),
+        "roles": F.array().cast("array<struct<role:string,confidence:double,evidence:array<string>>>")})
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_reconciled_map_flags_ghosts_labels_and_findings(spark, wide):
+    """Ghosts stand only in groups that are shown, and in no overview; findings always count."""
+    nodes = _map_nodes(spark, ["10.0.1.1", "10.0.1.2", "10.0.2.1", "10.0.2.2"])
+    edges = spark.createDataFrame([("10.0.1.1", "10.0.2.1", 88, 10)], "src string, dst string, port int, conn_count bigint").withColumn(
+        "evidence", F.lit("protocol-confirmed"))
+    gates = spark.createDataFrame([], "sensor string, mac string, ip_count bigint")
+    gaps = spark.createDataFrame([], "cidr string")
+    docs = spark.createDataFrame([("10.0.1.9", "srv9", "x", "Lab", 3), ("10.0.1.8", "", "x", "Other", 4), ("10.0.2.9", "", "x", "Shop", 5),
+                                  ("10.9.9.9", "far", "x", "Far", 6)], "ip string, hostname string, role string, segment string, row int")
+    quiet = docs.withColumn("in_blind_spot", F.col("ip") == "10.0.1.8")
+    flags = lambda *ips: spark.createDataFrame([(i,) for i in ips], "ip string")
+    options = mapview.MapOptions(labels=spark.createDataFrame([("10.0.2.0/24", "Mine")], "cidr string, label string"))
+    m = briefing.reconcile_map(nodes, edges, gates, gaps, docs, quiet, flags("10.0.1.1", "10.0.2.1"), flags("10.0.2.1"), options, wide)
+    drift = {r.id: r.drift for r in m["nodes"].filter("drift <> ''").collect()}
+    assert drift == {"10.0.1.1": "undocumented", "10.0.2.1": "contradicted"}
+    labels = {r.cidr: r.label for r in m["groups"].collect()}
+    assert labels["10.0.1.0/24"] == "10.0.1.0/24 — Lab" and labels["10.0.2.0/24"] == "10.0.2.0/24 — Mine"
+    ghosts = {r.id: (r.group, r.label, r.note) for r in m["ghosts"].collect()}
+    said = "documented but silent in the observation window"
+    assert ghosts == ({} if wide else {
+        "asset:10.0.1.9": ("g:10.0.1.0/24", "srv9\n10.0.1.9", said), "asset:10.0.2.9": ("g:10.0.2.0/24", "10.0.2.9", said),
+        "asset:10.0.1.8": ("g:10.0.1.0/24", "10.0.1.8", said + " — inside a possible sensor blind spot; verify coverage before calling it decommissioned")})
+    lines = [r.finding for r in m["reconcile_findings"].orderBy("pos").collect()]
+    assert lines == [
+        f"4 documented assets produced no observed traffic ({0 if wide else 3} shown ghosted; cross-check blind spots before calling them decommissioned)",
+        "2 observed hosts are not in the asset list", "1 hosts contradict their documented role"]
+    none = briefing.reconcile_findings(quiet.limit(0), flags(), flags("10.0.2.1"), m["ghosts"].limit(0)).collect()
+    assert [(r.pos, r.finding) for r in none] == [(2, "1 hosts contradict their documented role")]
+
+
+def test_drift_lists_have_one_order(spark):
+    rows = spark.createDataFrame([("10.0.0.2", 53, 5), ("10.0.0.1", 88, 5), ("10.0.0.1", 53, 5), ("10.0.0.9", 53, 7)], "ip string, port int, clients int")
+    got = drift.in_order("providers", rows.repartition(3)).orderBy("pos").collect()
+    assert [(r.pos, r.ip, r.port) for r in got] == [(1, "10.0.0.9", 53), (2, "10.0.0.1", 53), (3, "10.0.0.1", 88), (4, "10.0.0.2", 53)]
+    moves = spark.createDataFrame([
+        ("b", 1, 3, []), ("a", 1, 0, [("x", 1, 2), ("y", 1, 2)]), ("c", 1, 3, [("x", 1, 1)]), ("d", 1, 0, [])],
+        "ip string, port int, clients_added bigint, migrated_from array<struct<ip:string,port:int,clients:bigint>>")
+    got = drift.in_order("displacement", moves).orderBy("pos")
+    assert [r.ip for r in got.collect()] == ["a", "c", "b", "d"] and got.columns == [*moves.columns, "pos"]
+    edges = spark.createDataFrame([("s2", "d1", 1), ("s1", "d2", 1), ("s1", "d1", 9), ("s1", "d1", 2)], "src string, dst string, port int")
+    got = drift.in_order("gained", edges).orderBy("pos").collect()
+    assert [(r.dst, r.src, r.port) for r in got] == [("d1", "s1", 2), ("d1", "s1", 9), ("d1", "s2", 1), ("d2", "s1", 1)]
+    assert drift.in_order("identity", spark.createDataFrame([], "ip string, protocol string")).count() == 0
+
+
 def test_port_tables_are_what_they_should_be(spark):
     """Expectations as plain values, not read from the tables they check."""
     want = {
