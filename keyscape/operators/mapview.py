@@ -229,11 +229,6 @@ def members(hosts: DataFrame) -> DataFrame:
         "composite", "rank", "vendor")
 
 
-def ordered_members(member_rows: DataFrame, agg_id: str) -> DataFrame:
-    last = F.when(F.col("rank") > 0, F.col("rank")).otherwise(F.lit(2**31 - 1))
-    return member_rows.filter(F.col("agg_id") == agg_id).orderBy(last, "ip")
-
-
 def _attach(edges: DataFrame, ends: DataFrame) -> DataFrame:
     s = ends.select(F.col("ip").alias("src"), F.col("endpoint").alias("s"), F.col("gid").alias("sg"))
     d = ends.select(F.col("ip").alias("dst"), F.col("endpoint").alias("d"), F.col("gid").alias("dg"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keyscape import config
 from keyscape.functions import ip as ipf
-from keyscape.operators import drift, mapview
+from keyscape.operators import assist, devices, drift, mapview
 from keyscape.operators.edges import services
 from keyscape.operators.mapview import PRIVATE_WORDS, PUBLIC_WORDS, MapOptions
 
@@ -117,3 +117,16 @@ def reconcile_map(
     model["ghosts"] = shown.limit(0) if overview else shown
     model["reconcile_findings"] = reconcile_findings(silent, undocumented, contradicted, model["ghosts"])
     return model
+
+
+def finish(
+    model: dict[str, DataFrame], tags: DataFrame | None = None, model_name: str = "", facts: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """What every view gets at the end: suggested tags (node_id, tags, confidence, rationale)
+    of the model that made them, then the operator's facts on the nodes."""
+    nodes = model["nodes"]
+    if tags is not None:
+        nodes = assist.attach_suggestions(nodes, tags, model_name)
+    if facts is not None:
+        nodes = devices.overlay(nodes, facts)
+    return {**model, "nodes": nodes}

@@ -10,7 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
-_written: list[str] = []
+#: What has been written, by application.
+_written: dict[str, list[str]] = {}
 _tables: dict[str, str] = {}
 
 
@@ -31,6 +32,10 @@ def durable_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _paths(spark: SparkSession) -> list[str]:
+    return _written.setdefault(spark.sparkContext.applicationId, [])
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a Parquet table and read it back.
 
@@ -40,7 +45,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{durable_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    _paths(spark).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -55,7 +60,7 @@ def materialize_dealt(df: DataFrame, label: str, keys: list[str], buckets: int)
     path = f"{durable_dir(spark)}/{label}-{uuid.uuid4().hex}"
     name = f"keyscape_{label.replace('-', '_')}_{uuid.uuid4().hex}"
     df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
-    _written.append(path)
+    _paths(spark).append(path)
     _tables[path] = name
     return spark.table(name)
 
@@ -64,11 +69,12 @@ def materialize_dealt(df: DataFrame, label: str, keys: list[str], buckets: int)
 def run_scope(spark: SparkSession) -> Iterator[None]:
     """Delete, at the end, what ``materialize`` has written inside. DataFrames made
     inside must be written or collected before."""
-    mark = len(_written)
+    written = _paths(spark)
+    mark = len(written)
     try:
         yield
     finally:
-        paths, _written[mark:] = _written[mark:], []
+        paths, written[mark:] = written[mark:], []
         conf = spark._jsc.hadoopConfiguration()
         for path in paths:
             if path in _tables:

@@ -1134,7 +1134,8 @@ def citation_check(spark, sf):
     found = P.table(spark, sf, "customer").select(
         F.col("c_name").alias("title"),
         F.when(c % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(P.client_ip(c), F.lit("10.250.0.1"))).alias("node_ids"),
-        F.array().cast("array<string>").alias("edge_ids"))
+        F.when(c % 4 == 1, F.array(text.edge_id(P.client_ip(c), P.server_ip(c % 100), F.lit(53)), F.lit("10.250.0.1>10.250.0.2:1")))
+        .otherwise(F.array().cast("array<string>")).alias("edge_ids"))
     return assist.rejected_citations(found, E.endpoints(e).select(F.col("ip").alias("id")),
                                      e.select(text.edge_id("src", "dst", "port").alias("id")))
 
@@ -1150,6 +1151,19 @@ def tag_check(spark, sf):
     return assist.checked_tags(tags, known).select("node_id", F.array_join("tags", ",").alias("tags"), "problem")
 
 
+@query
+def suggested_nodes(spark, sf):
+    """Map nodes with the tags that were suggested for them, then the operator's overlay."""
+    n, _, facts = _device_nodes(spark, sf, members=True)
+    s = F.col("s_suppkey")
+    tags = P.table(spark, sf, "supplier").filter(s % 3 == 0).select(
+        P.server_ip(s).alias("node_id"), F.array(F.lit("db"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))).alias("tags"),
+        (s % 10 / 10).alias("confidence"), F.col("s_name").alias("rationale"))
+    out = briefing.finish({"nodes": n.drop("role_override", "labels")}, tags, "m1", facts)["nodes"]
+    return out.filter("suggestion_model IS NOT NULL").select(
+        "id", F.array_join("suggested_tags", ",").alias("tags"), r6("suggestion_confidence").alias("confidence"), "suggestion_rationale", "device")
+
+
 @query
 def suggestion_merge(spark, sf):
     s = F.col("s_suppkey")

@@ -580,7 +580,10 @@ B["evidence_pack_nodes"] = """SELECT s.ip AS id, s.subnet, s.rank, n.mac, CASE W
 FROM scored s JOIN node_mac n USING (ip) WHERE s.rank <= 100"""
 B["evidence_pack_edges"] = """SELECT src || '>' || dst || ':' || port AS id, conn_count, service FROM edges WHERE src IN (SELECT ip FROM scored WHERE rank <= 100)
   AND dst IN (SELECT ip FROM scored WHERE rank <= 100) ORDER BY conn_count DESC, src, dst, port, proto LIMIT 500"""
-B["citation_check"] = f"""SELECT c_name AS title, 'no citations' AS problem, '' AS id FROM customer WHERE c_custkey % 5 = 0
+B["citation_check"] = f"""SELECT c_name AS title, 'no citations' AS problem, '' AS id FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 4 <> 1
+UNION ALL SELECT c_name, 'unknown edge', '10.250.0.1>10.250.0.2:1' FROM customer WHERE c_custkey % 4 = 1
+UNION ALL SELECT c_name, 'unknown edge', e FROM (SELECT c_name, {_client('c_custkey')} || '>' || {_server('(c_custkey % 100)')} || ':53' AS e FROM customer
+  WHERE c_custkey % 4 = 1) WHERE e NOT IN (SELECT src || '>' || dst || ':' || port FROM edges)
 UNION ALL SELECT c_name, 'unknown node', '10.250.0.1' FROM customer WHERE c_custkey % 5 <> 0
 UNION ALL SELECT c_name, 'unknown node', {_client('c_custkey')} FROM customer WHERE c_custkey % 5 <> 0 AND {_client('c_custkey')} NOT IN (SELECT ip FROM hosts)"""
 B["tag_check"] = f"""SELECT ip AS node_id, CASE WHEN s_suppkey % 6 = 0 THEN '' ELSE 'db,core' END AS tags, CASE WHEN ip NOT IN (SELECT ip FROM hosts WHERE ip < '10.0.2') THEN 'unknown node'

@@ -5,11 +5,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from keyscape.functions import ports
-from keyscape.operators import drift, graph, mapview, quality
+from keyscape.functions import ports, text
+from keyscape.operators import assist, drift, graph, mapview, quality
 from keyscape.plans import briefing
 from keyscape.plans.scan import ScanOptions, Telemetry, from_source, scan, scan_to_store
-from keyscape.sources import assets, configs, snapshots
+from keyscape.sources import assets, configs, snapshots, telemetry
 from keyscape.sources.telemetry import FieldMap, load_field_map
 
 CONN = ("ts timestamp, src string, dst string, port int, proto string, service string, state string, "
@@ -191,6 +191,35 @@ def test_reconciled_map_flags_ghosts_labels_and_findings(spark, wide):
     assert [(r.pos, r.finding) for r in none] == [(2, "1 hosts contradict their documented role")]
 
 
+def test_suggestions_and_operator_facts_on_nodes(spark):
+    nodes = spark.createDataFrame([("10.0.0.1", "service", "", ""), ("10.0.0.2", "client", "", "")], "id string, tier string, device string, device_type string")
+    tags = spark.createDataFrame([("10.0.0.1", ["db"], 0.5, "why"), ("10.9.9.9", ["x"], 1.0, "gone")],
+                                 "node_id string, tags array<string>, confidence double, rationale string")
+    facts = spark.createDataFrame([("10.0.0.2", "Box", "server", "Database", ["l"])],
+                                  "ip string, device string, device_type string, role_override string, labels array<string>")
+    got = {r.id: r for r in briefing.finish({"nodes": nodes}, tags, "m1", facts)["nodes"].collect()}
+    assert (got["10.0.0.1"].suggested_tags, got["10.0.0.1"].suggestion_model, got["10.0.0.1"].suggestion_rationale) == (["db"], "m1", "why")
+    assert got["10.0.0.2"].suggested_tags is None and got["10.0.0.2"].suggestion_model is None
+    assert (got["10.0.0.2"].device, got["10.0.0.2"].tier, got["10.0.0.2"].labels) == ("Box", "service", ["l"])
+    assert briefing.finish({"nodes": nodes})["nodes"].columns == nodes.columns
+
+
+def test_small_helpers(spark, tmp_path):
+    rows = spark.createDataFrame([("a", None), ("b", 1), (None, 2)], "x string, y int")
+    assert [r.x for r in telemetry.present(rows, "x", "y").collect()] == ["b"]
+    why = spark.createDataFrame([
+        (["first", "second"], [("R", 0.5, ["seen"])]), ([], [("R", 0.5, ["seen"])]), ([], []), (None, None)],
+        "d array<string>, r array<struct<role:string,confidence:double,evidence:array<string>>>")
+    assert [r.w for r in why.select(text.why("d", "r").alias("w")).collect()] == ["first", "seen", "", ""]
+    assert json.loads(assist.payload(rows.filter("y = 1")).first().payload) == {"x": "b", "y": 1}
+    (tmp_path / "edge.cfg").write_text("hostname edge\ninterface Gi0\n")
+    files = configs.route(configs.read_files(spark, str(tmp_path)))
+    assert [(r.source, r.vendor) for r in files.collect()] == [("edge.cfg", "cisco-ios")]
+    with pytest.raises(quality.WrongFieldMap):
+        quality.require_groups(rows, rows.limit(0))
+    assert quality.require_groups(rows.limit(0), rows.limit(0)).count() == 0
+
+
 def test_drift_lists_have_one_order(spark):
     rows = spark.createDataFrame([("10.0.0.2", 53, 5), ("10.0.0.1", 88, 5), ("10.0.0.1", 53, 5), ("10.0.0.9", 53, 7)], "ip string, port int, clients int")
     got = drift.in_order("providers", rows.repartition(3)).orderBy("pos").collect()
