@@ -11,6 +11,8 @@ from keyscape.llm.words import IDENTITY, LOWER, SPACE, hash_spans, pieces
 
 BATCH_BYTES = 1 << 18
 MEMO_PIECES = 3_000_000
+#: Bytes of text whose pieces are found at a time; the arrays for them are some fifty times that.
+STEP_BYTES = 1 << 17
 
 
 def by_bytes(sizes: Iterable[int], limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
@@ -60,7 +62,7 @@ def safe_pieces(
     ``added``, compared without case, is hashed by its own bytes.
     """
     marked = re.compile(b"|".join(re.escape(x.lower()) for x in added)) if folds and added else None
-    for s, e in pieces(data, off, safe_cut):
+    for s, e in pieces(data, off, safe_cut, STEP_BYTES):
         cut = safe_cut(data, s, e)
         cut[0] = True
         cut[off[np.searchsorted(off, s) : np.searchsorted(off, e)] - s] = True
@@ -78,43 +80,79 @@ def safe_pieces(
         yield s, starts, ends, keys
 
 
+class _Growing:
+    """An array that is appended to; ``data`` may be longer than the ``n`` values in it."""
+
+    def __init__(self, dtype):
+        self.data, self.n = np.zeros(1 << 12, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.n + len(values)
+        if need > len(self.data):
+            grown = np.zeros(max(need, len(self.data) * 5 // 4), self.data.dtype)
+            grown[: self.n] = self.data[: self.n]
+            self.data = grown
+        self.data[self.n : need] = values
+        self.n = need
+
+
 class Memo:
     """Token ids of pieces by 64-bit hash, for one tokenizer and worker.
 
     At most ``limit`` pieces and those of one batch are held; beyond that it
     starts anew. That only costs time. ``ids`` False keeps lengths only. ``added``
-    are the tokenizer's added tokens.
+    are the tokenizer's added tokens. ``lengths``, ``starts`` and ``flat`` are indexed by
+    slots and by starts; keys are sorted, the latest ``FRESH`` of them apart.
     """
 
+    FRESH = 1 << 15
+
     def __init__(self, encode: Callable[[list[str]], list], ids: bool, limit: int = MEMO_PIECES,
                  added: tuple[bytes, ...] = ()):
         self.encode, self.ids, self.limit, self.added = encode, ids, limit, added
         self._clear()
 
     def _clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.slots = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.starts = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint16)
+        self._sorted = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        self._lengths, self._starts = _Growing(np.int32), _Growing(np.int64)
+        self._flat = _Growing(np.uint16)
+
+    @property
+    def lengths(self) -> np.ndarray:
+        return self._lengths.data
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self._starts.data
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat.data
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of keys, -1 for those that aren't held."""
+        out = np.full(len(keys), -1, np.int32)
+        for known, slots in self._sorted:
+            at = np.searchsorted(known, keys)
+            held = at < len(known)
+            held[held] = known[at[held]] == keys[held]
+            out[held] = slots[at[held]]
+        return out
 
     def resolve(self, data: np.ndarray, base: np.ndarray, size: np.ndarray, keys: np.ndarray):
         """Slots of the pieces data[base:base+size] whose hashes are ``keys``."""
         distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == distinct[known]
-        if not known.all() and len(self.keys) > self.limit:
+        found = self._find(distinct)
+        new = np.flatnonzero(found < 0)
+        if len(new) and self._lengths.n > self.limit:
             self._clear()
-            known[:] = False
-        new = np.flatnonzero(~known)
+            new = np.arange(len(distinct))
         if len(new):
             order = new[np.argsort(size[first[new]], kind="stable")]
-            self._add(data, base[first[order]], size[first[order]], distinct[order])
-            at = np.searchsorted(self.keys, distinct)
-        return self.slots[at][back]
+            found[order] = self._add(data, base[first[order]], size[first[order]], distinct[order])
+        return found[back]
 
-    def _add(self, data, base, size, keys) -> None:
+    def _add(self, data, base, size, keys) -> np.ndarray:
         lengths, flat = [], []
         for i, j in by_bytes(size.tolist()):
             texts = [
@@ -125,25 +163,37 @@ class Memo:
                 lengths.append(len(found))
                 if self.ids:
                     flat.extend(found.ids)
-        lengths = np.array(lengths, np.int64)
-        slots = np.arange(len(self.lengths), len(self.lengths) + len(lengths))
-        ends = len(self.flat) + np.cumsum(lengths)
-        self.starts = np.concatenate((self.starts, ends - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
+        slots = np.arange(self._lengths.n, self._lengths.n + len(lengths), dtype=np.int32)
+        lengths = np.array(lengths, np.int32)
+        ends = self._flat.n + np.cumsum(lengths, dtype=np.int64)
+        self._starts.extend(ends - lengths)
+        self._lengths.extend(lengths)
         if flat:
             joined = np.array(flat, np.uint32)
-            if self.flat.dtype == np.uint16 and len(joined) and joined.max() > 0xFFFF:
-                self.flat = self.flat.astype(np.uint32)
-            self.flat = np.concatenate((self.flat, joined.astype(self.flat.dtype)))
-        keys = np.concatenate((self.keys, keys))
-        slots = np.concatenate((self.slots, slots))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.slots = keys[order], slots[order]
+            if self._flat.data.dtype == np.uint16 and joined.max() > 0xFFFF:
+                self._flat.data = self._flat.data.astype(np.uint32)
+            self._flat.extend(joined)
+        order = np.argsort(keys)
+        self._insert(1, keys[order], slots[order])
+        if len(self._sorted[1][0]) > self.FRESH:
+            self._insert(0, *self._sorted[1])
+            self._sorted[1] = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        return slots
+
+    def _insert(self, which: int, keys: np.ndarray, slots: np.ndarray) -> None:
+        known, own = self._sorted[which]
+        at = np.searchsorted(known, keys)
+        self._sorted[which] = np.insert(known, at, keys), np.insert(own, at, slots)
 
 
 _memos: dict = {}
 
 
+def forget() -> None:
+    """Drop the memos of this worker; the next tokenizing task starts anew."""
+    _memos.clear()
+
+
 def tokenizer_memo(path: str, ids: bool) -> Memo:
     """This worker's memo of a tokenizers .json or sentencepiece .model file."""
     if (path, ids) not in _memos:

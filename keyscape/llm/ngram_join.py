@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyscape.llm import lean
 from keyscape.llm.components import components
 from keyscape.llm.joins import BROADCAST_KEYS, compact, join_large, without
 from keyscape.llm.packing import differences, pack, unpack
@@ -235,11 +236,11 @@ def postings(texts: DataFrame, size: int, threshold: int) -> DataFrame:
     tokens = max(1, total // 4)
     bits = min(62, max(24, tokens.bit_length() + 10))
     part_bits = min(16, max(3, (tokens // PART_TOKENS).bit_length()))
-    packed = texts.select("uid", "text").mapInArrow(_blocks(bits, part_bits, size), _PACKED)
-    shared = packed.groupBy("part").applyInArrow(_shared, _PACKED)
+    packed = texts.select("uid", "text").mapInArrow(lean.batches(_blocks(bits, part_bits, size)), _PACKED)
+    shared = packed.groupBy("part").applyInArrow(lean.table(_shared), _PACKED)
     return materialize(
         shared.groupBy("block").applyInArrow(
-            _index(threshold), "sig long, brief boolean, uid long, n long, own long"),
+            lean.table(_index(threshold)), "sig long, brief boolean, uid long, n long, own long"),
         "jaccard-index")
 
 
@@ -276,7 +277,7 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, threshold: int) -> Dat
 
     ordered = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return materialize(
-        ordered.select("a", "role", "uid", "text").mapInArrow(compare, "a long, b long"),
+        ordered.select("a", "role", "uid", "text").mapInArrow(lean.batches(compare), "a long, b long"),
         "jaccard-links")
 
 
@@ -315,7 +316,7 @@ def _parities(texts: DataFrame, size: int) -> DataFrame:
                     names=["uid", *names])
 
     return texts.select("uid", "text").mapInArrow(
-        run, "uid long, " + ", ".join(f"{c} long" for c in names))
+        lean.batches(run), "uid long, " + ", ".join(f"{c} long" for c in names))
 
 
 def _may_link(threshold: int):

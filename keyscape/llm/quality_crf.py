@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyscape.llm import lean
 from keyscape.llm.line_features import NAMES, line_features, with_neighbours
 from keyscape.llm.words import STEP, row_slices
 from keyscape.session import materialize
@@ -139,7 +140,7 @@ def train(
 
     # as many rows as the sample has
     got = rows.join(F.broadcast(chosen), "i").select("t", "y").mapInArrow(
-        encode, "x binary, y int").collect()
+        lean.batches(encode), "x binary, y int").collect()
     lines = [np.frombuffer(bytes(r.x), "<f4").reshape(-1, len(NAMES)).astype(float) for r in got]
     off = np.concatenate(([0], np.cumsum([len(x) for x in lines]))).astype(np.int64)
     joined = np.concatenate(lines) if lines else np.zeros((0, len(NAMES)))
@@ -153,6 +154,7 @@ def score(text: Column, model: Crf) -> Column:
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
+        lean.forget()
         out = [np.zeros(0)]
         for part in _sliced(texts):
             features, size, off = line_features(part)
@@ -160,6 +162,7 @@ def score(text: Column, model: Crf) -> Column:
             weight = size + 1.0
             out.append(
                 np.add.reduceat(p * weight, off[:-1]) / np.add.reduceat(weight, off[:-1]))
+        lean.give_back()
         return pa.array(np.clip(np.concatenate(out), 0, 1))
 
     return run(text.cast("string"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyscape.llm import lean
 from keyscape.llm.memo import safe_pieces, tokenizer_memo
 from keyscape.llm.words import flat, ragged
 from keyscape.session import durable_dir
@@ -169,6 +170,7 @@ def write_token_files(
                     ids, counts, ends, frames, held = [], [], [], [], 0
         if ids:
             yield segment()
+        lean.give_back()
 
     packed = (
         rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).select("i", "t")
@@ -245,7 +247,7 @@ def read_token_files(spark: SparkSession, path: str, ids: bool = False) -> DataF
     rows = segments.select(
         "part", "before", "dict_hash", "width", "doc_ids", "n_tokens", "ends", "payload")
     found = rows.mapInArrow(
-        unpack, "doc_id long, part int, at long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
+        lean.batches(unpack), "doc_id long, part int, at long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)
     parts = spark.read.schema("part int, base long").parquet(f"{path}/parts")
     return found.join(parts, "part").select(
         "doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32",
