@@ -283,6 +283,7 @@ def crossing_groups(edges: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def observed_gateways(gateways: DataFrame) -> DataFrame:
+    # The wording of notes and labels, here and in the next functions.
     note = F.concat(F.lit("MAC answered for "), F.col("ip_count").cast("string"),
                     F.lit(" distinct IPs (sensor "), F.col("sensor"), F.lit(") — observed L2 convergence"))
     return _synthetic(gateways, F.concat(F.lit("gw:"), "mac"), F.lit(""),
@@ -331,6 +332,7 @@ def blind_spots(zero_coverage: DataFrame, focus: str | None = None) -> DataFrame
     if focus and "/" in focus:
         one = zero_coverage.sparkSession.range(1).select(F.lit(focus).alias("f"))
         rows = ranges.overlapping(rows, "cidr", one, "f")
+    # Fixed value: the wording of the line.
     return rows.select("cidr", F.concat(
         F.lit("possible blind spot: "), F.col("cidr"),
         F.lit(" is in scope but produced zero observed traffic")).alias("finding"))

@@ -86,6 +86,7 @@ def score_drivers(ranked: DataFrame, top_n: int = config.TERRAIN_EVIDENCE_TOP_N)
         )
         return F.when(F.col(name) > 0, entry)
 
+    # The wording of the sentences.
     entries = F.array_sort(F.array_compact(F.array(
         driver(1, "dependents", F.concat(
             F.col("dependents").cast("string"),

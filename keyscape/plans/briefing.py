@@ -58,6 +58,7 @@ def reconcile_flags(undocumented: DataFrame, contradicted: DataFrame) -> DataFra
 def ghosts(silent: DataFrame, groups: DataFrame, prefix: int = config.GROUP_PREFIX) -> DataFrame:
     """Silent assets that have a shown group to stand in."""
     placed = silent.withColumn("id", F.concat(F.lit("g:"), ipf.subnet_of("ip", prefix)))
+    # The wording of the notes.
     note = F.when(
         F.col("in_blind_spot"),
         "documented but silent in the observation window — inside a possible sensor blind spot; "
