@@ -162,7 +162,8 @@ def mixed(
 ) -> DataFrame:
     """``docs``, all rows and columns, dealt by range and sorted in the order of the
     mix: written files, read one after another, follow the schedule. Repeated rows
-    (same id and source) share the places of their id in any order."""
+    (same id and source) share the places of their id in any order. Texts are shuffled
+    twice, by id and by place, at every size."""
     placed = materialize(
         mix_sources(docs, weights, block_rows, horizon, id_col, source_col)
         .groupBy(F.col(id_col).alias("__mix_i"), F.col(source_col).alias("__mix_s"))
@@ -171,6 +172,6 @@ def mixed(
     order = [F.col("__mix_at.slot"), F.col("__mix_s"), F.col("__mix_at.place")]
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-placed.count() // part_rows))
     return (
-        docs.join(placed, same).repartitionByRange(parts, *order)
+        docs.join(placed.hint("merge"), same).repartitionByRange(parts, *order)
         .sortWithinPartitions(*order).select(*[docs[c] for c in docs.columns])
     )
